@@ -92,7 +92,12 @@ _PLACEHOLDER = re.compile(r"\{(\w+)\}")
 
 
 def referenced(sql: str) -> list[str]:
-    return list(dict.fromkeys(_PLACEHOLDER.findall(sql)))
+    names = dict.fromkeys(_PLACEHOLDER.findall(sql))
+    return [n for n in names if n in VIEWS or n in TABLES]
+
+
+def _unmarked(found: re.Match) -> str:
+    return found[1] if found[1] in VIEWS or found[1] in TABLES else found[0]
 
 
 class Workload:
@@ -127,7 +132,7 @@ def oracle_text(sql: str) -> str:
                 needed.append(name)
 
     visit(sql)
-    plain = lambda text: _PLACEHOLDER.sub(r"\1", text)
+    plain = lambda text: _PLACEHOLDER.sub(_unmarked, text)
     ctes = [f"{name} AS ({plain(VIEWS[name])})" for name in needed]
     body = plain(sql).strip()
     if not ctes:

@@ -55,6 +55,36 @@ VIEWS: dict[str, str] = {
             WHEN 'error' THEN 'DirectPrompt' ELSE 'UserChoice' END AS method,
           CAST((event_id * 37) % 101 AS DOUBLE) / 100 AS confidence, value / 10 AS total_time
         FROM {events}""",
+    # full records: results with provider, batch and the sizes of their parts
+    "v_records": """
+        SELECT *, CASE WHEN method IN ('ProfileRank', 'DirectPrompt') THEN concat('model-', CAST(trace_id % 3 AS STRING)) END AS provider,
+          CASE WHEN method = 'DirectPrompt' THEN CAST(trace_id % 17 AS STRING) END AS batch_id,
+          CASE WHEN method = 'DirectPrompt' AND trace_id % 2 = 0 THEN 'map it' END AS user_prompt,
+          CASE WHEN method = 'ProfileRank' THEN CAST(trace_id % 4 AS INT) ELSE 0 END AS n_web,
+          CASE WHEN method = 'ProfileRank' AND trace_id % 5 > 0 THEN concat('thing ', source) END AS core_concept,
+          CASE WHEN method = 'ProfileRank' THEN CAST(trace_id % 7 AS INT) ELSE 0 END AS n_tokens,
+          CASE WHEN method = 'ProfileRank' AND target <> 'No matches found' THEN CAST(1 + trace_id % 3 AS INT) ELSE 0 END AS n_ranked
+        FROM {v_results}""",
+    # step records of traces: trace = order, step record = line item
+    "v_step_records": """
+        SELECT l_orderkey AS trace_id, CAST(l_linenumber AS DOUBLE) * 10000000 + l_extendedprice AS seq,
+          CASE l_returnflag WHEN 'R' THEN 'llm_ranking' WHEN 'A' THEN 'token_matching' ELSE 'web_search' END AS step,
+          CASE WHEN l_tax = 0.08 THEN 'failed' WHEN l_tax = 0.07 THEN 'degraded' WHEN l_tax = 0.06 THEN 'skipped'
+            WHEN l_tax = 0.05 THEN 'precomputed' ELSE 'success' END AS status,
+          CASE WHEN l_tax IN (0.06, 0.08) THEN NULL ELSE l_quantity / 10 END AS elapsed
+        FROM {lineitem}""",
+    "v_step_warnings": """
+        SELECT l_orderkey AS trace_id, CASE WHEN l_linestatus = 'F' THEN 'web_search' ELSE 'entity_profiling' END AS step,
+          CASE WHEN l_quantity < 3 THEN 'rate_limited' ELSE 'low_document_count' END AS code, 'transient' AS kind
+        FROM {lineitem} WHERE l_quantity < 6""",
+    # frontend step reports
+    "v_step_reports": """
+        SELECT event_id AS report_id, ts, event_id % 3000 AS trace_id,
+          CASE event_type WHEN 'view' THEN 'cache_lookup' ELSE 'fuzzy_matching' END AS step, source,
+          CASE WHEN event_type IN ('view', 'purchase') THEN target END AS target,
+          CASE WHEN event_type = 'error' THEN 'miss' ELSE method END AS method, confidence, total_time * 1000 AS latency_ms
+        FROM (SELECT e.event_id, e.event_type, r.ts, r.source, r.target, r.method, r.confidence, r.total_time
+              FROM {events} e JOIN {v_results} r ON r.trace_id = e.event_id)""",
     "v_corrections": """
         SELECT trace_id, ts, source, target FROM {v_results}
         WHERE method = 'UserChoice' AND target <> 'No matches found'""",

@@ -228,17 +228,19 @@ def apply_corrections(items: DataFrame, traces: DataFrame, corrections: DataFram
 # ---------------------------------------------------------------- views
 
 def item_full_view(items: DataFrame, traces: DataFrame, observations: DataFrame, scores: DataFrame) -> DataFrame:
-    """Items with their trace, observations and scores; missing parts are null or empty.
+    """Items with the output and metadata of their trace, one row per part of that trace.
 
-    A trace holds a handful of observations and scores by construction, so they are gathered per trace.
+    ``part`` is observation, score or none (an item whose trace has neither, or without a trace); corrections pile up as
+    observations on a trace, so parts stay rows and are never gathered into one value.
     """
-    obs = observations.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("id", "type", "name"))).alias("observations"))
-    sc = scores.groupBy("trace_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("scores"))
-    t = traces.select(F.col("id").alias("trace_id"), F.col("output").alias("trace_output"), F.col("metadata").alias("trace_metadata"))
+    parts = observations.select(F.col("trace_id").alias("part_trace"), F.lit("observation").alias("part"), "id", F.col("name").alias("part_name"),
+                                F.lit(None).cast("double").alias("value")).unionByName(
+        scores.select(F.col("trace_id").alias("part_trace"), F.lit("score").alias("part"), "id", F.col("name").alias("part_name"), "value"))
+    t = traces.select(F.col("id").alias("source_trace_id"), F.col("output").alias("trace_output"), F.col("metadata").alias("trace_metadata"))
     return (
-        items.withColumn("trace_id", F.col("source_trace_id")).join(t, "trace_id", "left").join(obs, "trace_id", "left").join(sc, "trace_id", "left")
-        .withColumn("observations", F.coalesce("observations", F.array().cast("array<struct<id:string,type:string,name:string>>")))
-        .drop("trace_id")
+        items.withColumnRenamed("id", "item_id").join(t, "source_trace_id", "left")
+        .join(parts.withColumnRenamed("id", "part_id"), F.col("source_trace_id") == F.col("part_trace"), "left").drop("part_trace")
+        .withColumn("part", F.coalesce("part", F.lit("none")))
     )
 
 

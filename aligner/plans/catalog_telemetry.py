@@ -144,15 +144,13 @@ def _correction_obs(w):
 
 
 @query("item_full_view", f"""WITH {_ITEMS}, {_OBS}, {_SCORES}, traces AS (SELECT {_TID} AS id, target FROM {{v_records}}),
-  o AS (SELECT trace_id, string_agg(o.name, ',' ORDER BY o.name) AS names FROM obs GROUP BY trace_id),
-  s AS (SELECT trace_id, max(value) FILTER (WHERE name = 'confidence') AS confidence FROM scores GROUP BY trace_id)
-  SELECT i.id, i.query, t.target, coalesce(o.names, '') AS observations, s.confidence FROM items i LEFT JOIN traces t ON t.id = i.source_trace_id
-  LEFT JOIN o ON o.trace_id = i.source_trace_id LEFT JOIN s ON s.trace_id = i.source_trace_id""")
+  parts AS (SELECT trace_id, 'observation' AS part, o.name AS name, NULL::DOUBLE AS value FROM obs UNION ALL SELECT trace_id, 'score', name, round(value, 6) FROM scores)
+  SELECT i.id AS item_id, i.query, t.target, coalesce(p.part, 'none') AS part, p.name AS part_name, p.value FROM items i
+  LEFT JOIN traces t ON t.id = i.source_trace_id LEFT JOIN parts p ON p.trace_id = i.source_trace_id""")
 def _full(w):
     recs = records(w)
     view = tel.item_full_view(tel.build_dataset_items(recs), tel.build_traces(recs), tel.build_observations(recs), tel.build_scores(recs))
-    return view.select("id", "input.query", "trace_output.target", F.array_join(F.array_sort(F.col("observations.name")), ",").alias("observations"),
-                       F.col("scores")["confidence"].alias("confidence"))
+    return view.select("item_id", "input.query", "trace_output.target", "part", "part_name", F.round("value", 6).alias("value"))
 
 
 def batch_events(w):

@@ -109,6 +109,22 @@ VIEWS: dict[str, str] = {
             ELSE 'ExternalService' END AS type,
           CASE l_returnflag WHEN 'R' THEN 'llm_ranking' WHEN 'A' THEN 'token_matching' ELSE 'web_search' END AS name
         FROM {lineitem}""",
+    # evaluation: queries = orders with the true term, ranked candidates = line items
+    "v_truth": """
+        SELECT o_orderkey AS query_id, CASE WHEN o_custkey % 50 = 0 THEN '--' ELSE concat('t', CAST(o_custkey % 23 AS STRING)) END AS expected
+        FROM {orders}""",
+    "v_ranked": """
+        SELECT l_orderkey AS query_id, CASE l_returnflag WHEN 'R' THEN 'llm_ranking' ELSE 'token_matching' END AS step,
+          row_number() OVER (PARTITION BY l_orderkey, CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END ORDER BY l_linenumber, l_extendedprice) - 1 AS rank,
+          concat('t', CAST(l_partkey % 23 AS STRING)) AS term
+        FROM {lineitem}""",
+    # predictions of several configurations per query
+    "v_predictions": """
+        SELECT l_orderkey AS query_id, concat(l_returnflag, l_linestatus) AS config, max(concat('t', CAST(l_suppkey % 23 AS STRING))) AS target,
+          max(l_discount * 10) AS confidence, CASE max(l_linestatus) WHEN 'F' THEN 'cached' ELSE 'ProfileRank' END AS method,
+          CASE max(l_returnflag) WHEN 'R' THEN 'snippets' WHEN 'A' THEN 'scrape' ELSE 'hybrid' END AS strategy,
+          CAST(sum(l_quantity) AS BIGINT) AS evidence_chars, count(*) AS scrape_attempts
+        FROM {lineitem} GROUP BY l_orderkey, concat(l_returnflag, l_linestatus)""",
     # cell-change stream
     "v_cells": """
         SELECT event_id AS seq, ts, user_id % 5 AS workbook, event_id % 40 AS row, CAST(user_id % 3 AS INT) AS col,

@@ -38,12 +38,13 @@ def _newest(*fields: str) -> Column:
 
 def rebuild_aliases(records: DataFrame) -> DataFrame:
     """Latest alias per (target, source); aggregated map-side, so hot pairs shrink before the shuffle."""
-    return _fold(usable_records(records).select(
+    return merge_aliases(usable_records(records).select(
         "target", "source", "ts", "trace_id", "method", "confidence",
         alias_verified(F.col("method"), F.col("confidence")).alias("verified")))
 
 
-def _fold(alias_rows: DataFrame) -> DataFrame:
+def merge_aliases(alias_rows: DataFrame) -> DataFrame:
+    """Alias rows of several folds as one: the newest per (target, source)."""
     return (
         alias_rows.groupBy("target", "source")
         .agg(_newest("ts", "trace_id", "method", "confidence", "verified").alias("a")).select("target", "source", "a.*")
@@ -70,7 +71,7 @@ def attach_profile(targets: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def upsert_aliases(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Alias rows after a batch of new records: the newest of old and new per (target, source)."""
-    return _fold(existing.select("target", "source", "ts", "trace_id", "method", "confidence", "verified").unionByName(rebuild_aliases(batch)))
+    return merge_aliases(existing.select("target", "source", "ts", "trace_id", "method", "confidence", "verified").unionByName(rebuild_aliases(batch)))
 
 
 def supersede(aliases: DataFrame) -> DataFrame:
@@ -120,6 +121,13 @@ def history_latest(records: DataFrame) -> DataFrame:
     ).select("key", "e.*", "entries")
 
 
+def merge_history(latest: DataFrame) -> DataFrame:
+    """Latest entries of several batches as one: the newest entry, the counts added up."""
+    return latest.groupBy("key").agg(
+        _newest("ts", "trace_id", "target", "method", "confidence").alias("e"), F.sum("entries").alias("entries")
+    ).select("key", "e.*", "entries")
+
+
 def history_recent(records: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
     """The ``limit`` most recently updated sources, one current entry each."""
     return history_latest(records).orderBy(F.desc("ts"), "trace_id").limit(limit)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -51,6 +52,15 @@ def write_batch(df: DataFrame, root: str, batch_id: int) -> None:
 
 
 def read_batches(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
-    """Rows of all batches with their ``batch`` id."""
+    """Rows of all batches with their ``batch`` id; none when no batch has been written yet."""
+    try:
+        return _batches(spark, root, schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("long"))
+
+
+def _batches(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", root).option("recursiveFileLookup", True).parquet(root).withColumn(
         "batch", F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/", 1).cast("long"))

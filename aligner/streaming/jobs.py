@@ -63,7 +63,8 @@ def stream_changed_cells(stream: DataFrame, order: list[str], bucket: Column, ro
             known = spark.createDataFrame([], state_schema)
         else:
             seen = read_batches(spark, f"{root}/state", state_schema).filter(F.col("batch") < i)
-            known = seen.groupBy(*CELL).agg(F.max_by("value", "batch").alias("value"))
+            touched = seen.join(batch.select(*CELL).distinct(), CELL, "left_semi")
+            known = touched.groupBy(*CELL).agg(F.max_by("value", "batch").alias("value"))
         write_batch(changed_cells(batch, known, order, bucket), f"{root}/changes", i)
         write_batch(last_values(batch, order), f"{root}/state", i)
 

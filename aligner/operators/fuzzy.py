@@ -46,8 +46,9 @@ def fuzzy_best(queries: DataFrame, keys: DataFrame, threshold: float = THRESHOLD
         .groupBy(F.array_join("words", " ").alias("k_id"))
         .agg(F.min(F.struct("key_ord", "key", "target")).alias("first"), F.first("words").alias("words"))
     )
-    known = stage(known, "fuzzy-keys")
-    remaining = stage(probes, "fuzzy-probes")
+    # numbers given once and written: candidate pairs are shuffled as two longs instead of two texts
+    known = stage(known.withColumn("k_no", F.monotonically_increasing_id()), "fuzzy-keys")
+    remaining = stage(probes.withColumn("q_no", F.monotonically_increasing_id()), "fuzzy-probes")
     empty_best = known.filter(F.col("k_id") == "").select(
         F.lit("").alias("q_id"), F.lit(1.0).alias("score"), "first")
     found = [empty_best]
@@ -71,7 +72,7 @@ def _passes(threshold: float) -> list[tuple[float, float]]:
 
 
 def _best_at(probes: DataFrame, known: DataFrame, threshold: float, word_level: float) -> DataFrame:
-    key_words = known.filter(F.size("words") > 0).select("k_id", "words", F.size("words").alias("n"))
+    key_words = known.filter(F.size("words") > 0).select("k_no", "words", F.size("words").alias("n"))
     vocabulary = key_words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     query_words = probes.select(F.explode("words").alias("word")).distinct()
     alike = (
@@ -81,8 +82,8 @@ def _best_at(probes: DataFrame, known: DataFrame, threshold: float, word_level:
     )
     no_words = F.array().cast("array<struct<other:string,similarity:double>>")
     expanded = stage(
-        probes.select("q_id", "words", F.posexplode("words").alias("pos", "word")).join(alike, "word", "left")
-        .groupBy("q_id", "words").agg(F.array_sort(F.collect_list(F.struct(
+        probes.select("q_no", "q_id", "words", F.posexplode("words").alias("pos", "word")).join(alike, "word", "left")
+        .groupBy("q_no", "q_id", "words").agg(F.array_sort(F.collect_list(F.struct(
             F.coalesce("df", F.lit(0)).alias("df"), "pos", F.coalesce("others", no_words).alias("others")))).alias("ranked"))
         .withColumn("m", F.size("words")), "fuzzy-expanded")
 
@@ -95,10 +96,10 @@ def _best_at(probes: DataFrame, known: DataFrame, threshold: float, word_level:
         .filter((j <= F.least(m, n)) & (known_words >= j))
         .withColumn("width", _width(j, n))
         .withColumn("prefix", F.transform(F.slice("ranked", 1, m - j + F.col("width")), lambda r: r["others"]["other"]))
-        .select("q_id", "n", F.explode(_query_blocks(F.col("prefix"), F.col("width"))).alias("block")).distinct()
+        .select("q_no", "n", F.explode(_query_blocks(F.col("prefix"), F.col("width"))).alias("block")).distinct()
     )
-    indexed = key_words.select("k_id", "n", F.explode(_key_blocks(F.col("words"), n)).alias("block"))
-    pairs = query_keys.join(indexed, ["block", "n"]).select("q_id", "k_id").distinct()
+    indexed = key_words.select("k_no", "n", F.explode(_key_blocks(F.col("words"), n)).alias("block"))
+    pairs = query_keys.join(indexed, ["block", "n"]).select("q_no", "k_no").distinct()
 
     def best_known(r: Column) -> Column:
         held = F.filter(r["others"], lambda o: F.array_contains("k_words", o["other"]))
@@ -107,8 +108,8 @@ def _best_at(probes: DataFrame, known: DataFrame, threshold: float, word_level:
     spare = F.greatest(m - n, F.lit(0)) * word_level
     bound = F.aggregate(F.transform("ranked", best_known), F.lit(0.0), lambda total, g: total + g) - spare
     scored = (
-        pairs.join(expanded.select("q_id", F.col("words").alias("q_words"), "ranked", "m"), "q_id")
-        .join(known.select("k_id", F.col("words").alias("k_words"), F.size("words").alias("n"), "first"), "k_id")
+        pairs.join(expanded.select("q_no", "q_id", F.col("words").alias("q_words"), "ranked", "m"), "q_no")
+        .join(known.select("k_no", F.col("words").alias("k_words"), F.size("words").alias("n"), "first"), "k_no")
         .filter(bound >= F.greatest(m, n) * threshold - _SLACK)
         .withColumn("score", word_similarity(F.col("q_words"), F.col("k_words")))
         .filter(F.col("score") >= threshold)
@@ -206,7 +207,7 @@ def fuzzy_two_pass(queries: DataFrame, forward: DataFrame, targets: DataFrame, t
     ``queries`` has ``query`` (trimmed, not empty), ``forward`` ``(source, target, key_ord)``, ``targets``
     ``(target, key_ord)``. Result ``(query, matched_key, target, score, direction)``.
     """
-    first = stage(fuzzy_best(queries, forward.select(F.col("source").alias("key"), "target", "key_ord"), threshold), "fuzzy-forward")
+    first = fuzzy_best(queries, forward.select(F.col("source").alias("key"), "target", "key_ord"), threshold)
     rest = queries.select("query").distinct().join(first.select("query"), "query", "left_anti")
     second = fuzzy_best(rest, targets.select(F.col("target").alias("key"), "target", "key_ord"), threshold)
     return first.withColumn("direction", F.lit("forward")).unionByName(second.withColumn("direction", F.lit("reverse")))

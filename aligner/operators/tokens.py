@@ -120,41 +120,49 @@ def _topk_per_token_set(token_sets: DataFrame, terms: DataFrame, k: int, rare_df
                         pattern: str) -> DataFrame:
     df = token_frequencies(terms, pattern)
     term_sets = terms.select("term").distinct().withColumn("tokens", tokens("term", pattern)).filter(F.size("tokens") > 0)
-    index = stage(_split_by_frequency(_ranked_tokens(term_sets, "term", df), "term", rare_df), "token-index")
-    probes = stage(_split_by_frequency(_ranked_tokens(token_sets, "set_id", df), "set_id", rare_df), "token-probes")
-
-    # pairs sharing a rare token: exact overlap, emitted by the first shared rare token
-    by_rare = index.select("term", F.col("rare").alias("t_rare"), F.col("frequent").alias("t_frequent"), F.explode("rare").alias("token"))
-    common_rare = F.array_intersect("rare", "t_rare")
-    rare_hits = (
-        probes.select("set_id", "n", "rare", "frequent", F.explode("rare").alias("token")).join(by_rare, "token")
-        .filter(F.element_at(common_rare, 1) == F.col("token"))
-        .select("set_id", "n", "term", (F.size(common_rare) + F.size(F.array_intersect("frequent", "t_frequent"))).alias("shared"))
-    )
-    frequent_hits = _frequent_hits(probes, index, k, max_frequent)
-    hits = rare_hits.unionByName(frequent_hits).groupBy("set_id", "n", "term").agg(F.max("shared").alias("shared"))
-    order = Window.partitionBy("set_id").orderBy(F.desc("shared"), "term")
+    # Numbers given after a global sort follow the order of the terms (partitions of a sort are ordered), so pairs are
+    # shuffled and ties broken by a long. The staged tables keep them.
+    ordered = _split_by_frequency(_ranked_tokens(term_sets, "term", df), "term", rare_df).orderBy("term")
+    index = stage(ordered.withColumn("t_no", F.monotonically_increasing_id()), "token-index")
+    split = _split_by_frequency(_ranked_tokens(token_sets, "set_id", df), "set_id", rare_df)
+    probes = stage(split.withColumn("p_no", F.monotonically_increasing_id()), "token-probes")
+
+    hits = _rare_hits(probes, index).unionByName(_frequent_hits(probes, index, k, max_frequent))
+    best = hits.groupBy("p_no", "t_no").agg(F.max("shared").alias("shared"))
+    order = Window.partitionBy("p_no").orderBy(F.desc("shared"), "t_no")
+    top = best.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
     return (
-        hits.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+        top.join(index.select("t_no", "term"), "t_no").join(probes.select("p_no", "set_id", "n"), "p_no")
         .select("set_id", "term", (F.col("shared") / F.col("n")).alias("score"), "rank")
     )
 
 
+def _rare_hits(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """Pairs sharing a rare token with their exact overlap, emitted by the first shared rare token."""
+    left = probes.select("p_no", "rare", "frequent", F.explode("rare").alias("token"))
+    right = index.select("t_no", F.col("rare").alias("t_rare"), F.col("frequent").alias("t_frequent"), F.explode("rare").alias("token"))
+    common = F.array_intersect("rare", "t_rare")
+    return (
+        left.join(right, "token").filter(F.element_at(common, 1) == F.col("token"))
+        .select("p_no", "t_no", (F.size(common) + F.size(F.array_intersect("frequent", "t_frequent"))).alias("shared"))
+    )
+
+
 def _frequent_hits(probes: DataFrame, index: DataFrame, k: int, max_frequent: int) -> DataFrame:
     """Enough pairs sharing frequent tokens to hold every top-k member that shares no rare token."""
     short = F.size("frequent") <= max_frequent
-    first_k = Window.partitionBy("subset").orderBy("term")
+    first_k = Window.partitionBy("subset").orderBy("t_no")
     postings = (
-        index.filter(short).select("term", F.explode(_subsets(F.col("frequent"))).alias("s"))
-        .select("term", "s.subset", "s.size").withColumn("rn", F.row_number().over(first_k)).filter(F.col("rn") <= k)
-        .select("subset", "term")
+        index.filter(short).select("t_no", F.explode(_subsets(F.col("frequent"))).alias("s"))
+        .select("t_no", "s.subset").withColumn("rn", F.row_number().over(first_k)).filter(F.col("rn") <= k)
+        .select("subset", "t_no")
     )
     counts = postings.groupBy("subset").agg(F.count(F.lit(1)).alias("listed"))
-    keys = probes.filter(short).select("set_id", "n", F.explode(_subsets(F.col("frequent"))).alias("s")).select("set_id", "n", "s.subset", "s.size")
+    keys = probes.filter(short).select("p_no", F.explode(_subsets(F.col("frequent"))).alias("s")).select("p_no", "s.subset", "s.size")
     # a subset with k listed terms makes all smaller subsets of the query superfluous
-    enough = F.max(F.when(F.col("listed") >= k, F.col("size"))).over(Window.partitionBy("set_id"))
+    enough = F.max(F.when(F.col("listed") >= k, F.col("size"))).over(Window.partitionBy("p_no"))
     useful = keys.join(counts, "subset").withColumn("enough", F.coalesce(enough, F.lit(0))).filter(F.col("size") >= F.col("enough"))
-    listed = useful.join(postings, "subset").select("set_id", "n", "term", F.col("size").alias("shared"))
+    listed = useful.join(postings, "subset").select("p_no", "t_no", F.col("size").alias("shared"))
 
     # labels with many frequent tokens: plain posting join on either side being long
     long_index, long_probes = index.filter(~short), probes.filter(~short)
@@ -163,12 +171,12 @@ def _frequent_hits(probes: DataFrame, index: DataFrame, k: int, max_frequent: in
 
 
 def _posting_join(probes: DataFrame, index: DataFrame) -> DataFrame:
-    left = probes.select("set_id", "n", "frequent", F.explode("frequent").alias("token"))
-    right = index.select("term", F.col("frequent").alias("t_frequent"), F.explode("frequent").alias("token"))
+    left = probes.select("p_no", "frequent", F.explode("frequent").alias("token"))
+    right = index.select("t_no", F.col("frequent").alias("t_frequent"), F.explode("frequent").alias("token"))
     common = F.array_intersect("frequent", "t_frequent")
     return (
         left.join(right, "token").filter(F.element_at(common, 1) == F.col("token"))
-        .select("set_id", "n", "term", F.size(common).alias("shared"))
+        .select("p_no", "t_no", F.size(common).alias("shared"))
     )
 
 

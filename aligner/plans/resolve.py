@@ -29,10 +29,10 @@ def tiered_resolve(queries: DataFrame, forward: DataFrame, targets: DataFrame, t
     rest = stage(texts.join(exact.select("query"), "query", "left_anti"), "rest")
     verdicts = exact
     if use_fuzzy:
-        fuzzy = stage(fuzzy_two_pass(rest, forward, targets, threshold).select(
-            "query", "target", F.lit("fuzzy").alias("method"), F.col("score").alias("confidence"), "matched_key"), "fuzzy")
+        fuzzy = fuzzy_two_pass(rest, forward, targets, threshold).select(
+            "query", "target", F.lit("fuzzy").alias("method"), F.col("score").alias("confidence"), "matched_key")
         verdicts = verdicts.unionByName(fuzzy)
-        rest = rest.join(fuzzy.select("query"), "query", "left_anti")
+        rest = stage(rest.join(fuzzy.select("query"), "query", "left_anti"), "rest")
     ranked = token_topk(rest.select(F.col("query").alias("query_id"), "query"), terms, k=1).select(
         F.col("query_id").alias("query"), F.col("term").alias("target"), F.lit("ProfileRank").alias("method"),
         F.col("score").alias("confidence"), F.lit(None).cast("string").alias("matched_key"))

@@ -33,38 +33,53 @@ def token_frequencies(terms: DataFrame, pattern: str = TOKEN_PATTERN) -> DataFra
     return inverted_index(terms, pattern).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def token_candidates(queries: DataFrame, terms: DataFrame, min_score: float,
+def token_candidates(queries: DataFrame, terms: DataFrame, min_score: float, short_term: int = 16,
                      pattern: str = TOKEN_PATTERN) -> DataFrame:
     """All (query, term) pairs with coverage >= ``min_score``.
 
-    A term sharing j of n query tokens holds one of the n-j+1 rarest of them, so only those are joined. A pair
-    is emitted by the first of them that the term holds, hence no duplicate removal and no second shuffle.
-    ``queries`` is ``(query_id, query)``; equal token sets are matched once.
+    A term sharing j of n query tokens holds at least w of the n-j+w rarest of them. Terms of up to ``short_term``
+    tokens are indexed by token pairs and joined with w = 2; longer terms, and queries needing one token only, are joined
+    on single tokens. A pair is emitted by the first tokens of the prefix that the term holds, hence no duplicate
+    removal and no second shuffle. ``queries`` is ``(query_id, query)``; equal token sets are matched once.
     """
     if not 0 < min_score <= 1:
         raise ValueError("min_score must be in (0, 1]")
     by_query, token_sets = _query_token_sets(queries, pattern)
-    df = token_frequencies(terms, pattern)
-    ranked = _ranked_tokens(token_sets, "set_id", df)
-    n = F.size("ranked")
-    needed = F.greatest(F.ceil(n * F.lit(min_score) - 1e-9), F.lit(1)).cast("int")
-    probes = (
-        ranked.withColumn("n", n).withColumn("needed", needed)
-        .withColumn("prefix", F.slice("ranked", 1, F.col("n") - F.col("needed") + 1))
-        .select("set_id", "ranked", "n", "needed", "prefix", F.explode("prefix").alias("token"))
-    )
-    index = terms.select("term").distinct().withColumn("term_tokens", tokens("term", pattern))
-    index = index.select("term", "term_tokens", F.explode("term_tokens").alias("token"))
-    shared = F.size(F.array_intersect("ranked", "term_tokens"))
+    ranked = _ranked_tokens(token_sets, "set_id", token_frequencies(terms, pattern))
+    n, needed = F.col("n"), F.col("needed")
+    probes = stage(
+        ranked.select("set_id", "ranked", F.size("ranked").alias("n"))
+        .withColumn("needed", F.greatest(F.ceil(n * F.lit(min_score) - 1e-9), F.lit(1)).cast("int")), "token-probes")
+    index = stage(terms.select("term").distinct().withColumn("term_tokens", tokens("term", pattern)), "token-index")
+    short = F.size("term_tokens") <= short_term
     pairs = (
-        probes.join(index, "token")
-        .filter(F.element_at(F.array_intersect("prefix", "term_tokens"), 1) == F.col("token"))
-        .withColumn("shared", shared).filter(F.col("shared") >= F.col("needed"))
-        .select("set_id", "term", (F.col("shared") / F.col("n")).alias("score"))
+        _sharing(probes.filter(needed >= 2), index.filter(short), 2)
+        .unionByName(_sharing(probes.filter(needed >= 2), index.filter(~short), 1))
+        .unionByName(_sharing(probes.filter(needed < 2), index, 1))
     )
     return by_query.join(pairs, "set_id").select("query_id", "term", "score")
 
 
+def _sharing(probes: DataFrame, index: DataFrame, width: int) -> DataFrame:
+    """Pairs sharing the needed number of tokens, joined on ``width`` of the rarest query tokens."""
+    keys = _token_pairs if width == 2 else (lambda items: items)
+    prefix = F.slice("ranked", 1, F.col("n") - F.col("needed") + width)
+    left = probes.withColumn("prefix", prefix).withColumn("key", F.explode(keys(F.col("prefix"))))
+    right = index.select("term", "term_tokens", F.explode(keys(F.col("term_tokens"))).alias("key"))
+    first = F.slice(F.array_intersect("prefix", "term_tokens"), 1, width)
+    return (
+        left.join(right, "key").filter(F.array_join(F.array_sort(first), " ") == F.col("key"))
+        .withColumn("shared", F.size(F.array_intersect("ranked", "term_tokens"))).filter(F.col("shared") >= F.col("needed"))
+        .select("set_id", "term", (F.col("shared") / F.col("n")).alias("score"))
+    )
+
+
+def _token_pairs(items: Column) -> Column:
+    """Every two tokens of an array, joined in sorted order."""
+    return F.flatten(F.transform(items, lambda a, i: F.transform(
+        F.filter(items, lambda _, k: k > i), lambda b: F.concat_ws(" ", F.least(a, b), F.greatest(a, b)))))
+
+
 def token_topk(queries: DataFrame, terms: DataFrame, k: int = 20, rare_df: int = 100, max_frequent: int = 8,
                pattern: str = TOKEN_PATTERN) -> DataFrame:
     """The k best terms per query: ``(query_id, term, score, rank)``, rank from 0, exact (see module text)."""

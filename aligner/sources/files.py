@@ -40,7 +40,7 @@ def _read_json(spark: SparkSession, path: str, schema: str, multi_line: bool, fi
 
     Parsing is an expression over the text source: unlike the JSON source it can be counted without naming columns.
     """
-    text = spark.read.options(wholetext=multi_line, **options).text(path).filter(F.trim("value") != "")
+    text = spark.read.options(**options).text(path, wholetext=multi_line).filter(F.trim("value") != "")
     parsed = F.from_json("value", f"{schema}, _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     rows = text.select(F.col("_metadata.file_path").alias("_path"), parsed.alias("r")).filter(F.col("r._corrupt").isNull())
     out = rows.select("_path", "r.*").drop("_corrupt")
@@ -87,7 +87,7 @@ def read_run_traces(spark: SparkSession, path: str, multi_line: bool = True, glo
 
 def read_filestore(spark: SparkSession, path: str) -> DataFrame:
     """All files of an experiment tree as ``(path, content)``."""
-    return spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path).select(
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 

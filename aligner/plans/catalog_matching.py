@@ -130,9 +130,46 @@ query("scorer_token_sort_ratio", f"""WITH p AS (SELECT query_id,
     array_to_string(list_sort(list_filter(string_split_regex(expected, '\\s+'), lambda w: w <> '')), ' ') AS b FROM {{v_queries}})
   SELECT query_id, round(CASE WHEN a = '' THEN 0 ELSE 200.0 * {_LCS.format(a='a', b='b')} / (length(a) + length(b)) END, 4) AS score FROM p""")(
     _scorer_query("token_sort_ratio"))
-query("scorer_partial_ratio")(_scorer_query("partial_ratio"))
-query("scorer_token_set_ratio")(_scorer_query("token_set_ratio"))
-query("scorer_wratio")(_scorer_query("WRatio"))
+
+# pairs of short strings for the scorers built on many alignments; the oracle scores distinct pairs
+_SHORT_PAIRS = """pairs AS (SELECT p_partkey, p_name AS a, CASE WHEN p_size % 2 = 0 THEN concat(p_type, ' ', split_part(p_name, ' ', 2))
+      ELSE concat(p_type, ' ', p_name, ' item') END AS b FROM {part}), d AS (SELECT DISTINCT a, b FROM pairs)"""
+_PARTIAL = f"""{_SHORT_PAIRS},
+  sl AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM d
+    UNION ALL SELECT a, b, b, a FROM d WHERE length(a) = length(b)),
+  win AS (SELECT a, b, s, l, unnest(range(1 - length(s), length(l))) AS i FROM sl),
+  cut AS (SELECT DISTINCT a, b, s, substr(l, greatest(i, 0) + 1, i + length(s) - greatest(i, 0)) AS w FROM win),
+  partial AS (SELECT a, b, max(200.0 * {_LCS.format(a='s', b='w')} / (length(s) + length(w))) AS partial_ratio FROM cut GROUP BY a, b)"""
+_SET = f"""{_SHORT_PAIRS},
+  tk AS (SELECT a, b, string_split(a, ' ') AS ta, string_split(b, ' ') AS tb FROM d),
+  parts AS (SELECT a, b, array_to_string(list_sort(list_intersect(ta, tb)), ' ') AS c,
+    array_to_string(list_sort(list_filter(list_distinct(ta), lambda x: NOT list_contains(tb, x))), ' ') AS oa,
+    array_to_string(list_sort(list_filter(list_distinct(tb), lambda x: NOT list_contains(ta, x))), ' ') AS ob FROM tk),
+  glued AS (SELECT *, trim(concat(c, ' ', oa)) AS ca, trim(concat(c, ' ', ob)) AS cb FROM parts),
+  token_set AS (SELECT a, b, CASE WHEN c <> '' AND (oa = '' OR ob = '') THEN 100.0 ELSE greatest(200.0 * {_LCS.format(a='ca', b='cb')} / (length(ca) + length(cb)),
+    CASE WHEN c <> '' THEN 200.0 * length(c) / (length(c) + length(ca)) ELSE 0 END, CASE WHEN c <> '' THEN 200.0 * length(c) / (length(c) + length(cb)) ELSE 0 END) END AS token_set_ratio
+    FROM glued)"""
+
+
+def _short_scorer_query(name):
+    def run(w):
+        second = F.get(F.split("p_name", " "), 1)
+        b = F.when(F.col("p_size") % 2 == 0, F.concat_ws(" ", "p_type", second)).otherwise(F.concat_ws(" ", "p_type", "p_name", F.lit("item")))
+        return w.part.select("p_partkey", F.round(similarity.score(name, "p_name", b), 4).alias("score"))
+    return run
+
+
+query("scorer_partial_ratio", f"""WITH {_PARTIAL} SELECT p.p_partkey, round(x.partial_ratio, 4) AS score FROM pairs p JOIN partial x ON x.a = p.a AND x.b = p.b""")(
+    _short_scorer_query("partial_ratio"))
+query("scorer_token_set_ratio", f"""WITH {_SET} SELECT p.p_partkey, round(x.token_set_ratio, 4) AS score FROM pairs p JOIN token_set x ON x.a = p.a AND x.b = p.b""")(
+    _short_scorer_query("token_set_ratio"))
+query("scorer_wratio", f"""WITH {_PARTIAL}, {_SET.replace(_SHORT_PAIRS + ',', '')},
+  simple AS (SELECT a, b, 200.0 * {_LCS.format(a='a', b='b')} / (length(a) + length(b)) AS r, greatest(length(a), length(b)) / least(length(a), length(b)) AS lr,
+    200.0 * {_LCS.format(a="array_to_string(list_sort(string_split(a, ' ')), ' ')", b="array_to_string(list_sort(string_split(b, ' ')), ' ')")} / (length(a) + length(b)) AS ts FROM d),
+  w AS (SELECT s.a, s.b, CASE WHEN lr < 1.5 THEN greatest(r, 0.95 * greatest(ts, t.token_set_ratio))
+    ELSE greatest(r, 0.9 * p.partial_ratio, 0.95 * 0.9 * 100) END AS score
+    FROM simple s JOIN token_set t ON t.a = s.a AND t.b = s.b JOIN partial p ON p.a = s.a AND p.b = s.b)
+  SELECT p.p_partkey, round(w.score, 4) AS score FROM pairs p JOIN w ON w.a = p.a AND w.b = p.b""")(_short_scorer_query("WRatio"))
 
 
 @query("tokenize", f"SELECT query_id, array_to_string(list_sort({_TOKENS.format(x='query')}), ' ') AS tokens FROM {{v_queries}}")
@@ -211,7 +248,17 @@ def _fuzzy_topk(w):
     return scoring.fuzzy_topk(_offered(w), "WRatio", 70, 5)
 
 
-@query("nearest_terms")
+_SCORED = f"""{_TOPK}, off AS (SELECT v.query_id, trim(v.query) AS query, k.term AS candidate, k.rank AS list_ord FROM {{v_queries}} v JOIN topk k ON k.query_id = v.query_id),
+  sc AS (SELECT *, 200.0 * {_LCS.format(a='query', b='candidate')} / (length(query) + length(candidate)) AS s FROM off),
+  near AS (SELECT query_id, query, candidate, round_even(s / 100, 4) AS score, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, list_ord) - 1 AS rank FROM sc)"""
+
+
+@query("fuzzy_topk_ratio", f"WITH {_SCORED} SELECT query_id, query, candidate, score, rank FROM near WHERE s >= 70 AND rank < 5")
+def _fuzzy_topk_ratio(w):
+    return scoring.fuzzy_topk(_offered(w), "ratio", 70, 5)
+
+
+@query("nearest_terms", f"WITH {_SCORED} SELECT query_id, query, candidate, score, rank FROM near WHERE rank < 10")
 def _nearest(w):
     return scoring.nearest_terms(_offered(w), 10)
 
@@ -224,10 +271,15 @@ def _correct(w):
     return scoring.correct_candidates(returned, offered)
 
 
-@query("validate_free_text")
+@query("validate_free_text", f"""WITH {_SCORED}, best AS (SELECT query_id, max(score) FILTER (WHERE rank = 0) AS score, max(candidate) FILTER (WHERE rank = 0) AS candidate,
+    string_agg(candidate, '|' ORDER BY rank) FILTER (WHERE rank < 10) AS listed FROM near GROUP BY query_id),
+  j AS (SELECT v.query_id, trim(v.query) AS query, coalesce(b.score, 0) AS score, b.candidate, coalesce(b.listed, '') AS listed FROM {{v_queries}} v LEFT JOIN best b ON b.query_id = v.query_id)
+  SELECT query_id, CASE WHEN score >= 0.75 THEN candidate ELSE query END AS target, CASE WHEN score >= 0.75 THEN 0.5 ELSE 0 END::DOUBLE AS confidence, score::DOUBLE AS fuzzy_score,
+    score >= 0.75 AND candidate <> query AS fuzzy_corrected, CASE WHEN score >= 0.75 AND candidate <> query THEN query END AS original_target,
+    score < 0.75 AS needs_user_selection, CASE WHEN score >= 0.75 THEN '' ELSE listed END AS candidates FROM j""")
 def _validate(w):
     answers = w.v_queries.select("query_id", trimmed("query").alias("query"), F.lit(0.5).alias("confidence"))
-    return scoring.validate_free_text(answers, _offered(w)).withColumn("candidates", F.to_json("candidates"))
+    return scoring.validate_free_text(answers, _offered(w)).withColumn("candidates", F.array_join(F.col("candidates.candidate"), "|"))
 
 
 _TIERED = f"""{_TEXTS}, {_FWD_KEYS}, {_REV_KEYS},

@@ -34,14 +34,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ali
     )
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only where none is configured (tests) a temp folder is chosen."""
-    configured = spark.conf.get(_CHECKPOINT_KEY, None)
-    if not configured:
-        context_dir = spark.sparkContext.getCheckpointDir()
-        configured = context_dir or tempfile.mkdtemp(prefix="aligner-", dir="/tmp")
-        spark.conf.set(_CHECKPOINT_KEY, configured)
-    return configured
+    configured = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="aligner-", dir="/tmp")
+    return _own_dirs[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

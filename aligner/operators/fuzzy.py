@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from aligner.functions.similarity import edit_similarity, word_similarity
 from aligner.functions.text import normalized_words, trimmed
+from aligner.operators.tokens import block_join
 from aligner.session import stage
 
 THRESHOLD = 0.7
@@ -99,7 +100,7 @@ def _best_at(probes: DataFrame, known: DataFrame, threshold: float, word_level:
         .select("q_no", "n", F.explode(_query_blocks(F.col("prefix"), F.col("width"))).alias("block")).distinct()
     )
     indexed = key_words.select("k_no", "n", F.explode(_key_blocks(F.col("words"), n)).alias("block"))
-    pairs = query_keys.join(indexed, ["block", "n"]).select("q_no", "k_no").distinct()
+    pairs = block_join(query_keys, indexed, ["block", "n"]).select("q_no", "k_no").distinct()
 
     def best_known(r: Column) -> Column:
         held = F.filter(r["others"], lambda o: F.array_contains("k_words", o["other"]))
@@ -194,7 +195,7 @@ def similar_words(left: DataFrame, right: DataFrame, min_similarity: float) -> D
                                                F.greatest(F.least(F.col("from") + F.col("d"), F.length("word") - F.col("size")), F.lit(0)))))
         .select("word", "n", "d", "seg", F.substring(F.col("word"), F.col("at") + 1, F.col("size")).alias("piece")).distinct()
     )
-    near = probes.join(segments, ["n", "d", "seg", "piece"]).select("word", "other").distinct()
+    near = block_join(probes, segments, ["n", "d", "seg", "piece"]).select("word", "other").distinct()
     return (
         near.withColumn("similarity", edit_similarity(F.col("word"), F.col("other")))
         .filter(F.col("similarity") >= min_similarity - _SLACK)

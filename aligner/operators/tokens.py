@@ -7,8 +7,8 @@ joined as they are (a query meets at most ``rare_df`` terms per rare token). For
 the index holds, for every subset of them, only the first k terms containing the subset. That loses nothing:
 if a term shares exactly the subset S with a query, every term listed before it under S shares at least S and
 sorts before it, so a term beyond the first k of S cannot be among the k best. Labels with more than
-``max_frequent`` frequent tokens would have too many subsets; pairs touching such a label are counted with a
-plain posting join instead.
+``max_frequent`` frequent tokens would have too many subsets; there the subsets of the rarest of them give a lower bound
+on the k-th best overlap, and all pairs reaching that bound are found by a prefix join (``_overlapping``).
 """
 
 from __future__ import annotations
@@ -46,34 +46,62 @@ def token_candidates(queries: DataFrame, terms: DataFrame, min_score: float, sho
         raise ValueError("min_score must be in (0, 1]")
     by_query, token_sets = _query_token_sets(queries, pattern)
     ranked = _ranked_tokens(token_sets, "set_id", token_frequencies(terms, pattern))
-    n, needed = F.col("n"), F.col("needed")
     probes = stage(
-        ranked.select("set_id", "ranked", F.size("ranked").alias("n"))
-        .withColumn("needed", F.greatest(F.ceil(n * F.lit(min_score) - 1e-9), F.lit(1)).cast("int")), "token-probes")
-    index = stage(terms.select("term").distinct().withColumn("term_tokens", tokens("term", pattern)), "token-index")
-    short = F.size("term_tokens") <= short_term
-    pairs = (
-        _sharing(probes.filter(needed >= 2), index.filter(short), 2)
-        .unionByName(_sharing(probes.filter(needed >= 2), index.filter(~short), 1))
-        .unionByName(_sharing(probes.filter(needed < 2), index, 1))
-    )
+        ranked.select("set_id", _known(F.col("ranked")).alias("known"), F.size("ranked").alias("n"))
+        .withColumn("needed", F.greatest(F.ceil(F.col("n") * F.lit(min_score) - 1e-9), F.lit(1)).cast("int")), "token-probes")
+    index = stage(terms.select("term").distinct().withColumn("t_known", tokens("term", pattern)), "token-index")
+    pairs = _overlapping(probes.drop("n"), index, "set_id", "term", short_term).join(probes.select("set_id", "n"), "set_id").select(
+        "set_id", "term", (F.col("shared") / F.col("n")).alias("score"))
     return by_query.join(pairs, "set_id").select("query_id", "term", "score")
 
 
-def _sharing(probes: DataFrame, index: DataFrame, width: int) -> DataFrame:
-    """Pairs sharing the needed number of tokens, joined on ``width`` of the rarest query tokens."""
-    keys = _token_pairs if width == 2 else (lambda items: items)
-    prefix = F.slice("ranked", 1, F.col("n") - F.col("needed") + width)
-    left = probes.withColumn("prefix", prefix).withColumn("key", F.explode(keys(F.col("prefix"))))
-    right = index.select("term", "term_tokens", F.explode(keys(F.col("term_tokens"))).alias("key"))
-    first = F.slice(F.array_intersect("prefix", "term_tokens"), 1, width)
+def _overlapping(probes: DataFrame, index: DataFrame, left: str, right: str, short_term: int = 16) -> DataFrame:
+    """Pairs sharing at least ``needed`` tokens with their overlap: ``(left, right, shared)``.
+
+    ``probes`` is ``(left, known, needed)`` with the tokens in order of frequency, ``index`` ``(right, t_known)``.
+    """
+    able = probes.filter(F.size("known") >= F.col("needed"))
+    short, several = F.size("t_known") <= short_term, F.col("needed") >= 2
+    return (
+        _sharing(able.filter(several), index.filter(short), left, right, 2)
+        .unionByName(_sharing(able.filter(several), index.filter(~short), left, right, 1))
+        .unionByName(_sharing(able.filter(~several), index, left, right, 1))
+    )
+
+
+def _sharing(probes: DataFrame, index: DataFrame, left: str, right: str, width: int) -> DataFrame:
+    """The same, joined on ``width`` of the rarest tokens of the probe."""
+    prefix = F.slice("known", 1, F.size("known") - F.col("needed") + width)
+    if width == 1:
+        asked = probes.select(left, F.explode(prefix).alias("key"))
+        listed = index.select(right, F.explode("t_known").alias("key"))
+        return _overlap(block_join(asked, listed, ["key"]).select(left, right), probes, index, left, right).filter(
+            F.col("shared") >= F.col("needed")).select(left, right, "shared")
+    # both labels are short, so they travel with their keys and a pair is decided where its first key meets
+    asked = probes.select(left, "known", "needed", prefix.alias("prefix")).withColumn("key", F.explode(_token_pairs(F.col("prefix"))))
+    listed = index.select(right, "t_known", F.explode(_token_pairs(F.col("t_known"))).alias("key"))
+    first = F.slice(F.array_intersect("prefix", "t_known"), 1, 2)
+    return (
+        block_join(asked, listed, ["key"]).filter(F.array_join(F.array_sort(first), " ") == F.col("key"))
+        .withColumn("shared", F.size(F.array_intersect("known", "t_known"))).filter(F.col("shared") >= F.col("needed"))
+        .select(left, right, "shared")
+    )
+
+
+def _overlap(pairs: DataFrame, probes: DataFrame, index: DataFrame, left: str, right: str) -> DataFrame:
+    """Distinct pairs with the number of tokens they share; the token lists join by id, once per pair."""
     return (
-        left.join(right, "key").filter(F.array_join(F.array_sort(first), " ") == F.col("key"))
-        .withColumn("shared", F.size(F.array_intersect("ranked", "term_tokens"))).filter(F.col("shared") >= F.col("needed"))
-        .select("set_id", "term", (F.col("shared") / F.col("n")).alias("score"))
+        pairs.distinct().join(probes, left).join(index.select(right, "t_known"), right)
+        .withColumn("shared", F.size(F.array_intersect("known", "t_known")))
     )
 
 
+def block_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join of exploded keys. Their size is not that of the table they come from, so no side may be broadcast on that
+    table's estimate; a sort-merge join also lets Spark split hot keys."""
+    return left.join(right.hint("merge"), keys)
+
+
 def _token_pairs(items: Column) -> Column:
     """Every two tokens of an array, joined in sorted order."""
     return F.flatten(F.transform(items, lambda a, i: F.transform(
@@ -98,23 +126,26 @@ def _query_token_sets(queries: DataFrame, pattern: str) -> tuple[DataFrame, Data
 
 
 def _ranked_tokens(token_sets: DataFrame, key: str, df: DataFrame) -> DataFrame:
-    """Tokens of every set ordered by document frequency, unknown tokens (frequency 0) first."""
+    """``ranked``: tokens of every set as (df, token), rarest first; unknown tokens have frequency 0."""
     return (
         token_sets.select(key, F.explode("tokens").alias("token")).join(df, "token", "left")
-        .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
-        .select(key, F.col("r.token").alias("ranked"), F.col("r.df").alias("dfs"))
+        .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("ranked"))
     )
 
 
-def _split_by_frequency(ranked: DataFrame, key: str, rare_df: int) -> DataFrame:
-    """(key, n, rare, frequent) from ranked tokens; unknown tokens only count for n."""
-    pairs = F.arrays_zip(F.col("ranked"), F.col("dfs"))
-    pick = lambda cond: F.transform(F.filter(pairs, cond), lambda p: p["ranked"])
+def _known(ranked: Column) -> Column:
+    """Tokens that occur in any term, rarest first."""
+    return F.filter(ranked, lambda r: r["df"] > 0)["token"]
+
+
+def _split_by_frequency(ranked: DataFrame, key: str, rare_df: int, max_frequent: int) -> DataFrame:
+    """(key, n, known, rare, frequent, long): ``frequent`` holds the rarest of the frequent tokens, ``long`` tells whether
+    there were more."""
+    frequent = F.filter("ranked", lambda r: r["df"] > rare_df)["token"]
     return ranked.select(
-        key, F.size("ranked").alias("n"),
-        pick(lambda p: (p["dfs"] > 0) & (p["dfs"] <= rare_df)).alias("rare"),
-        F.array_sort(pick(lambda p: p["dfs"] > rare_df)).alias("frequent"),
-    )
+        key, F.size("ranked").alias("n"), _known(F.col("ranked")).alias("known"),
+        F.filter("ranked", lambda r: (r["df"] > 0) & (r["df"] <= rare_df))["token"].alias("rare"),
+        F.array_sort(F.slice(frequent, 1, max_frequent)).alias("frequent"), (F.size(frequent) > max_frequent).alias("long"))
 
 
 def _subsets(items: Column) -> Column:
@@ -137,61 +168,60 @@ def _topk_per_token_set(token_sets: DataFrame, terms: DataFrame, k: int, rare_df
     term_sets = terms.select("term").distinct().withColumn("tokens", tokens("term", pattern)).filter(F.size("tokens") > 0)
     # Numbers given after a global sort follow the order of the terms (partitions of a sort are ordered), so pairs are
     # shuffled and ties broken by a long. The staged tables keep them.
-    ordered = _split_by_frequency(_ranked_tokens(term_sets, "term", df), "term", rare_df).orderBy("term")
+    ordered = _split_by_frequency(_ranked_tokens(term_sets, "term", df), "term", rare_df, max_frequent).orderBy("term")
     index = stage(ordered.withColumn("t_no", F.monotonically_increasing_id()), "token-index")
-    split = _split_by_frequency(_ranked_tokens(token_sets, "set_id", df), "set_id", rare_df)
+    split = _split_by_frequency(_ranked_tokens(token_sets, "set_id", df), "set_id", rare_df, max_frequent)
     probes = stage(split.withColumn("p_no", F.monotonically_increasing_id()), "token-probes")
 
-    hits = _rare_hits(probes, index).unionByName(_frequent_hits(probes, index, k, max_frequent))
-    best = hits.groupBy("p_no", "t_no").agg(F.max("shared").alias("shared"))
-    order = Window.partitionBy("p_no").orderBy(F.desc("shared"), "t_no")
-    top = best.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    best = _best(_rare_hits(probes, index).unionByName(_frequent_hits(probes, index, k)), k)
+    if not (index.filter("long").isEmpty() and probes.filter("long").isEmpty()):
+        best = _best(_with_long_labels(stage(best.drop("rank"), "token-best"), probes, index, k), k)
     return (
-        top.join(index.select("t_no", "term"), "t_no").join(probes.select("p_no", "set_id", "n"), "p_no")
+        best.join(index.select("t_no", "term"), "t_no").join(probes.select("p_no", "set_id", "n"), "p_no")
         .select("set_id", "term", (F.col("shared") / F.col("n")).alias("score"), "rank")
     )
 
 
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("p_no").orderBy(F.desc("shared"), "t_no")
+    merged = hits.groupBy("p_no", "t_no").agg(F.max("shared").alias("shared"))
+    return merged.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+
+
 def _rare_hits(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs sharing a rare token with their exact overlap, emitted by the first shared rare token."""
-    left = probes.select("p_no", "rare", "frequent", F.explode("rare").alias("token"))
-    right = index.select("t_no", F.col("rare").alias("t_rare"), F.col("frequent").alias("t_frequent"), F.explode("rare").alias("token"))
-    common = F.array_intersect("rare", "t_rare")
-    return (
-        left.join(right, "token").filter(F.element_at(common, 1) == F.col("token"))
-        .select("p_no", "t_no", (F.size(common) + F.size(F.array_intersect("frequent", "t_frequent"))).alias("shared"))
-    )
+    """Pairs sharing a rare token with their exact overlap."""
+    left = probes.select("p_no", F.explode("rare").alias("token"))
+    right = index.select("t_no", F.explode("rare").alias("token"))
+    pairs = block_join(left, right, ["token"]).select("p_no", "t_no")
+    lists = index.select("t_no", F.col("known").alias("t_known"))
+    return _overlap(pairs, probes.select("p_no", "known"), lists, "p_no", "t_no").select("p_no", "t_no", "shared")
 
 
-def _frequent_hits(probes: DataFrame, index: DataFrame, k: int, max_frequent: int) -> DataFrame:
-    """Enough pairs sharing frequent tokens to hold every top-k member that shares no rare token."""
-    short = F.size("frequent") <= max_frequent
+def _frequent_hits(probes: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """Between labels that are not long, enough pairs to hold every top-k member sharing no rare token; for long labels
+    a lower bound on their overlaps."""
     first_k = Window.partitionBy("subset").orderBy("t_no")
     postings = (
-        index.filter(short).select("t_no", F.explode(_subsets(F.col("frequent"))).alias("s"))
+        index.select("t_no", F.explode(_subsets(F.col("frequent"))).alias("s"))
         .select("t_no", "s.subset").withColumn("rn", F.row_number().over(first_k)).filter(F.col("rn") <= k)
         .select("subset", "t_no")
     )
     counts = postings.groupBy("subset").agg(F.count(F.lit(1)).alias("listed"))
-    keys = probes.filter(short).select("p_no", F.explode(_subsets(F.col("frequent"))).alias("s")).select("p_no", "s.subset", "s.size")
+    keys = probes.select("p_no", F.explode(_subsets(F.col("frequent"))).alias("s")).select("p_no", "s.subset", "s.size")
     # a subset with k listed terms makes all smaller subsets of the query superfluous
     enough = F.max(F.when(F.col("listed") >= k, F.col("size"))).over(Window.partitionBy("p_no"))
-    useful = keys.join(counts, "subset").withColumn("enough", F.coalesce(enough, F.lit(0))).filter(F.col("size") >= F.col("enough"))
-    listed = useful.join(postings, "subset").select("p_no", "t_no", F.col("size").alias("shared"))
-
-    # labels with many frequent tokens: plain posting join on either side being long
-    long_index, long_probes = index.filter(~short), probes.filter(~short)
-    rest = _posting_join(long_probes, index).unionByName(_posting_join(probes.filter(short), long_index))
-    return listed.unionByName(rest)
+    useful = block_join(keys, counts, ["subset"]).withColumn("enough", F.coalesce(enough, F.lit(0))).filter(F.col("size") >= F.col("enough"))
+    return block_join(useful, postings, ["subset"]).select("p_no", "t_no", F.col("size").alias("shared"))
 
 
-def _posting_join(probes: DataFrame, index: DataFrame) -> DataFrame:
-    left = probes.select("p_no", "frequent", F.explode("frequent").alias("token"))
-    right = index.select("t_no", F.col("frequent").alias("t_frequent"), F.explode("frequent").alias("token"))
-    common = F.array_intersect("frequent", "t_frequent")
+def _with_long_labels(best: DataFrame, probes: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """``best`` and all pairs with a long label on either side that reach the k-th best overlap known so far."""
+    floor = best.groupBy("p_no").agg(F.when(F.count(F.lit(1)) >= k, F.min("shared")).otherwise(F.lit(1)).alias("floor"))
+    bounded = probes.join(floor, "p_no", "left").select("p_no", "known", "long", F.coalesce("floor", F.lit(1)).alias("needed"))
+    listed = index.select("t_no", F.col("known").alias("t_known"), "long")
     return (
-        left.join(right, "token").filter(F.element_at(common, 1) == F.col("token"))
-        .select("p_no", "t_no", F.size(common).alias("shared"))
+        best.unionByName(_overlapping(bounded.filter("long").drop("long"), listed, "p_no", "t_no"))
+        .unionByName(_overlapping(bounded.filter("NOT long").drop("long"), listed.filter("long"), "p_no", "t_no"))
     )
 
 

@@ -209,6 +209,18 @@ def _topk(w):
     return tok.token_topk(w.v_queries, w.v_terms, k=20).withColumn("score", F.round("score", 6))
 
 
+@query("token_topk_documents", f"""WITH qt AS (SELECT item_id AS query_id, {_TOKENS.format(x='text')} AS toks FROM {{benchmark}}),
+  q AS (SELECT query_id, len(toks) AS n, unnest(toks) AS token FROM qt),
+  d AS (SELECT DISTINCT text AS term FROM {{documents}}), t AS (SELECT term, unnest({_TOKENS.format(x='term')}) AS token FROM d),
+  pairs AS (SELECT q.query_id, t.term, count(*) / max(q.n) AS score FROM q JOIN t ON t.token = q.token GROUP BY q.query_id, t.term)
+  SELECT query_id, md5(term) AS term, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) - 1 AS rank
+    FROM pairs QUALIFY rank < 20""")
+def _topk_documents(w):
+    queries = w.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    topk = tok.token_topk(queries, w.documents.select(F.col("text").alias("term")), k=20)
+    return topk.select("query_id", F.md5("term").alias("term"), F.round("score", 6).alias("score"), "rank")
+
+
 @query("candidate_sample", f"WITH {_TOPK} SELECT query_id, term FROM topk WHERE rank < 10")
 def _sample(w):
     return tok.candidate_sample(tok.token_topk(w.v_queries, w.v_terms, k=20), 10, seed=7).select("query_id", "term")

@@ -106,7 +106,7 @@ def history_key(source: Column | str) -> Column:
     return F.lower(trimmed(source))
 
 
-def history_by_source(records: DataFrame, bucket: str = "day") -> DataFrame:
+def history_by_source(records: DataFrame, bucket: str = "hour") -> DataFrame:
     """Entries per source key, newest first: position 0 is the current one; ``entries`` is their number."""
     keyed = records.withColumn("key", history_key("source"))
     return position_in_group(keyed, ["key"], F.date_trunc(bucket, F.col("ts").cast("timestamp")),

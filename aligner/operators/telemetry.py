@@ -192,7 +192,7 @@ class Corrected:
     observations: DataFrame
 
 
-def apply_corrections(items: DataFrame, traces: DataFrame, corrections: DataFrame, method: str = "UserChoice", bucket: str = "day") -> Corrected:
+def apply_corrections(items: DataFrame, traces: DataFrame, corrections: DataFrame, method: str = "UserChoice", bucket: str = "hour") -> Corrected:
     """Ground truth from corrections ``(correction_id, ts, source, target)``.
 
     The latest correction of a query sets the expected output of its item and the output of the item's trace; a query

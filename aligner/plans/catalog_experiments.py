@@ -61,8 +61,8 @@ def _mappings(w):
 
 
 @query("resolve_dependencies", """WITH s AS (SELECT DISTINCT p_type AS family, CASE WHEN p_size % 7 = 0 THEN 'latest' WHEN p_size % 2 = 0 THEN concat('v', p_size) ELSE CAST(p_size AS VARCHAR) END AS given,
-      CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size END AS asked FROM {part} WHERE p_partkey % 3 > 0),
-  k AS (SELECT DISTINCT p_type AS family, p_size AS version FROM {part} WHERE p_size % 3 > 0),
+      CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size END AS asked FROM {part} WHERE p_brand <> 'Brand#1'),
+  k AS (SELECT DISTINCT p_type AS family, p_size AS version FROM {part} WHERE p_name LIKE 'red %'),
   l AS (SELECT family, max(version) AS latest FROM k GROUP BY family),
   x AS (SELECT s.family, given, coalesce(asked, latest) AS version FROM s LEFT JOIN l ON l.family = s.family)
   SELECT 'prompt' AS kind, concat(x.family, '/', given) AS key, k.version, k.version IS NOT NULL AS resolved FROM x LEFT JOIN k ON k.family = x.family AND k.version = x.version
@@ -70,9 +70,9 @@ def _mappings(w):
 def _dependencies(w):
     size = F.col("p_size")
     given = F.when(size % 7 == 0, "latest").when(size % 2 == 0, F.concat(F.lit("v"), size.cast("string"))).otherwise(size.cast("string"))
-    steps = w.part.select(F.col("p_brand").alias("config_id"), F.when(F.col("p_partkey") % 3 > 0, "LLMGeneration").otherwise("ExternalService").alias("type"),
+    steps = w.part.select(F.col("p_brand").alias("config_id"), F.when(F.col("p_brand") != "Brand#1", "LLMGeneration").otherwise("ExternalService").alias("type"),
                           F.col("p_type").alias("name"), given.alias("prompt_version"))
-    prompts = w.part.filter(size % 3 > 0).select(F.col("p_type").alias("family"), size.alias("version"))
+    prompts = w.part.filter(F.col("p_name").startswith("red ")).select(F.col("p_type").alias("family"), size.alias("version"))
     configs = w.part.filter(F.col("p_retailprice") > 1000).select(F.col("p_brand").alias("config_id"))
     return ex.resolve_dependencies(steps, prompts, configs)
 

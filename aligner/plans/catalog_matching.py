@@ -275,7 +275,9 @@ def _nearest(w):
     return scoring.nearest_terms(_offered(w), 10)
 
 
-@query("correct_candidates")
+# every returned string has one character replaced, so its nearest offered string is the one it came from: 1 of n differs
+@query("correct_candidates", f"""WITH {_TOPK} SELECT query_id, rank, term AS candidate, replace(term, '#', ' ') AS original_string,
+  round_even((length(term) - 1) / length(term), 4) AS correction_confidence FROM topk WHERE rank < 5""")
 def _correct(w):
     offered = _offered(w)
     returned = offered.filter(F.col("list_ord") < 5).select(

@@ -154,23 +154,23 @@ def _full(w):
 
 
 def batch_events(w):
-    """Start and completion events of the workload's batches; every seventh batch has not completed."""
+    """Start and completion events of the workload's batches; those of more than six items have not completed."""
     b = w.v_batches.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("item_count"), F.count(F.when(F.col("role") == "user", 1)).alias("success_count"),
         F.count(F.when(F.col("role") != "user", 1)).alias("error_count"), F.sum("n_chars").cast("double").alias("total_time_ms"))
     none = lambda t: F.lit(None).cast(t)
     start = b.select(F.lit("batch_start").alias("event"), "batch_id", F.concat(F.lit("prompt "), F.col("batch_id").cast("string")).alias("user_prompt"), "item_count",
                      none("long").alias("success_count"), none("long").alias("error_count"), none("double").alias("total_time_ms"))
-    done = b.filter(F.col("batch_id") % 7 != 0).select(F.lit("batch_complete").alias("event"), "batch_id", none("string").alias("user_prompt"), none("long").alias("item_count"),
+    done = b.filter(F.col("item_count") <= 6).select(F.lit("batch_complete").alias("event"), "batch_id", none("string").alias("user_prompt"), none("long").alias("item_count"),
                                                        "success_count", "error_count", "total_time_ms")
     return start.unionByName(done).withColumn("timestamp", F.timestamp_seconds(F.col("batch_id") + 1_700_000_000))
 
 
 @query("batch_summary", """WITH b AS (SELECT batch_id, count(*) AS n, count(*) FILTER (WHERE role = 'user') AS ok, count(*) FILTER (WHERE role <> 'user') AS bad,
     CAST(sum(n_chars) AS DOUBLE) AS ms FROM {v_batches} GROUP BY batch_id)
-  SELECT batch_id, concat('prompt ', batch_id) AS user_prompt, n AS item_count, CASE WHEN batch_id % 7 <> 0 THEN ok END AS success_count,
-    CASE WHEN batch_id % 7 <> 0 THEN bad END AS error_count, CASE WHEN batch_id % 7 <> 0 THEN ms END AS total_time_ms,
-    CASE WHEN batch_id % 7 <> 0 THEN round(ok / (ok + bad), 6) END AS success_rate, n AS linked FROM b""")
+  SELECT batch_id, concat('prompt ', batch_id) AS user_prompt, n AS item_count, CASE WHEN n <= 6 THEN ok END AS success_count,
+    CASE WHEN n <= 6 THEN bad END AS error_count, CASE WHEN n <= 6 THEN ms END AS total_time_ms,
+    CASE WHEN n <= 6 THEN round(ok / (ok + bad), 6) END AS success_rate, n AS linked FROM b""")
 def _batches(w):
     return tel.batch_summary(batch_events(w), w.v_batches).drop("started_at").withColumn("success_rate", F.round("success_rate", 6))
 
@@ -267,8 +267,8 @@ def _info(w):
                        F.array_join(F.map_keys("request_metadata"), ",").alias("meta_keys"), F.size("tags").alias("n_tags"))
 
 
-@query("migrate_pending", f"""SELECT count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS migrated, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS skipped FROM {{orders}}""")
+@query("migrate_pending", f"""SELECT count(*) FILTER (WHERE o_orderstatus <> 'F') AS migrated, count(*) FILTER (WHERE o_orderstatus = 'F') AS skipped FROM {{orders}}""")
 def _migrate(w):
     traces = _export(w)[0]
-    done = w.orders.filter(F.col("o_orderkey") % 3 == 0).select(F.concat(F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit("-trace")).alias("trace_id"))
+    done = w.orders.filter(F.col("o_orderstatus") == "F").select(F.concat(F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit("-trace")).alias("trace_id"))
     return tel.migrate_pending(traces, done)[1]

@@ -45,14 +45,15 @@ def token_candidates(queries: DataFrame, terms: DataFrame, min_score: float, sho
     if not 0 < min_score <= 1:
         raise ValueError("min_score must be in (0, 1]")
     by_query, token_sets = _query_token_sets(queries, pattern)
-    ranked = _ranked_tokens(token_sets, "set_id", token_frequencies(terms, pattern))
+    named, tokened, df = _numbered_terms(terms, pattern)
+    ranked = _ranked_tokens(token_sets, "p_no", df)
     probes = stage(
-        ranked.select("set_id", _known(F.col("ranked")).alias("known"), F.size("ranked").alias("n"))
+        ranked.select("p_no", _known(F.col("ranked")).alias("known"), F.size("ranked").alias("n"))
         .withColumn("needed", F.greatest(F.ceil(F.col("n") * F.lit(min_score) - 1e-9), F.lit(1)).cast("int")), "token-probes")
-    index = stage(terms.select("term").distinct().withColumn("t_known", tokens("term", pattern)), "token-index")
-    pairs = _overlapping(probes.drop("n"), index, "set_id", "term", short_term).join(probes.select("set_id", "n"), "set_id").select(
-        "set_id", "term", (F.col("shared") / F.col("n")).alias("score"))
-    return by_query.join(pairs, "set_id").select("query_id", "term", "score")
+    index = tokened.withColumnRenamed("tokens", "t_known")
+    pairs = _overlapping(probes.drop("n"), index, "p_no", "t_no", short_term).join(probes.select("p_no", "n"), "p_no")
+    scored = pairs.select("p_no", "t_no", (F.col("shared") / F.col("n")).alias("score")).join(named, "t_no")
+    return by_query.join(scored, "p_no").select("query_id", "term", "score")
 
 
 def _overlapping(probes: DataFrame, index: DataFrame, left: str, right: str, short_term: int = 16) -> DataFrame:
@@ -113,16 +114,32 @@ def token_topk(queries: DataFrame, terms: DataFrame, k: int = 20, rare_df: int =
     """The k best terms per query: ``(query_id, term, score, rank)``, rank from 0, exact (see module text)."""
     by_query, token_sets = _query_token_sets(queries, pattern)
     best = _topk_per_token_set(token_sets, terms, k, rare_df, max_frequent, pattern)
-    return by_query.join(best, "set_id").select("query_id", "term", "score", "rank")
+    return by_query.join(best, "p_no").select("query_id", "term", "score", "rank")
 
 
 def _query_token_sets(queries: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """(query_id -> set_id) and the distinct non-empty token sets."""
+    """(query_id -> p_no) and the distinct non-empty token sets (p_no, tokens).
+
+    Token sets are numbered once and written, so that their tokens are spread with a long, not with the whole text.
+    """
     keyed = (
         queries.select("query_id", F.array_sort(tokens("query", pattern)).alias("tokens"))
         .filter(F.size("tokens") > 0).withColumn("set_id", F.array_join("tokens", " "))
     )
-    return keyed.select("query_id", "set_id"), keyed.select("set_id", "tokens").dropDuplicates(["set_id"])
+    sets = stage(keyed.select("set_id", "tokens").dropDuplicates(["set_id"]).withColumn("p_no", F.monotonically_increasing_id()), "token-sets")
+    return keyed.select("query_id", "set_id").join(sets.select("set_id", "p_no"), "set_id").drop("set_id"), sets.select("p_no", "tokens")
+
+
+def _numbered_terms(terms: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct terms with tokens: (t_no, term), (t_no, tokens) and the frequency of every token.
+
+    Numbers given after a global sort follow the order of the terms (partitions of a sort are ordered), so pairs are
+    shuffled and ties broken by a long. The staged table keeps them.
+    """
+    sized = terms.select("term").distinct().withColumn("tokens", tokens("term", pattern)).filter(F.size("tokens") > 0)
+    numbered = stage(sized.orderBy("term").withColumn("t_no", F.monotonically_increasing_id()), "token-terms")
+    df = numbered.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return numbered.select("t_no", "term"), numbered.select("t_no", "tokens"), stage(df, "token-df")
 
 
 def _ranked_tokens(token_sets: DataFrame, key: str, df: DataFrame) -> DataFrame:
@@ -164,21 +181,16 @@ def _subsets(items: Column) -> Column:
 
 def _topk_per_token_set(token_sets: DataFrame, terms: DataFrame, k: int, rare_df: int, max_frequent: int,
                         pattern: str) -> DataFrame:
-    df = token_frequencies(terms, pattern)
-    term_sets = terms.select("term").distinct().withColumn("tokens", tokens("term", pattern)).filter(F.size("tokens") > 0)
-    # Numbers given after a global sort follow the order of the terms (partitions of a sort are ordered), so pairs are
-    # shuffled and ties broken by a long. The staged tables keep them.
-    ordered = _split_by_frequency(_ranked_tokens(term_sets, "term", df), "term", rare_df, max_frequent).orderBy("term")
-    index = stage(ordered.withColumn("t_no", F.monotonically_increasing_id()), "token-index")
-    split = _split_by_frequency(_ranked_tokens(token_sets, "set_id", df), "set_id", rare_df, max_frequent)
-    probes = stage(split.withColumn("p_no", F.monotonically_increasing_id()), "token-probes")
+    named, tokened, df = _numbered_terms(terms, pattern)
+    index = stage(_split_by_frequency(_ranked_tokens(tokened, "t_no", df), "t_no", rare_df, max_frequent), "token-index")
+    probes = stage(_split_by_frequency(_ranked_tokens(token_sets, "p_no", df), "p_no", rare_df, max_frequent), "token-probes")
 
     best = _best(_rare_hits(probes, index).unionByName(_frequent_hits(probes, index, k)), k)
     if not (index.filter("long").isEmpty() and probes.filter("long").isEmpty()):
         best = _best(_with_long_labels(stage(best.drop("rank"), "token-best"), probes, index, k), k)
     return (
-        best.join(index.select("t_no", "term"), "t_no").join(probes.select("p_no", "set_id", "n"), "p_no")
-        .select("set_id", "term", (F.col("shared") / F.col("n")).alias("score"), "rank")
+        best.join(named, "t_no").join(probes.select("p_no", "n"), "p_no")
+        .select("p_no", "term", (F.col("shared") / F.col("n")).alias("score"), "rank")
     )
 
 

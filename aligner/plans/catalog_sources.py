@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from aligner.operators import matchdb
 from aligner.operators import telemetry as tel
-from aligner.plans.catalog_telemetry import _ITEM, _TID, _export, batch_events, records
+from aligner.plans.catalog_telemetry import _ITEM, _TID, _export, records
 from aligner.plans.registry import query
 from aligner.session import new_path
 from aligner.sources import files, sinks

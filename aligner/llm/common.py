@@ -55,3 +55,10 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
         codes = codes[keep]
     return encoded.dictionary, codes, offsets
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads every input bit (splitmix finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aligner.llm import ann, langid, mixing, packing, quality, repeats, simhash, tokens
+from aligner.llm import ann, imatch, langid, mixing, packing, quality, repeats, simhash, tokens
 from aligner.llm.common import table
 
 PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -26,6 +26,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -57,6 +61,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
+    "op4_imatch": op4_imatch,
     "op5_neighbours": op5_neighbours,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aligner.llm.common import WORD_CLASS, shuffle_partitions
+from aligner.llm.common import WORD_CLASS, let, shuffle_partitions
 from aligner.session import stage
 
 _KEY = "_source_key"
@@ -58,11 +58,6 @@ def targets(sizes: DataFrame, total_share: float, weights: tuple[int, ...], most
     return weighed.select(_KEY, "source_size", F.least(target, F.col("_cap")).alias("target"))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 _UNIT = "doc_id long, size long, rows long, whole long, p double"
 
 
@@ -88,7 +83,7 @@ def _duel(a: Column, b: Column, seed: int, level: int) -> Column:
         return F.when(a_gains, F.array(_unit(a, _snapped(gain_a)), _unit(b, _snapped(lose_b)))).otherwise(
             F.array(_unit(a, _snapped(lose_a)), _unit(b, _snapped(gain_b))))
 
-    return _let(mass, moved)
+    return let(mass, moved)
 
 
 def _snapped(p: Column) -> Column:
@@ -110,7 +105,7 @@ def _fold(units: Column, seed: int, level: int) -> Column:
                             F.filter(pair, _open).alias("open")).cast(kind)
 
         alone = F.struct(state["done"].alias("done"), F.array(unit).alias("open")).cast(kind)
-        return F.when(F.size(state["open"]) == 0, alone).otherwise(_let(_duel(F.get(state["open"], F.lit(0)), unit, seed, level), settled))
+        return F.when(F.size(state["open"]) == 0, alone).otherwise(let(_duel(F.get(state["open"], F.lit(0)), unit, seed, level), settled))
 
     return F.aggregate(units, start, step)
 

@@ -12,12 +12,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aligner.llm import ann, imatch, langid, mixing, packing, quality, repeats, simhash, tokens
+from aligner.llm import ann, imatch, langid, mixing, packing, quality, repeats, simhash, tokens, wrappers
 from aligner.llm.common import table
 
 PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -59,6 +63,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
     "op4_imatch": op4_imatch,

@@ -58,16 +58,17 @@ def targets(sizes: DataFrame, total_share: float, weights: tuple[int, ...], most
     return weighed.select(_KEY, "source_size", F.least(target, F.col("_cap")).alias("target"))
 
 
-_UNIT = "doc_id long, size long, rows long, whole long, p double"
+_UNIT = "doc_id long, size long, hash long, rows long, whole long, p double"
+_UNIT_FIELDS = ["doc_id", "size", "hash", "rows", "whole", "p"]
 
 
 def _unit(u: Column, p: Column) -> Column:
-    return F.struct(u["doc_id"].alias("doc_id"), u["size"].alias("size"), u["rows"].alias("rows"), u["whole"].alias("whole"), p.alias("p"))
+    return F.struct(*[u[f].alias(f) for f in _UNIT_FIELDS[:-1]], p.alias("p"))
 
 
 def _duel(a: Column, b: Column, seed: int, level: int) -> Column:
     """The pair after the exchange: an array of two units, at least one with fraction 0 or 1."""
-    uniform = (F.xxhash64(a["doc_id"], a["size"], b["doc_id"], b["size"], F.lit(seed), F.lit(level)).bitwiseAND(F.lit((1 << 53) - 1))
+    uniform = (F.xxhash64(a["doc_id"], a["hash"], b["doc_id"], b["hash"], F.lit(seed), F.lit(level)).bitwiseAND(F.lit((1 << 53) - 1))
                .cast("double") / F.lit(float(1 << 53)))
     mass = F.struct(
         ((F.lit(1.0) - a["p"]) * a["size"]).alias("a_up"), (a["p"] * a["size"]).alias("a_down"),
@@ -117,9 +118,9 @@ def _rounded(units: DataFrame, sources: DataFrame, seed: int, fan_in: int) -> Da
     rest = units
     while True:
         groups = F.greatest(F.lit(1), F.ceil(F.col("_units") / F.lit(float(fan_in ** (level + 1))))).cast("long")
-        group = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed), F.lit(1000 + level)), groups)
-        unit = F.struct("doc_id", "size", "rows", "whole", "p")
-        by_size = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("o"), F.col("doc_id").alias("i"), unit.alias("unit"))))
+        group = F.pmod(F.xxhash64("doc_id", "hash", F.lit(seed), F.lit(level)), groups)
+        unit = F.struct(*_UNIT_FIELDS)
+        by_size = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("o"), F.col("doc_id").alias("i"), F.col("hash").alias("h"), unit.alias("unit"))))
         folded = rest.withColumn("_group", group).groupBy(_KEY, "_units", "_group").agg(
             F.transform(by_size, lambda x: x["unit"]).alias("units"))
         folded = stage(folded.select(_KEY, "_units", _fold(F.col("units"), seed, level).alias("state")), "duels")
@@ -128,7 +129,7 @@ def _rounded(units: DataFrame, sources: DataFrame, seed: int, fan_in: int) -> Da
         level += 1
         if fan_in ** level >= largest:
             break
-    out = rest.select(_KEY, "doc_id", "size", "rows", "whole", F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0).alias("p"))
+    out = rest.select(_KEY, *_UNIT_FIELDS[:-1], F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0).alias("p"))
     for more in decided:
         out = out.unionByName(more)
     return out
@@ -136,18 +137,19 @@ def _rounded(units: DataFrame, sources: DataFrame, seed: int, fan_in: int) -> Da
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_share: float = 1.5,
         weights: tuple[int, ...] = (3, 1, 2), most: float = 2.0, seed: int = 11, fan_in: int = 256) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` of every row, ``taken`` being copies times size.
+    """``doc_id, source, hash, size, source_size, target, copies, taken`` of every row, ``taken`` being copies times size.
 
     Size is the number of words of the text (null: 0). Sources weigh ``weights`` in turn by code point, null last, and share
     ``total_share`` of all sizes; no target exceeds ``most`` times its source's size, nor ``taken`` that multiple (rounded up) of the document's. The total
     taken of a source differs from its target by less than one document's size. The choice depends only on the rows and
-    ``seed``. Equal rows (id, source, size) are counted, get their common whole copies and compete as one; null ids are ids
+    ``seed``. ``hash`` is that of the text. Equal rows (id, source, text) are counted, get their common whole copies and compete as one; null ids are ids
     like others; extra columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_CLASS)), F.lit(0)).cast("long").alias("size"))
-    rows = rows.withColumn(_KEY, _source_key(F.col("source"))).groupBy(_KEY, "doc_id", "size").agg(
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_CLASS)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col(text_col)).alias("hash"))
+    rows = rows.withColumn(_KEY, _source_key(F.col("source"))).groupBy(_KEY, "doc_id", "size", "hash").agg(
         F.first("source").alias("source"), F.count(F.lit(1)).alias("rows"))
     rows = stage(rows, "sizes")
     sizes = rows.groupBy(_KEY).agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("rows")).alias("source_size"),
@@ -162,12 +164,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     units = rated.withColumn("whole", F.floor(copies + _WHOLE).cast("long")).withColumn(
         "p", _snapped(F.greatest(F.lit(0.0), copies - F.col("whole"))))
     duelling = (F.col("p") > 0) & (F.col("p") < 1) & (F.col("size") > 0)
-    columns = [_KEY, "doc_id", "size", "rows", "whole", "p"]
+    columns = [_KEY, *_UNIT_FIELDS]
     settled = units.where(~duelling).withColumn("p", F.floor("p").cast("double")).select(*columns)
-    all_units = settled.unionByName(_rounded(units.where(duelling).select(_KEY, "_units", "doc_id", "size", "rows", "whole", "p"),
+    all_units = settled.unionByName(_rounded(units.where(duelling).select(_KEY, "_units", *_UNIT_FIELDS),
                                              sources, seed, fan_in).select(*columns))
     total = F.col("whole") + F.col("p").cast("long")
     spread = all_units.withColumn("_total", total).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     each = F.floor(F.col("_total") / F.col("rows")) + (F.col("_row") <= F.col("_total") % F.col("rows")).cast("long")
     return spread.withColumn("copies", each.cast("long")).join(sources.select(_KEY, "source", "source_size", "target"), _KEY).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        "doc_id", "source", "hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` copies them (``doc_id``, ``text`` and ``source`` have these names)."""
+    copies = mix(docs, **options).groupBy("doc_id", "source", "hash").agg(F.sum("copies").alias("_copies")).where(F.col("_copies") > 0)
+    copies = copies.withColumnsRenamed({"doc_id": "_id", "source": "_source", "hash": "_text"})
+    same = (F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_text")))
+    own = docs.withColumn("_hash", F.xxhash64("text"))
+    found = own.join(copies, same).dropDuplicates(["doc_id", "source", "_hash"])
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(c) for c in docs.columns])

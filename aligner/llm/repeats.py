@@ -196,8 +196,8 @@ def _later(key: tuple, windows: pa.Table) -> pa.Table:
     return _rows(rows, _HIT_FIELDS)
 
 
-def _kept(key: tuple, docs: pa.Table, later: pa.Table, window: int, schema: pa.Schema) -> pa.Table:
-    """Documents without the words that ``later`` windows cover."""
+def _kept(key: tuple, docs: pa.Table, later: pa.Table, window: int, layout: bool, schema: pa.Schema) -> pa.Table:
+    """Documents without the words that ``later`` windows cover; ``layout``: texts that lose none stay as they are."""
     if not docs.num_rows:
         return schema.empty_table()
     pack = Pack(docs)
@@ -208,13 +208,16 @@ def _kept(key: tuple, docs: pa.Table, later: pa.Table, window: int, schema: pa.S
     offsets = done[pack.starts]
     texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words), " ")
     n_words = np.diff(pack.starts)
+    if layout:
+        texts = pc.if_else(pa.array(n_words == np.diff(offsets)), pack.docs.column("text").combine_chunks(), texts)
     return pa.table([pack.docs.column("carried"), pa.array(n_words, pa.int64()), pa.array(n_words - np.diff(offsets), pa.int64()),
                      texts], schema=schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50,
-                   pack_bytes: int = _PACK_BYTES) -> DataFrame:
-    """All columns but the text of every row, with ``n_words``, ``n_removed`` and ``kept_text`` (kept words, one space between).
+                   pack_bytes: int = _PACK_BYTES, layout: bool = False) -> DataFrame:
+    """All columns but the text of every row, with ``n_words``, ``n_removed`` and ``kept_text`` (kept words, one space between; with
+    ``layout`` a text that loses nothing is kept as it is).
 
     A word goes if it is covered by a window of ``window`` words of its document whose words also start in a document with a smaller
     id. Null texts have no words. A null id counts as larger than all others; rows with equal ids are one position in the
@@ -243,7 +246,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def keep(key: tuple, docs: pa.Table, later: pa.Table) -> pa.Table:
         fields = [docs.schema.field("carried"), pa.field("n_words", pa.int64()), pa.field("n_removed", pa.int64()),
                   pa.field("kept_text", pa.string())]
-        return _kept(key, docs, later, window, pa.schema(fields))
+        return _kept(key, docs, later, window, layout, pa.schema(fields))
 
     kept = rows.groupBy("pack").cogroup(later.groupBy("pack")).applyInArrow(keep, out)
     return kept.select("carried.*", "n_words", "n_removed", "kept_text")

@@ -55,15 +55,15 @@ def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (a signed long) of every row; a null text has no words and the fingerprint zero."""
+    """``doc_id, hash, fp`` of every row: a hash of its text and the fingerprint as a signed long, zero without words."""
 
     def of(batches):
         for part in byte_slices(batches, "text", _SLICE_BYTES):
             fps = fingerprints_of(part.column("text"), shingle)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), pa.array(fps)], ["doc_id", "hash", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(of, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(of, "doc_id long, hash long, fp long")
 
 
 @dataclass(frozen=True)
@@ -296,12 +296,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def with_components(fps: DataFrame, distance: int, group_rows: int = _GROUP) -> DataFrame:
-    """``doc_id, fp, component_id`` for rows ``doc_id, fp``."""
+def _members(fps: DataFrame, distance: int, group_rows: int) -> DataFrame:
+    """``fp, root, component_id`` for every distinct fingerprint of ``doc_id, fp``."""
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, distance, group_rows))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = stage(rooted.join(smallest, "root").select("fp", "component_id"), "components")
-    return fps.join(members, "fp").select("doc_id", "fp", "component_id")
+    return stage(rooted.join(smallest, "root").select("fp", "root", "component_id"), "components")
+
+
+def with_components(fps: DataFrame, distance: int, group_rows: int = _GROUP) -> DataFrame:
+    """``doc_id, fp, component_id`` for rows ``doc_id, fp``."""
+    return fps.join(_members(fps, distance, group_rows), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """One row of every component, all columns: the row with the smallest id (nulls last), then the smallest hash of its text."""
+    fps = stage(fingerprints(docs, "doc_id", "text", shingle), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("hash").alias("h"))
+    kept = fps.join(_members(fps, distance, _GROUP), "fp").groupBy("root").agg(F.min(order).alias("o"))
+    kept = kept.select(F.col("o.i").alias("_id"), F.col("o.h").alias("_text")).distinct()
+    own = docs.withColumn("_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
+    return own.join(kept, same).dropDuplicates(["doc_id", "_hash"]).select(*[F.col(c) for c in docs.columns])

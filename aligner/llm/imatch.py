@@ -7,6 +7,8 @@ holds any of them are sorted and hashed; the fingerprint is the list of these ha
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,8 +102,8 @@ def _bucket(docs: DataFrame, bytes_each: int) -> Column:
     bounds = sorted({size["lo"], *(c for c in cuts if size["lo"] < c <= size["hi"])})
     ends = [*bounds[1:], size["hi"] + 1]
     within = max(1, -(-max((size["b"] or 0) // bytes_each, shuffle_partitions(docs.sparkSession)) // len(bounds)))
-    starts = F.array(*[F.lit(b).cast("decimal(20,0)") for b in bounds])
-    widths = F.array(*[F.lit(e - b).cast("decimal(20,0)") for b, e in zip(bounds, ends, strict=True)])
+    starts = F.array(*[F.lit(Decimal(b)).cast("decimal(20,0)") for b in bounds])
+    widths = F.array(*[F.lit(Decimal(e - b)).cast("decimal(20,0)") for b, e in zip(bounds, ends, strict=True)])
     place = F.size(F.filter(starts, lambda b: b <= F.col("_order"))) - 1
     offset = (F.col("_order").cast("decimal(20,0)") - F.get(starts, place)).cast("double") / F.get(widths, place).cast("double")
     inner = F.least(F.lit(within - 1), F.floor(offset * within).cast("long"))

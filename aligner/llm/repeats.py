@@ -97,7 +97,7 @@ _WINDOW_FIELDS = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("doc_
 
 
 def _probes(key: tuple, docs: pa.Table, block: int, buckets: int) -> pa.Table:
-    """All rolling windows of one block's length: low hash bits and gaps of position, one row per bucket (more where a gap is wide).
+    """All rolling windows of one block's length: low hash bits and gaps of position, one row per bucket.
 
     The low bit of a hash says whether the window is a reference block.
     """
@@ -110,13 +110,13 @@ def _probes(key: tuple, docs: pa.Table, block: int, buckets: int) -> pa.Table:
     rows = []
     for bucket, index in _by_bucket(_bucket(hashes, buckets), buckets):
         gaps = np.diff(at[index], prepend=at[index[0]])
-        wide = np.flatnonzero(gaps > 255 if buckets <= 64 else gaps > 65535)
+        wide = np.flatnonzero(gaps > 65535)
         for part in np.split(np.arange(len(index)), wide):
             if len(part):
                 own = gaps[part]
                 own[0] = 0
-                rows.append((bucket, key[0].as_py(), int(at[index[part[0]]]),
-                             own.astype(np.uint8 if buckets <= 64 else np.uint16).tobytes(), low[index[part]].tobytes()))
+                planes = own.astype("<u2").view(np.uint8).reshape(-1, 2).T  # low bytes, then the high ones, which are mostly zero
+                rows.append((bucket, key[0].as_py(), int(at[index[part[0]]]), planes.tobytes(), low[index[part]].tobytes()))
     return _rows(rows, _PROBE_FIELDS)
 
 
@@ -128,7 +128,7 @@ def _joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
-def _hits(key: tuple, probes: pa.Table, buckets: int) -> pa.Table:
+def _hits(key: tuple, probes: pa.Table) -> pa.Table:
     """Positions whose window occurs at least twice, once of them as a reference block."""
     hashes = _joined(probes.column("hashes"), np.uint32)
     counts = _lengths(probes.column("hashes"), 4)
@@ -141,7 +141,8 @@ def _hits(key: tuple, probes: pa.Table, buckets: int) -> pa.Table:
     good = np.repeat((size > 1) & (references > 0), size)
     hit = np.zeros(len(hashes), bool)
     hit[order[good]] = True
-    gaps = _joined(probes.column("gaps"), np.uint8 if buckets <= 64 else np.uint16).astype(np.int64)
+    planes = [np.frombuffer(x, np.uint8).reshape(2, -1) for x in probes.column("gaps").to_pylist()]
+    gaps = np.concatenate([p[0] + p[1].astype(np.int64) * 256 for p in planes])
     begins = np.cumsum(counts) - counts
     total = np.cumsum(gaps)
     positions = total - np.repeat(total[begins], counts) + np.repeat(probes.column("first").to_numpy(), counts)
@@ -237,7 +238,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ).withColumn("pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(packs)))
 
     probes = rows.groupBy("pack").applyInArrow(lambda k, t: _probes(k, t, block, buckets), _PROBES)
-    hits = probes.groupBy("bucket").applyInArrow(lambda k, t: _hits(k, t, buckets), _HITS)
+    hits = probes.groupBy("bucket").applyInArrow(_hits, _HITS)
     windows = rows.groupBy("pack").cogroup(hits.groupBy("pack")).applyInArrow(
         lambda k, t, h: _windows(k, t, h, window, block, buckets), _WINDOWS)
     later = windows.groupBy("bucket").applyInArrow(_later, _HITS)

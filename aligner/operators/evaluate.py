@@ -28,7 +28,18 @@ def _share(cond: Column) -> Column:
 
 
 def accuracy(predictions: DataFrame, truth: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return judged(predictions, truth).groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("queries"), _share(F.col("correct")).alias("accuracy"))
+    """Share answered right; every query of the truth without a prediction (in the group) counts as one that was given none.
+
+    The unanswered queries of a group are differences of counts, so groups and truth are never paired.
+    """
+    none_expected = F.col("expected") == NO_MATCH_MARK
+    totals = truth.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(none_expected, 1)).alias("none"))
+    answered = judged(predictions, truth).groupBy(*(by or [])).agg(
+        F.count(F.lit(1)).alias("_rows"), F.count(F.when(F.col("correct"), 1)).alias("_correct"),
+        F.count_distinct("query_id").alias("_asked"), F.count_distinct(F.when(none_expected, F.col("query_id"))).alias("_none"))
+    queries = F.col("_rows") + totals.select("n").scalar() - F.col("_asked")
+    right = F.col("_correct") + totals.select("none").scalar() - F.col("_none")
+    return answered.withColumn("queries", queries).withColumn("accuracy", right / F.col("queries")).select(*(by or []), "queries", "accuracy")
 
 
 def _answerable(truth: DataFrame) -> DataFrame:

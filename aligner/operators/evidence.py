@@ -5,20 +5,20 @@ Search records are rows ``(query_id, rank, url, title, snippet)``; pages add ``h
 
 from __future__ import annotations
 
+import html as _html
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aligner.functions.text import trimmed
 
-# Lists, limits and entities that decide results.
+# Lists and limits that decide results.
 SKIP_EXTENSIONS = [".doc", ".docx", ".ppt", ".pptx", ".xls", ".xlsx"]
 SKIP_DOMAINS = ["linkedin.com", "facebook.com", "instagram.com", "twitter.com", "x.com"]
 STRIP_TAGS = ["script", "style", "nav", "header", "footer"]
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-            ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 KEYWORD_SEPARATORS = ["/", "-"]
 MIN_PAGE_TEXT = 50
-MAX_PAGE_TEXT = 10000
 TITLE_LENGTH = 100
 MAX_SITES = 7
 CONTENT_CHAR_LIMIT = 800
@@ -42,10 +42,28 @@ def search_records(hits: DataFrame) -> DataFrame:
         trimmed(F.array_join(parts, "\n")).alias("snippet"))
 
 
+_NAMED = {name[:-1]: char for name, char in _html.entities.html5.items() if name.endswith(";")} | {"nbsp": " "}
+
+
 def _unescaped(col: Column) -> Column:
-    for entity, char in ENTITIES:
-        col = F.replace(col, F.lit(entity), F.lit(char))
-    return col
+    """Character references decoded once: decimal, hexadecimal and the standard's names; unknown ones stay."""
+    names = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+    digits = lambda part: F.regexp_extract(part, r"^&#([0-9]+);", 1)
+    hexed = lambda part: F.regexp_extract(part, r"^&#[xX]([0-9a-fA-F]+);", 1)
+
+    def character(code: Column) -> Column:
+        usable = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    def decoded(part: Column) -> Column:
+        code = F.coalesce(F.nullif(digits(part), F.lit("")).try_cast("long"), F.conv(F.nullif(hexed(part), F.lit("")), 16, 10).try_cast("long"))
+        named = F.try_element_at(names, F.regexp_extract(part, r"^&([A-Za-z][A-Za-z0-9]*);", 1))
+        numeric = part.rlike(r"^&#([0-9]+|[xX][0-9a-fA-F]+);")
+        char = F.when(numeric, F.coalesce(character(code), F.lit("\ufffd"))).otherwise(named)
+        return F.when(char.isNull(), part).otherwise(F.concat(char, F.regexp_extract(part, "(?s)^&[^;]*;(.*)$", 1)))
+
+    parts = F.transform(F.split(col, "(?=&)"), lambda p: F.when(p.startswith("&"), decoded(p)).otherwise(p))
+    return F.when(F.contains(col, F.lit("&")), F.array_join(parts, "")).otherwise(col)
 
 
 def page_text(html: Column, max_bytes: int | None = None) -> Column:
@@ -58,7 +76,7 @@ def page_text(html: Column, max_bytes: int | None = None) -> Column:
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for tag in STRIP_TAGS:
         text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    text = _unescaped(F.regexp_replace(text, r"<[^>]+>", ""))
+    text = _unescaped(F.regexp_replace(text, r"<[A-Za-z/!?][^>]*>", ""))  # a lone < is text
     return F.regexp_replace(trimmed(text), r"\s+", " ")
 
 
@@ -70,7 +88,7 @@ def page_title(html: Column, url: Column, length: int = TITLE_LENGTH) -> Column:
 
 
 def page_filter(pages: DataFrame, char_limit: int = CONTENT_CHAR_LIMIT, max_bytes: int | None = None,
-                host_exact: bool = False) -> DataFrame:
+                host_exact: bool = False, min_text: int = MIN_PAGE_TEXT) -> DataFrame:
     """Pages with ``rejection`` (null when usable), ``page_title`` and ``content``.
 
     Extensions and domains are substring tests on the lower-case URL, as in the reference behaviour;
@@ -92,12 +110,12 @@ def page_filter(pages: DataFrame, char_limit: int = CONTENT_CHAR_LIMIT, max_byte
         .when(domain_hit, "skip_domain")
         .when(F.col("status") != 200, F.concat(F.lit("http_"), F.col("status").cast("string")))
         .when(pdf | ~textual, "non_html")
-        .when(F.length("text") < MIN_PAGE_TEXT, "too_short")
+        .when(F.length("text") < min_text, "too_short")
     )
     return (
         pages.withColumn("text", text).withColumn("rejection", rejection)
         .withColumn("page_title", page_title(F.col("html"), F.col("url")))
-        .withColumn("content", F.when(F.col("rejection").isNull(), F.substring("text", 1, min(MAX_PAGE_TEXT, char_limit))))
+        .withColumn("content", F.when(F.col("rejection").isNull(), F.substring("text", 1, char_limit)))
         .drop("text", "html")
     )
 
@@ -154,27 +172,36 @@ def web_cost(queries: DataFrame, kept: DataFrame, stats: DataFrame | None, strat
 
 
 def evidence_warnings(queries: DataFrame, kept: DataFrame, max_sites: int = MAX_SITES, skipped: bool = False,
-                      upstream_reason: str | None = None) -> DataFrame:
-    """Queries short of evidence: fewer sources than asked for, or none (with the upstream reason if known)."""
+                      upstream: DataFrame | None = None) -> DataFrame:
+    """Queries short of evidence: fewer sources than asked for, or none.
+
+    ``upstream`` gives ``(query_id, code, kind)`` for the queries whose search failed, as ``http_warning`` classifies them; it
+    explains their missing evidence.
+    """
     counts = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("usable"))
     usable = F.coalesce("usable", F.lit(0).cast("long"))
-    code = F.when((usable > 0) & (usable < max_sites), "low_document_count").when(
-        (usable == 0) & F.lit(not skipped), upstream_reason or "no_results")
+    missing = (usable == 0) & F.lit(not skipped)
+    asked = queries.select("query_id").distinct().join(counts, "query_id", "left")
+    if upstream is None:
+        asked = asked.withColumns({"_code": F.lit(None).cast("string"), "_kind": F.lit(None).cast("string")})
+    else:
+        asked = asked.join(upstream.select("query_id", F.col("code").alias("_code"), F.col("kind").alias("_kind")), "query_id", "left")
+    code = F.when((usable > 0) & (usable < max_sites), "low_document_count").when(missing, F.coalesce("_code", F.lit("no_results")))
     return (
-        queries.select("query_id").distinct().join(counts, "query_id", "left")
-        .select("query_id", F.lit("web_search").alias("step"), code.alias("code"), F.lit("transient").alias("kind"),
+        asked.select("query_id", F.lit("web_search").alias("step"), code.alias("code"),
+                     F.coalesce(F.when(missing, F.col("_kind")), F.lit("transient")).alias("kind"),
                 usable.alias("usable"), F.lit(max_sites).alias("target"))
         .filter(F.col("code").isNotNull())
     )
 
 
-def fallback_keywords(query: Column) -> Column:
+def fallback_keywords(query: Column, most: int = FALLBACK_KEYWORDS) -> Column:
     """First keywords of a query: split on separators and white space, long enough ones only."""
     spaced = query
     for sep in KEYWORD_SEPARATORS:
         spaced = F.replace(spaced, F.lit(sep), F.lit(" "))
     words = F.filter(F.split(spaced, r"\s+"), lambda w: F.length(w) >= MIN_KEYWORD_LENGTH)
-    return F.slice(words, 1, FALLBACK_KEYWORDS)
+    return F.slice(words, 1, most)
 
 
 def combined_text(queries: DataFrame, kept: DataFrame, per_site: int = PER_SITE_LIMIT, limit: int = RAW_CONTENT_LIMIT) -> DataFrame:

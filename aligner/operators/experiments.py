@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_PAGE = 200
+def _checked_limit(limit: int, most: int | None) -> int:
+    if limit < 0 or (most is not None and limit > most):
+        raise ValueError(f"a page of {limit} rows; at most {most} are allowed")
+    return limit
 
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """One page of the whole table with its total; Spark takes the first offset + limit rows per task."""
+def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, most: int | None = None) -> DataFrame:
+    """One page of the whole table with its total; Spark takes the first offset + limit rows per task.
+
+    A page larger than ``most`` is refused, never cut.
+    """
+    limit = _checked_limit(limit, most)
     total = df.agg(F.count(F.lit(1))).scalar()
-    return df.orderBy(*order).offset(offset).limit(min(limit, MAX_PAGE)).withColumn("total", total)
+    return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
 
 
-def page_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+def page_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int, offset: int = 0, most: int | None = None) -> DataFrame:
     """The same page for every group at once, with the group's total; Spark limits each group before the shuffle."""
-    limit = min(limit, MAX_PAGE)
+    limit = _checked_limit(limit, most)
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
@@ -34,14 +41,21 @@ def list_experiments(experiments: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+# The largest pages of the listings.
+RUNS_PAGE, TRACES_PAGE, ITEMS_PAGE = 200, 500, 500
+
+
 def list_runs(runs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     """Newest runs of every experiment, paged."""
-    return page_per_group(runs, ["experiment_id"], [F.desc("start_time"), F.asc("run_id")], limit, offset)
+    return page_per_group(runs, ["experiment_id"], [F.desc("start_time"), F.asc("run_id")], limit, offset, RUNS_PAGE)
 
 
-def list_traces(traces: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Newest traces over all experiments, paged."""
-    return page(traces, [F.desc("request_time"), F.asc("trace_id")], limit, offset)
+def list_traces(traces: DataFrame, limit: int = 50, offset: int = 0, by_experiment: bool = False) -> DataFrame:
+    """Newest traces, paged: over all experiments, or of every experiment (``experiment_id``)."""
+    order = [F.desc("request_time"), F.asc("trace_id")]
+    if by_experiment:
+        return page_per_group(traces, ["experiment_id"], order, limit, offset, TRACES_PAGE)
+    return page(traces, order, limit, offset, TRACES_PAGE)
 
 
 def latest_metric(series: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,9 +128,11 @@ def list_datasets(items: DataFrame) -> DataFrame:
     return items.groupBy("dataset_name").agg(F.count(F.lit(1)).alias("items"))
 
 
-def dataset_items_page(items: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Items by id descending, paged."""
-    return page(items, [F.desc("id")], limit, offset)
+def dataset_items_page(items: DataFrame, limit: int = 50, offset: int = 0, by_dataset: bool = False) -> DataFrame:
+    """Items by id descending, paged: of the whole table, or of every dataset (``dataset_name``)."""
+    if by_dataset:
+        return page_per_group(items, ["dataset_name"], [F.desc("id")], limit, offset, ITEMS_PAGE)
+    return page(items, [F.desc("id")], limit, offset, ITEMS_PAGE)
 
 
 def status_snapshot(aliases: DataFrame, experiments: DataFrame, mappings: DataFrame) -> DataFrame:

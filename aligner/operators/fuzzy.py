@@ -69,7 +69,7 @@ def fuzzy_best(queries: DataFrame, keys: DataFrame, threshold: float = THRESHOLD
 def _passes(threshold: float) -> list[tuple[float, float]]:
     """(string threshold, word threshold) from strict to the one asked for."""
     steps = [t for t in (0.9,) if t > threshold + 0.05] + [threshold]
-    return [(t, 2 / 3 if t >= 0.9 else max(t - 0.2, 0.0)) for t in steps]
+    return [(t, 2 / 3 if t >= 0.9 else max(t - 0.2, t / 2)) for t in steps]
 
 
 def _best_at(probes: DataFrame, known: DataFrame, threshold: float, word_level: float) -> DataFrame:
@@ -167,14 +167,19 @@ def similar_words(left: DataFrame, right: DataFrame, min_similarity: float) -> D
     """Pairs ``(word, other, similarity)`` of two distinct vocabularies with edit similarity >= the bound.
 
     Lossless segment join: with at most d edits between two words, cutting one into d + 1 segments leaves at
-    least one segment untouched, and it starts within d places of its position in the other word.
+    least one segment untouched, and it starts within d places of its position in the other word. A word too short for
+    d + 1 segments has a longer partner, of whose m letters at least m - d stand in both in the same order: these meet on two such
+    letters (or on one, where only one is certain).
     """
+    if not 0 < min_similarity <= 1:
+        raise ValueError("min_similarity must be in (0, 1]")
+
     def edits(longer: Column) -> Column:
         return F.floor(longer * (1 - min_similarity) + _SLACK).cast("int")
 
     def band(n: Column) -> Column:
         return F.sequence(F.greatest(F.ceil(n * min_similarity - _SLACK), F.lit(1)).cast("int"),
-                          (F.floor(n / min_similarity + _SLACK).cast("int") if min_similarity > 0 else n * 100))
+                          F.floor(n / min_similarity + _SLACK).cast("int"))
 
     # right words: segments for every edit bound that a partner length can ask for
     cut_start = F.floor(F.col("seg") * F.col("n") / (F.col("d") + 1)).cast("int")
@@ -182,26 +187,42 @@ def similar_words(left: DataFrame, right: DataFrame, min_similarity: float) -> D
     segments = (
         right.select(F.col("word").alias("other"), F.length("word").alias("n"))
         .withColumn("d", F.explode(F.array_distinct(F.transform(band(F.col("n")), lambda m: edits(F.greatest(m, F.col("n")))))))
-        .withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("d"))))
+        .filter(F.col("n") > F.col("d")).withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("d"))))
         .select("other", "n", "d", "seg", F.substring(F.col("other"), cut_start + 1, cut_end - cut_start).alias("piece"))
     )
     # left words: for every partner length the pieces its segments could match
+    asked = left.select("word", F.explode(band(F.length("word"))).alias("n")).withColumn(
+        "d", edits(F.greatest(F.length("word"), F.col("n"))))
     probes = (
-        left.select("word", F.explode(band(F.length("word"))).alias("n"))
-        .withColumn("d", edits(F.greatest(F.length("word"), F.col("n"))))
-        .withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("d"))))
+        asked.filter(F.col("n") > F.col("d")).withColumn("seg", F.explode(F.sequence(F.lit(0), F.col("d"))))
         .withColumn("from", cut_start).withColumn("size", cut_end - cut_start)
         .withColumn("at", F.explode(F.sequence(F.greatest(F.col("from") - F.col("d"), F.lit(0)),
                                                F.greatest(F.least(F.col("from") + F.col("d"), F.length("word") - F.col("size")), F.lit(0)))))
         .select("word", "n", "d", "seg", F.substring(F.col("word"), F.col("at") + 1, F.col("size")).alias("piece")).distinct()
     )
-    near = block_join(probes, segments, ["n", "d", "seg", "piece"]).select("word", "other").distinct()
+    near = block_join(probes, segments, ["n", "d", "seg", "piece"]).select("word", "other")
+
+    short = asked.filter((F.col("n") <= F.col("d")) & (F.length("word") - F.col("d") <= F.col("n"))).withColumn(
+        "letters", F.least(F.length("word") - F.col("d"), F.lit(2)))
+    asked_letters = short.select("word", "n", "letters", F.explode(_ordered_letters(F.col("word"), F.col("letters"))).alias("piece"))
+    held_letters = right.select(F.col("word").alias("other"), F.length("word").alias("n"), F.explode(F.array(F.lit(1), F.lit(2))).alias("letters")).select(
+        "other", "n", "letters", F.explode(_ordered_letters(F.col("other"), F.col("letters"))).alias("piece"))
+    near = near.unionByName(block_join(asked_letters, held_letters, ["n", "letters", "piece"]).select("word", "other")).distinct()
+    longest = F.greatest(F.length("word"), F.length("other"))
     return (
-        near.withColumn("similarity", edit_similarity(F.col("word"), F.col("other")))
+        near.filter((F.abs(F.length("word") - F.length("other")) <= edits(longest)))
+        .withColumn("similarity", edit_similarity(F.col("word"), F.col("other")))
         .filter(F.col("similarity") >= min_similarity - _SLACK)
     )
 
 
+def _ordered_letters(word: Column, count: Column) -> Column:
+    """The distinct letters of a word, or its distinct pairs of letters in order."""
+    letters = F.filter(F.split(word, ""), lambda c: c != "")
+    pairs = F.flatten(F.transform(letters, lambda a, i: F.transform(F.filter(letters, lambda _, k: k > i), lambda b: F.concat(a, b))))
+    return F.array_distinct(F.when(count == 1, letters).otherwise(pairs))
+
+
 def fuzzy_two_pass(queries: DataFrame, forward: DataFrame, targets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Forward keys first; queries without a hit there are compared with the targets.
 

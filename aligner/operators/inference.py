@@ -119,57 +119,79 @@ def unwrap_single(response: Column, schema: StructType) -> Column:
 
 # ---------------------------------------------------------------- schema validation
 
-# JSON types and what each accepts.
-_JSON_TYPES: dict[str, tuple[type, ...]] = {
-    "object": (dict,), "array": (list,), "string": (str,), "number": (int, float), "integer": (int,),
-    "boolean": (bool,), "null": (type(None),),
+# Names of the kinds in messages, the kinds each JSON Schema type accepts, and the messages.
+KIND_NAMES = {"OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BOOLEAN": "bool", "BIGINT": "int", "VOID": "NoneType"}
+ACCEPTED_KINDS = {
+    "object": ["dict"], "array": ["list"], "string": ["str"], "number": ["int", "float"], "integer": ["int"], "boolean": ["bool"],
+    "null": ["NoneType"],
 }
-
-
-def _has_type(value: object, names: list[str]) -> bool:
-    known = [n for n in names if n in _JSON_TYPES]
-    if len(known) < len(names):
-        return True
-    if isinstance(value, bool):
-        return "boolean" in known
-    return any(isinstance(value, _JSON_TYPES[n]) for n in known if n != "boolean")
-
-
-def _violations(value: object, schema: dict) -> list[tuple[str, str]]:
-    """(path, message) of every violation of type, enum, required, properties and items; other keywords are ignored."""
-    found: list[tuple[tuple[str, ...], str]] = []
-    todo: list[tuple[tuple[str, ...], object, dict]] = [((), value, schema)]
-    while todo:
-        path, node, rule = todo.pop()
-        kinds = rule.get("type")
-        kinds = [kinds] if isinstance(kinds, str) else kinds
-        if kinds is not None and not _has_type(node, kinds):
-            found.append((path, f"expected type {' | '.join(kinds)}, got {type(node).__name__}"))
-            continue
-        if rule.get("enum") is not None and node not in rule["enum"]:
-            found.append((path, f"value {node!r} is not one of {rule['enum']}"))
-        if isinstance(node, dict):
-            found += [((*path, k), "required property is missing") for k in rule.get("required", []) if k not in node]
-            todo += [((*path, k), node[k], sub) for k, sub in rule.get("properties", {}).items() if k in node]
-        elif isinstance(node, list) and isinstance(rule.get("items"), dict):
-            todo += [((*path, str(i)), item, rule["items"]) for i, item in enumerate(node)]
-    return [("/".join(path) or "(root)", message) for path, message in sorted(found, key=lambda f: f[0])]
+WRONG_TYPE = "expected type {names}, got "
+MISSING_PROPERTY = "required property is missing"
+_ERRORS = "array<struct<path:array<string>,message:string>>"
+
+
+def _kind(value: Column) -> Column:
+    """Kind of a variant: an integer is a number without a fractional part in its text."""
+    schema = F.schema_of_variant(value)
+    named = F.create_map(*[F.lit(x) for kv in KIND_NAMES.items() for x in kv])
+    return F.when(schema.rlike(r"^DECIMAL\(\d+,0\)"), "int").otherwise(
+        F.coalesce(F.try_element_at(named, F.regexp_extract(schema, "^[A-Z]+", 0)), F.lit("float")))
+
+
+def _shown(value: Column, kind: Column) -> Column:
+    """A value as messages show it: texts quoted, the constants capitalised, anything else as JSON."""
+    text = F.try_variant_get(value, "$", "string")
+    quote = F.when(F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"')), F.lit('"')).otherwise(F.lit("'"))
+    return (F.when(kind == "str", F.concat(quote, text, quote)).when(kind == "NoneType", "None")
+            .when(kind == "bool", F.initcap(text)).otherwise(F.to_json(value)))
+
+
+def _errors(path: Column, message: Column) -> Column:
+    return F.array(F.struct(path.alias("path"), message.alias("message"))).cast(_ERRORS)
+
+
+def _checked(rule: dict, value: Column, path: Column) -> Column:
+    """Expression of all violations of a rule by a variant. The schema is walked once, while the plan is built; a value of the wrong type
+    is not looked into."""
+    none = F.array().cast(_ERRORS)
+    kind = _kind(value)
+    parts = [none]
+    if rule.get("enum") is not None:
+        allowed = [json.dumps(v, separators=(",", ":")) for v in rule["enum"]]
+        equal = F.coalesce(F.to_json(value), F.lit("null")).isin(allowed)
+        message = F.concat(F.lit("value "), _shown(value, kind), F.lit(f" is not one of {rule['enum']}"))
+        parts.append(F.when(equal, none).otherwise(_errors(path, message)))
+    held = {key: F.try_variant_get(value, f'$["{key}"]', "variant") for key in (*rule.get("required", ()), *rule.get("properties", ()))}
+    below = {key: F.concat(path, F.array(F.lit(key))) for key in held}
+    for key in rule.get("required", ()):
+        parts.append(F.when((kind == "dict") & held[key].isNull(), _errors(below[key], F.lit(MISSING_PROPERTY))).otherwise(none))
+    for key, sub in rule.get("properties", {}).items():
+        parts.append(F.when(held[key].isNotNull(), _checked(sub, held[key], below[key])).otherwise(none))
+    if isinstance(rule.get("items"), dict):
+        items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+        each = F.transform(items, lambda item, i: _checked(
+            rule["items"], F.coalesce(item, F.parse_json(F.lit("null"))), F.concat(path, F.array(i.cast("string")))))
+        parts.append(F.flatten(each))
+    inner = F.concat(*parts)
+    names = [rule["type"]] if isinstance(rule.get("type"), str) else rule.get("type")
+    if names is None or not set(names) <= set(ACCEPTED_KINDS):
+        return inner
+    fits = kind.isin([k for n in names for k in ACCEPTED_KINDS[n]])
+    return F.when(fits, inner).otherwise(_errors(path, F.concat(F.lit(WRONG_TYPE.format(names=" | ".join(names))), kind)))
 
 
 def schema_errors(response: Column | str, schema: dict) -> Column:
-    """Violations of a JSON-Schema subset as ``array<struct<path, message>>``, path-sorted, the first eight."""
-    @F.pandas_udf("array<struct<path:string,message:string>>")
-    def errors(texts: pd.Series) -> pd.Series:
-        def check(text: str | None):
-            try:
-                value = json.loads(text) if text is not None else None
-            except json.JSONDecodeError:
-                return [{"path": "(root)", "message": NOT_JSON}]
-            return [{"path": p, "message": m} for p, m in _violations(value, schema)[:MAX_SCHEMA_ERRORS]]
-
-        return texts.map(check, na_action=None)
-
-    return errors(response)
+    """Violations of type, enum, required, properties and items as ``array<struct<path, message>>``, path-sorted, the first eight.
+
+    A null answer counts as JSON null. An object that repeats a key is no valid JSON.
+    """
+    text = F.coalesce(F.col(response) if isinstance(response, str) else response, F.lit("null"))
+    value = F.try_parse_json(text)
+    found = F.slice(F.array_sort(_checked(schema, value, F.array().cast("array<string>"))), 1, MAX_SCHEMA_ERRORS)
+    named = F.transform(found, lambda e: F.struct(
+        F.when(F.size(e["path"]) == 0, "(root)").otherwise(F.array_join(e["path"], "/")).alias("path"), e["message"].alias("message")))
+    broken = F.array(F.struct(F.lit("(root)").alias("path"), F.lit(NOT_JSON).alias("message")))
+    return F.when(value.isNull(), broken).otherwise(named)
 
 
 def error_bullets(errors: Column) -> Column:

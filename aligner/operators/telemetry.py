@@ -144,6 +144,7 @@ class Telemetry:
     observations: DataFrame
     scores: DataFrame
     events: DataFrame
+    items: DataFrame | None = None
 
 
 def log_short_circuit(records: DataFrame) -> Telemetry:
@@ -157,7 +158,7 @@ def log_short_circuit(records: DataFrame) -> Telemetry:
     observed = r.select(trace_key().alias("trace_id"), "ts", F.struct(
         F.lit("span").alias("type"), step.alias("name"), F.lit(None).cast("string").alias("model"),
         _json(query=F.col("source")).alias("input"), result.alias("output")).alias("o"))
-    return Telemetry(build_traces(r, tag=F.col("method")), _observations(observed), build_scores(r), build_events(r))
+    return Telemetry(build_traces(r, tag=F.col("method")), _observations(observed), build_scores(r), build_events(r), build_dataset_items(r))
 
 
 def report_steps(reports: DataFrame) -> Telemetry:
@@ -233,9 +234,13 @@ def item_full_view(items: DataFrame, traces: DataFrame, observations: DataFrame,
     ``part`` is observation, score or none (an item whose trace has neither, or without a trace); corrections pile up as
     observations on a trace, so parts stay rows and are never gathered into one value.
     """
-    parts = observations.select(F.col("trace_id").alias("part_trace"), F.lit("observation").alias("part"), "id", F.col("name").alias("part_name"),
-                                F.lit(None).cast("double").alias("value")).unionByName(
-        scores.select(F.col("trace_id").alias("part_trace"), F.lit("score").alias("part"), "id", F.col("name").alias("part_name"), "value"))
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    parts = observations.select(
+        F.col("trace_id").alias("part_trace"), F.lit("observation").alias("part"), "id", F.col("name").alias("part_name"), F.col("type").alias("part_type"),
+        F.col("model").alias("part_model"), F.col("input").alias("part_input"), F.col("output").alias("part_output"),
+        F.lit(None).cast("double").alias("value")).unionByName(
+        scores.select(F.col("trace_id").alias("part_trace"), F.lit("score").alias("part"), "id", F.col("name").alias("part_name"), none("part_type"),
+                      none("part_model"), none("part_input"), none("part_output"), "value"))
     t = traces.select(F.col("id").alias("source_trace_id"), F.col("output").alias("trace_output"), F.col("metadata").alias("trace_metadata"))
     return (
         items.withColumnRenamed("id", "item_id").join(t, "source_trace_id", "left")
@@ -328,21 +333,30 @@ def _mapped(col: Column, table: dict[str, str], default: str) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), col), F.lit(default))
 
 
+def _text(df: DataFrame, column: str) -> Column:
+    return F.col(column).cast("string") if column in df.columns else F.lit(None).cast("string")
+
+
 def convert_spans(traces: DataFrame, observations: DataFrame, scores: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
-    """Root and child spans: ``(span_id, trace_id, parent_id, name, start_ns, end_ns, status, span_type, attributes)``.
+    """Root and child spans: ``(span_id, trace_id, parent_id, name, start_ns, end_ns, status, span_type, inputs, outputs, attributes)``.
+
+    Inputs, outputs and a child's ``model`` attribute are taken where traces and observations have such columns.
 
     ``traces`` is ``(id, name, start_time, end_time, status)`` in epoch seconds. Child numbers follow ``order`` within the
-    trace; ``bucket`` is a column monotone in it. Score names are a closed set, so a trace's attributes stay small.
+    trace; ``bucket`` is a column monotone in it. The newest score of a name counts (by ``timestamp`` and ``id`` where they are given); names
+    are a closed set, so a trace's attributes stay small.
     """
     root_id = F.rpad(F.substring("id", 1, 16), 16, "0")
     ns = lambda c: (F.col(c) * 1_000_000_000).cast("long")
-    attrs = scores.groupBy(F.col("trace_id").alias("id")).agg(F.map_from_entries(F.array_sort(F.collect_list(
+    newest = F.struct(*[F.col(c) for c in ("timestamp", "id") if c in scores.columns], "value")
+    named = scores.groupBy("trace_id", "name").agg(F.max_by("value", newest).alias("value"))
+    attrs = named.groupBy(F.col("trace_id").alias("id")).agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct(F.concat(F.lit("score."), F.col("name")).alias("k"), F.col("value").cast("string").alias("v"))))).alias("attributes"))
     roots = traces.join(attrs, "id", "left").select(
         root_id.alias("span_id"), F.col("id").alias("trace_id"), F.lit(None).cast("string").alias("parent_id"),
         F.coalesce("name", F.lit(TRACE_NAME)).alias("name"), ns("start_time").alias("start_ns"),
         F.coalesce(ns("end_time"), ns("start_time")).alias("end_ns"), _mapped(F.col("status"), SPAN_STATUS, "UNSET").alias("status"),
-        F.lit("CHAIN").alias("span_type"), "attributes")
+        F.lit("CHAIN").alias("span_type"), _text(traces, "input").alias("inputs"), _text(traces, "output").alias("outputs"), "attributes")
     numbered = position_in_group(observations, ["trace_id"], bucket, [F.col(c) for c in order], name="i")
     parents = traces.select(F.col("id").alias("trace_id"), root_id.alias("parent_id"), ns("start_time").alias("t_start"),
                             F.coalesce(ns("end_time"), ns("start_time")).alias("t_end"))
@@ -351,7 +365,8 @@ def convert_spans(traces: DataFrame, observations: DataFrame, scores: DataFrame,
         F.coalesce("name", F.concat(F.lit("step_"), F.col("i").cast("string"))).alias("name"),
         F.coalesce(ns("start_time"), F.col("t_start")).alias("start_ns"), F.coalesce(ns("end_time"), F.col("t_end")).alias("end_ns"),
         F.lit("OK").alias("status"), _mapped(F.col("type"), SPAN_TYPES, "UNKNOWN").alias("span_type"),
-        F.lit(None).cast("map<string,string>").alias("attributes"))
+        _text(observations, "input").alias("inputs"), _text(observations, "output").alias("outputs"),
+        F.when(_text(observations, "model").isNotNull(), F.create_map(F.lit("model"), _text(observations, "model"))).alias("attributes"))
     return roots.unionByName(children)
 
 

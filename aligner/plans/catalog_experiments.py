@@ -25,7 +25,7 @@ def _list_runs(w):
     return ex.list_runs(w.v_runs, limit=5, offset=2).select("experiment_id", "run_id", "status", "total")
 
 
-@query("list_traces", """SELECT trace_id, target, (SELECT count(*) FROM {v_results}) AS total FROM {v_results} ORDER BY ts DESC, trace_id LIMIT 200 OFFSET 100""")
+@query("list_traces", """SELECT trace_id, target, (SELECT count(*) FROM {v_results}) AS total FROM {v_results} ORDER BY ts DESC, trace_id LIMIT 500 OFFSET 100""")
 def _list_traces(w):
     return ex.list_traces(w.v_results.withColumnRenamed("ts", "request_time"), limit=500, offset=100).select("trace_id", "target", "total")
 
@@ -87,6 +87,19 @@ def _items_page(w):
     return ex.dataset_items_page(w.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("dataset_name")), 50, 50)
 
 
+@query("dataset_items_by_dataset", """SELECT doc_id AS id, source AS dataset_name, total FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n,
+    count(*) OVER (PARTITION BY source) AS total FROM {documents}) WHERE n > 3 AND n <= 8""")
+def _items_by_dataset(w):
+    return ex.dataset_items_page(w.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("dataset_name")), 5, 3, by_dataset=True)
+
+
+@query("list_traces_by_experiment", """SELECT experiment_id, trace_id, total FROM (SELECT session_id AS experiment_id, trace_id, ts, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, trace_id) AS n,
+    count(*) OVER (PARTITION BY session_id) AS total FROM {v_results}) WHERE n <= 4""")
+def _traces_by_experiment(w):
+    traces = w.v_results.withColumnsRenamed({"ts": "request_time", "session_id": "experiment_id"})
+    return ex.list_traces(traces, limit=4, by_experiment=True).select("experiment_id", "trace_id", "total")
+
+
 @query("status_snapshot", """WITH a AS (SELECT DISTINCT target, source FROM {v_results} WHERE target <> 'No matches found')
   SELECT count(DISTINCT target) AS identifiers, count(*) AS aliases, (SELECT count(*) FROM {customer}) AS experiments, (SELECT count(*) FROM {v_mapping}) AS mappings FROM a""")
 def _status(w):
@@ -123,7 +136,11 @@ def _reuse(w):
 # ---------------------------------------------------------------- evaluation
 
 _JUDGED = """judged AS (SELECT p.*, t.expected, CASE WHEN t.expected = '--' THEN p.target IS NULL OR p.target = 'No matches found' ELSE p.target = t.expected END AS correct
-    FROM {v_predictions} p JOIN {v_truth} t ON t.query_id = p.query_id)"""
+    FROM {v_predictions} p JOIN {v_truth} t ON t.query_id = p.query_id),
+  grid AS (SELECT config, query_id, expected FROM (SELECT DISTINCT config FROM {v_predictions}) CROSS JOIN {v_truth}),
+  every AS (SELECT g.config, g.query_id, coalesce(j.correct, g.expected = '--') AS correct
+    FROM grid g LEFT JOIN judged j ON j.config = g.config AND j.query_id = g.query_id),
+  single AS (SELECT correct FROM judged UNION ALL SELECT expected = '--' FROM {v_truth} WHERE query_id NOT IN (SELECT query_id FROM judged))"""
 _HITS = """ans AS (SELECT * FROM {v_truth} WHERE expected <> '--'),
   hits AS (SELECT r.query_id, r.step, min(r.rank) AS rank FROM {v_ranked} r JOIN ans a ON a.query_id = r.query_id AND a.expected = r.term GROUP BY r.query_id, r.step)"""
 
@@ -132,7 +149,7 @@ def _judged(w):
     return ev.judged(w.v_predictions, w.v_truth)
 
 
-@query("eval_accuracy", f"WITH {_JUDGED} SELECT config, count(*) AS queries, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy FROM judged GROUP BY config")
+@query("eval_accuracy", f"WITH {_JUDGED} SELECT config, count(*) AS queries, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy FROM every GROUP BY config")
 def _accuracy(w):
     return ev.accuracy(w.v_predictions, w.v_truth, ["config"]).withColumn("accuracy", F.round("accuracy", 6))
 
@@ -153,7 +170,7 @@ def _cache_rate(w):
     return ev.cache_hit_rate(w.v_results).withColumn("cache_hit_rate", F.round("cache_hit_rate", 6))
 
 
-@query("eval_composite", f"""WITH {_JUDGED}, {_HITS} SELECT round(0.6 * (SELECT avg(CAST(correct AS DOUBLE)) FROM judged)
+@query("eval_composite", f"""WITH {_JUDGED}, {_HITS} SELECT round(0.6 * (SELECT avg(CAST(correct AS DOUBLE)) FROM single)
     + 0.3 * (SELECT avg(CASE WHEN query_id IN (SELECT query_id FROM hits) THEN 1.0 ELSE 0.0 END) FROM ans)
     + 0.1 * (SELECT avg(CASE WHEN method = 'cached' THEN 1.0 ELSE 0.0 END) FROM {{v_results}}), 6) AS composite""")
 def _composite(w):

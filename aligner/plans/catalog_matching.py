@@ -52,7 +52,7 @@ _TOKEN_PAIRS = f"""qt AS (SELECT query_id, {_TOKENS.format(x='query')} AS toks F
   q AS (SELECT query_id, len(toks) AS n, unnest(toks) AS token FROM qt),
   t AS (SELECT term, unnest({_TOKENS.format(x='term')}) AS token FROM {{v_terms}}),
   pairs AS (SELECT q.query_id, t.term, count(*) / max(q.n) AS score FROM q JOIN t ON t.token = q.token GROUP BY q.query_id, t.term)"""
-_TOPK = f"""{_TOKEN_PAIRS},
+TOPK = f"""{_TOKEN_PAIRS},
   topk AS (SELECT query_id, term, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) - 1 AS rank
     FROM pairs QUALIFY rank < 20)"""
 
@@ -204,7 +204,7 @@ def _candidates(w):
     return tok.token_candidates(w.v_queries, w.v_terms, min_score=0.8).withColumn("score", F.round("score", 6))
 
 
-@query("token_topk", f"WITH {_TOPK} SELECT query_id, term, round(score, 6) AS score, rank FROM topk")
+@query("token_topk", f"WITH {TOPK} SELECT query_id, term, round(score, 6) AS score, rank FROM topk")
 def _topk(w):
     return tok.token_topk(w.v_queries, w.v_terms, k=20).withColumn("score", F.round("score", 6))
 
@@ -221,19 +221,19 @@ def _topk_documents(w):
     return topk.select("query_id", F.md5("term").alias("term"), F.round("score", 6).alias("score"), "rank")
 
 
-@query("candidate_sample", f"WITH {_TOPK} SELECT query_id, term FROM topk WHERE rank < 10")
+@query("candidate_sample", f"WITH {TOPK} SELECT query_id, term FROM topk WHERE rank < 10")
 def _sample(w):
     return tok.candidate_sample(tok.token_topk(w.v_queries, w.v_terms, k=20), 10, seed=7).select("query_id", "term")
 
 
-@query("token_fallback_ranking", f"""WITH {_TOPK} SELECT query_id, rank, term AS candidate, round(score, 6) AS relevance_score,
+@query("token_fallback_ranking", f"""WITH {TOPK} SELECT query_id, rank, term AS candidate, round(score, 6) AS relevance_score,
   round(score, 6) AS core_concept_score, 0.0::DOUBLE AS spec_score FROM topk""")
 def _fallback(w):
     ranking = tok.token_fallback_ranking(tok.token_topk(w.v_queries, w.v_terms, k=20))
     return ranking.withColumns({c: F.round(c, 6) for c in ("relevance_score", "core_concept_score")})
 
 
-@query("rank_and_pick", f"""WITH {_TOPK} SELECT v.query_id, coalesce(k.term, 'No matches found') AS target,
+@query("rank_and_pick", f"""WITH {TOPK} SELECT v.query_id, coalesce(k.term, 'No matches found') AS target,
   round(coalesce(k.score, 0), 6) AS confidence FROM {{v_queries}} v LEFT JOIN topk k ON k.query_id = v.query_id AND k.rank = 0""")
 def _pick(w):
     ranking = tok.token_fallback_ranking(tok.token_topk(w.v_queries, w.v_terms, k=20))
@@ -260,23 +260,23 @@ def _fuzzy_topk(w):
     return scoring.fuzzy_topk(_offered(w), "WRatio", 70, 5)
 
 
-_SCORED = f"""{_TOPK}, off AS (SELECT v.query_id, trim(v.query) AS query, k.term AS candidate, k.rank AS list_ord FROM {{v_queries}} v JOIN topk k ON k.query_id = v.query_id),
+SCORED = f"""{TOPK}, off AS (SELECT v.query_id, trim(v.query) AS query, k.term AS candidate, k.rank AS list_ord FROM {{v_queries}} v JOIN topk k ON k.query_id = v.query_id),
   sc AS (SELECT *, 200.0 * {_LCS.format(a='query', b='candidate')} / (length(query) + length(candidate)) AS s FROM off),
   near AS (SELECT query_id, query, candidate, round_even(s / 100, 4) AS score, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, list_ord) - 1 AS rank FROM sc)"""
 
 
-@query("fuzzy_topk_ratio", f"WITH {_SCORED} SELECT query_id, query, candidate, score, rank FROM near WHERE s >= 70 AND rank < 5")
+@query("fuzzy_topk_ratio", f"WITH {SCORED} SELECT query_id, query, candidate, score, rank FROM near WHERE s >= 70 AND rank < 5")
 def _fuzzy_topk_ratio(w):
     return scoring.fuzzy_topk(_offered(w), "ratio", 70, 5)
 
 
-@query("nearest_terms", f"WITH {_SCORED} SELECT query_id, query, candidate, score, rank FROM near WHERE rank < 10")
+@query("nearest_terms", f"WITH {SCORED} SELECT query_id, query, candidate, score, rank FROM near WHERE rank < 10")
 def _nearest(w):
     return scoring.nearest_terms(_offered(w), 10)
 
 
 # every returned string has one character replaced, so its nearest offered string is the one it came from: 1 of n differs
-@query("correct_candidates", f"""WITH {_TOPK} SELECT query_id, rank, term AS candidate, replace(term, '#', ' ') AS original_string,
+@query("correct_candidates", f"""WITH {TOPK} SELECT query_id, rank, term AS candidate, replace(term, '#', ' ') AS original_string,
   round_even((length(term) - 1) / length(term), 4) AS correction_confidence FROM topk WHERE rank < 5""")
 def _correct(w):
     offered = _offered(w)
@@ -285,7 +285,7 @@ def _correct(w):
     return scoring.correct_candidates(returned, offered)
 
 
-@query("validate_free_text", f"""WITH {_SCORED}, best AS (SELECT query_id, max(score) FILTER (WHERE rank = 0) AS score, max(candidate) FILTER (WHERE rank = 0) AS candidate,
+@query("validate_free_text", f"""WITH {SCORED}, best AS (SELECT query_id, max(score) FILTER (WHERE rank = 0) AS score, max(candidate) FILTER (WHERE rank = 0) AS candidate,
     string_agg(candidate, '|' ORDER BY rank) FILTER (WHERE rank < 10) AS listed FROM near GROUP BY query_id),
   j AS (SELECT v.query_id, trim(v.query) AS query, coalesce(b.score, 0) AS score, b.candidate, coalesce(b.listed, '') AS listed FROM {{v_queries}} v LEFT JOIN best b ON b.query_id = v.query_id)
   SELECT query_id, CASE WHEN score >= 0.75 THEN candidate ELSE query END AS target, CASE WHEN score >= 0.75 THEN 0.5 ELSE 0 END::DOUBLE AS confidence, score::DOUBLE AS fuzzy_score,
@@ -296,7 +296,7 @@ def _validate(w):
     return scoring.validate_free_text(answers, _offered(w)).withColumn("candidates", F.array_join(F.col("candidates.candidate"), "|"))
 
 
-_TIERED = f"""{_TEXTS}, {_FWD_KEYS}, {_REV_KEYS},
+TIERED = f"""{_TEXTS}, {_FWD_KEYS}, {_REV_KEYS},
   exact AS (SELECT t.query, coalesce(f.target, r.target) AS target, 'cached' AS method, 1.0::DOUBLE AS confidence, NULL::VARCHAR AS matched_key
     FROM texts t LEFT JOIN fkeys f ON f.key = t.query LEFT JOIN rkeys r ON r.key = t.query
     WHERE f.key IS NOT NULL OR r.key IS NOT NULL),
@@ -323,12 +323,12 @@ def _resolved(w):
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
-@query("tiered_resolve", f"WITH {_TIERED} SELECT * FROM resolved")
+@query("tiered_resolve", f"WITH {TIERED} SELECT * FROM resolved")
 def _tiered(w):
     return _resolved(w)
 
 
-@query("learned_pairs", f"""WITH {_TIERED}, pairs AS (SELECT source, min(target) AS target FROM resolved
+@query("learned_pairs", f"""WITH {TIERED}, pairs AS (SELECT source, min(target) AS target FROM resolved
     WHERE method IN ('fuzzy', 'ProfileRank') GROUP BY source),
   fresh AS (SELECT target, min(source) AS alias FROM pairs GROUP BY target)
   SELECT 'forward' AS direction, source AS key, target AS value FROM {{v_aliases}} WHERE source NOT IN (SELECT source FROM pairs)

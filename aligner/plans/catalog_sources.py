@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from aligner.operators import matchdb
 from aligner.operators import telemetry as tel
-from aligner.plans.catalog_telemetry import _ITEM, _TID, _export, records
+from aligner.plans.catalog_telemetry import _ITEM, _TID, SPANS, _export, records
 from aligner.plans.registry import query
 from aligner.session import new_path
 from aligner.sources import files, sinks
@@ -117,8 +117,8 @@ def _detail(w):
                     F.col("metrics")["loss"].cast("double").alias("loss"), F.array_join("artifacts", ",").alias("artifacts"))
 
 
-@query("trace_full_view", """SELECT concat(lpad(CAST(o_orderkey AS VARCHAR), 8, '0'), '-trace') AS trace_id, CAST(o_custkey AS VARCHAR) AS session_id, 'alignment_pipeline' AS name, 3 AS n_tags,
-    1 + coalesce(n, 0) AS spans FROM {orders} LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} GROUP BY l_orderkey) l ON l.l_orderkey = o_orderkey""")
+@query("trace_full_view", f"""WITH {SPANS} SELECT s.trace_id, t.session_id, 'alignment_pipeline' AS name, 3 AS n_tags, s.span_id, s.parent_id, s.span_type, s.inputs, s.outputs
+  FROM spans s JOIN t ON t.id = s.trace_id""")
 def _trace_view(w):
     traces, observations, scores = _export(w)
     info = tel.convert_trace_info(traces)
@@ -128,7 +128,7 @@ def _trace_view(w):
     spans = tel.convert_spans(traces, observations, scores, F.col("line"), ["line", "price"])
     view = files.trace_full_view(listed, spans)
     return view.select("trace_id", F.col("request_metadata")["session_id"].alias("session_id"), F.col("tags")["traceName"].alias("name"),
-                       F.size("tags").alias("n_tags"), "spans")
+                       F.size("tags").alias("n_tags"), "span_id", "parent_id", "span_type", "inputs", "outputs")
 
 
 @query("src_run_traces", f"SELECT {_TID} AS id, source AS query, target FROM {{v_records}}")
@@ -155,10 +155,12 @@ def _sink_db(w):
 @query("sink_telemetry", """SELECT 'traces' AS kind, count(*) AS n FROM {v_results} WHERE method IN ('cached', 'fuzzy')
   UNION ALL SELECT 'observations', count(*) FROM {v_results} WHERE method IN ('cached', 'fuzzy')
   UNION ALL SELECT 'scores', count(*) + count(*) FILTER (WHERE total_time <> 0) FROM {v_results} WHERE method IN ('cached', 'fuzzy')
-  UNION ALL SELECT 'events', count(*) FROM {v_results} WHERE method IN ('cached', 'fuzzy')""")
+  UNION ALL SELECT 'events', count(*) FROM {v_results} WHERE method IN ('cached', 'fuzzy')
+  UNION ALL SELECT 'items', count(DISTINCT source) FROM {v_results} WHERE method IN ('cached', 'fuzzy')""")
 def _sink_telemetry(w):
-    paths = sinks.write_telemetry(tel.log_short_circuit(w.v_results), new_path(w.spark, "telemetry"))
-    readers = {"traces": files.read_traces, "observations": files.read_observations, "scores": files.read_scores, "events": files.read_event_log}
+    paths = sinks.write_telemetry(tel.log_short_circuit(w.v_results), new_path(w.spark, "telemetry"), "r1")
+    readers = {"traces": files.read_traces, "observations": files.read_observations, "scores": files.read_scores, "events": files.read_event_log,
+               "items": files.read_dataset_items}
     counts = [readers[k](w.spark, p).agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n")) for k, p in paths.items()]
     out = counts[0]
     for c in counts[1:]:

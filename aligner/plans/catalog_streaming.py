@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from aligner.operators import mapping
+from aligner.plans.catalog_matching import TIERED
 from aligner.plans.catalog_telemetry import batch_events
 from aligner.plans.registry import query
 from aligner.plans.workload import VIEWS, referenced
@@ -54,22 +55,12 @@ def _edits(w):
     return edits.select("seq", "workbook", "row", "source", "target", "method")
 
 
-@query("stream_resolve", """WITH t AS (SELECT query_id, trim(query) AS source FROM {v_queries}),
-  qt AS (SELECT source, list_distinct(regexp_extract_all(lower(source), '[a-zA-Z0-9]+')) AS toks FROM (SELECT DISTINCT source FROM t WHERE source <> ''
-      AND source NOT IN (SELECT source FROM {v_aliases}) AND source NOT IN (SELECT term FROM {v_terms}))),
-  q AS (SELECT source, len(toks) AS n, unnest(toks) AS token FROM qt),
-  k AS (SELECT term, unnest(list_distinct(regexp_extract_all(lower(term), '[a-zA-Z0-9]+'))) AS token FROM {v_terms}),
-  p AS (SELECT q.source, k.term, count(*) / max(q.n) AS score FROM q JOIN k ON k.token = q.token GROUP BY q.source, k.term),
-  best AS (SELECT source, term, score FROM p QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, term) = 1)
-  SELECT t.query_id, t.source, coalesce(a.target, s.term, b.term, CASE WHEN t.source = '' THEN 'Empty value' ELSE 'No matches found' END) AS target,
-    CASE WHEN a.target IS NOT NULL OR s.term IS NOT NULL THEN 'cached' WHEN b.term IS NOT NULL THEN 'ProfileRank' ELSE 'no_match' END AS method,
-    round(CASE WHEN a.target IS NOT NULL OR s.term IS NOT NULL THEN 1 ELSE coalesce(b.score, 0) END, 6) AS confidence
-  FROM t LEFT JOIN {v_aliases} a ON a.source = t.source LEFT JOIN {v_terms} s ON s.term = t.source LEFT JOIN best b ON b.source = t.source""")
+@query("stream_resolve", f"WITH {TIERED} SELECT query_id, source, target, method, confidence FROM resolved")
 def _resolve(w):
     forward = mapping.combine_forward(mapping.forward_map(w.v_aliases))
     targets = w.v_terms.select(F.col("term").alias("target"), F.col("term").alias("key_ord"))
     arriving = _view_stream(w, "v_queries", "part").select("query_id", "query")
-    out = jobs.stream_resolve(arriving, forward, targets, w.v_terms, use_fuzzy=False)
+    out = jobs.stream_resolve(arriving, forward, targets, w.v_terms)
     return out.select("query_id", "source", "target", "method", F.round("confidence", 6).alias("confidence"))
 
 
@@ -90,8 +81,9 @@ def _bounded(w):
     return jobs.stream_bounded_history(_parts_stream(w, w.v_results, "results", 3)).select("trace_id", "source", "target")
 
 
-@query("stream_batches", """SELECT batch_id, count(*) AS item_count, count(*) FILTER (WHERE role = 'user') AS success_count, count(*) FILTER (WHERE role <> 'user') AS error_count
-  FROM {v_batches} GROUP BY batch_id HAVING count(*) <= 6""")
+@query("stream_batches", """SELECT batch_id, count(*) AS item_count, CASE WHEN count(*) <= 6 AND batch_id % 10 <> 3 THEN count(*) FILTER (WHERE role = 'user') END AS success_count,
+    CASE WHEN count(*) <= 6 AND batch_id % 10 <> 3 THEN count(*) FILTER (WHERE role <> 'user') END AS error_count
+  FROM {v_batches} GROUP BY batch_id""")
 def _batches(w):
     events = batch_events(w)
     starts = _parts_stream(w, events.filter(F.col("event") == "batch_start"), "starts", 2)

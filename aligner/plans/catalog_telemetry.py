@@ -144,13 +144,13 @@ def _correction_obs(w):
 
 
 @query("item_full_view", f"""WITH {_ITEMS}, {_OBS}, {_SCORES}, traces AS (SELECT {_TID} AS id, target FROM {{v_records}}),
-  parts AS (SELECT trace_id, 'observation' AS part, o.name AS name, NULL::DOUBLE AS value FROM obs UNION ALL SELECT trace_id, 'score', name, round(value, 6) FROM scores)
-  SELECT i.id AS item_id, i.query, t.target, coalesce(p.part, 'none') AS part, p.name AS part_name, p.value FROM items i
+  parts AS (SELECT trace_id, 'observation' AS part, o.name AS name, o.type AS type, o.model AS model, NULL::DOUBLE AS value FROM obs UNION ALL SELECT trace_id, 'score', name, NULL, NULL, round(value, 6) FROM scores)
+  SELECT i.id AS item_id, i.query, t.target, coalesce(p.part, 'none') AS part, p.name AS part_name, p.type AS part_type, p.model AS part_model, p.value FROM items i
   LEFT JOIN traces t ON t.id = i.source_trace_id LEFT JOIN parts p ON p.trace_id = i.source_trace_id""")
 def _full(w):
     recs = records(w)
     view = tel.item_full_view(tel.build_dataset_items(recs), tel.build_traces(recs), tel.build_observations(recs), tel.build_scores(recs))
-    return view.select("item_id", "input.query", "trace_output.target", "part", "part_name", F.round("value", 6).alias("value"))
+    return view.select("item_id", "input.query", "trace_output.target", "part", "part_name", "part_type", "part_model", F.round("value", 6).alias("value"))
 
 
 def batch_events(w):
@@ -163,7 +163,9 @@ def batch_events(w):
                      none("long").alias("success_count"), none("long").alias("error_count"), none("double").alias("total_time_ms"))
     done = b.filter(F.col("item_count") <= 6).select(F.lit("batch_complete").alias("event"), "batch_id", none("string").alias("user_prompt"), none("long").alias("item_count"),
                                                        "success_count", "error_count", "total_time_ms")
-    return start.unionByName(done).withColumn("timestamp", F.timestamp_seconds(F.col("batch_id") + 1_700_000_000))
+    began = F.col("batch_id") + 1_700_000_000
+    lasted = F.when(F.col("batch_id") % 10 == 3, 2 * 86_400).otherwise(60)  # every tenth takes two days
+    return start.withColumn("timestamp", F.timestamp_seconds(began)).unionByName(done.withColumn("timestamp", F.timestamp_seconds(began + lasted)))
 
 
 @query("batch_summary", """WITH b AS (SELECT batch_id, count(*) AS n, count(*) FILTER (WHERE role = 'user') AS ok, count(*) FILTER (WHERE role <> 'user') AS bad,
@@ -236,7 +238,9 @@ def _export(w):
     kind = F.when(F.col("l_returnflag") == "R", "generation").when(F.col("l_returnflag") == "A", "span").otherwise("event")
     observations = w.lineitem.select(
         tid("l_orderkey").alias("trace_id"), kind.alias("type"), F.when(F.col("l_linestatus") == "F", F.col("l_returnflag")).alias("name"),
-        F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("price"), F.lit(None).cast("double").alias("start_time"), F.lit(None).cast("double").alias("end_time"))
+        F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("price"), F.lit(None).cast("double").alias("start_time"), F.lit(None).cast("double").alias("end_time"),
+        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("input"), F.col("l_linestatus").alias("output"),
+        F.when(F.col("l_returnflag") == "R", "m").alias("model"))
     scores = w.orders.select(tid("o_orderkey").alias("trace_id"), F.lit("price").alias("name"), F.round("o_totalprice", 2).alias("value"))
     return traces, observations, scores
 
@@ -245,17 +249,22 @@ _SQL_STATUS = "CASE o_orderstatus WHEN 'F' THEN '{0}' WHEN 'O' THEN '{1}' ELSE '
 _SQL_TID = "concat(lpad(CAST({0} AS VARCHAR), 8, '0'), '-trace')"
 
 
-@query("convert_spans", f"""WITH t AS (SELECT {_SQL_TID.format('o_orderkey')} AS id, CAST(epoch(o_orderdate) AS BIGINT) * 1000000000 AS s, {_SQL_STATUS.format('OK', 'UNSET')} AS status FROM {{orders}}),
-  o AS (SELECT {_SQL_TID.format('l_orderkey')} AS trace_id, l_returnflag, l_linestatus,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) - 1 AS i FROM {{lineitem}})
-  SELECT rpad(substr(id, 1, 16), 16, '0') AS span_id, id AS trace_id, NULL AS parent_id, 'alignment_pipeline' AS name, s AS start_ns, s + 60000000000 AS end_ns, status, 'CHAIN' AS span_type, 1 AS n_attributes FROM t
+SPANS = f"""t AS (SELECT {_SQL_TID.format('o_orderkey')} AS id, CAST(epoch(o_orderdate) AS BIGINT) * 1000000000 AS s, {_SQL_STATUS.format('OK', 'UNSET')} AS status,
+    concat('{{"query":"', o_orderpriority, '"}}') AS inputs, concat('{{"target":"', o_orderstatus, '"}}') AS outputs, CAST(o_custkey AS VARCHAR) AS session_id FROM {{orders}}),
+  o AS (SELECT {_SQL_TID.format('l_orderkey')} AS trace_id, l_returnflag, l_linestatus, l_partkey,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) - 1 AS i FROM {{lineitem}}),
+  spans AS (SELECT rpad(substr(id, 1, 16), 16, '0') AS span_id, id AS trace_id, NULL AS parent_id, 'alignment_pipeline' AS name, s AS start_ns, s + 60000000000 AS end_ns, status, 'CHAIN' AS span_type, inputs, outputs, 1 AS n_attributes, NULL AS model FROM t
   UNION ALL SELECT concat(substr(trace_id, 1, 8), lpad(lower(to_hex(i)), 8, '0')), trace_id, rpad(substr(id, 1, 16), 16, '0'),
     CASE WHEN l_linestatus = 'F' THEN l_returnflag ELSE concat('step_', i) END, s, s + 60000000000, 'OK',
-    CASE l_returnflag WHEN 'R' THEN 'LLM' WHEN 'A' THEN 'CHAIN' ELSE 'UNKNOWN' END, 0 FROM o JOIN t ON t.id = o.trace_id""")
+    CASE l_returnflag WHEN 'R' THEN 'LLM' WHEN 'A' THEN 'CHAIN' ELSE 'UNKNOWN' END,
+    concat('part ', l_partkey), l_linestatus, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END, CASE WHEN l_returnflag = 'R' THEN 'm' END FROM o JOIN t ON t.id = o.trace_id)"""
+
+
+@query("convert_spans", f"WITH {SPANS} SELECT * FROM spans")
 def _spans(w):
     traces, observations, scores = _export(w)
     spans = tel.convert_spans(traces, observations, scores, F.col("line"), ["line", "price"])
-    return spans.withColumn("n_attributes", F.coalesce(F.size("attributes"), F.lit(0))).drop("attributes")
+    return spans.withColumns({"n_attributes": F.coalesce(F.size("attributes"), F.lit(0)), "model": F.col("attributes")["model"]}).drop("attributes")
 
 
 @query("convert_trace_info", f"""SELECT {_SQL_TID.format('o_orderkey')} AS trace_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS request_time,

@@ -41,6 +41,7 @@ def _load() -> None:
         catalog_evidence,
         catalog_experiments,
         catalog_inference,
+        catalog_jobs,
         catalog_mapping,
         catalog_matchdb,
         catalog_matching,

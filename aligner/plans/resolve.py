@@ -21,7 +21,7 @@ def tiered_resolve(queries: DataFrame, forward: DataFrame, targets: DataFrame, t
     Every tier sees only the distinct texts the tiers before it left, and the verdict per distinct text is joined
     back to the rows once at the end: repeated values cost one resolution.
     """
-    rows = queries.select("query_id", trimmed("query").alias("source"))
+    rows = queries.select("query_id", trimmed(F.coalesce("query", F.lit(""))).alias("source"))
     texts = rows.select(F.col("source").alias("query")).filter(F.col("query") != "").distinct()
     exact = stage(
         exact_match(texts, forward, targets)

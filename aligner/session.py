@@ -30,6 +30,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ali
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(_CHECKPOINT_KEY, tempfile.mkdtemp(prefix="aligner-", dir="/tmp"))
         .getOrCreate()
     )
 
@@ -38,16 +39,23 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is configured (tests) a temp folder is chosen."""
+    """The cluster's shared folder. Without one, a session within one machine gets a temp folder; a cluster is refused, since its
+    executors would each write to a disk of their own."""
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if not _one_machine(spark.sparkContext.master):
+        raise RuntimeError(f"{_CHECKPOINT_KEY} must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="aligner-", dir="/tmp")
     return _own_dirs[app]
 
 
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; never one that is being read."""
     return os.path.join(shared_dir(spark), "aligner", f"{name}-{uuid.uuid4().hex}")
@@ -58,3 +66,15 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove the written tables behind staged DataFrames that are no longer needed; other files are left alone."""
+    for df in staged:
+        spark = df.sparkSession
+        as_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        own = as_path(os.path.join(shared_dir(spark), "aligner")).toUri().getPath()
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            path = as_path(folder)
+            if path.getParent().toUri().getPath() == own:
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -142,9 +142,10 @@ def run_detail(files: DataFrame) -> DataFrame:
 
 
 def trace_full_view(files: DataFrame, spans: DataFrame) -> DataFrame:
-    """Trace folders ``.../traces/<id>/`` with request metadata and tags as maps and the number of their spans.
+    """Trace folders ``.../traces/<id>/`` with request metadata and tags as maps, one row per span with all the span's columns.
 
-    ``files`` are ``(path, content)`` of ``request_metadata/<key>`` and ``tags/<key>``; ``spans`` is ``(trace_id, span_id)``.
+    ``files`` are ``(path, content)`` of ``request_metadata/<key>`` and ``tags/<key>``. A trace may have any number of spans, so they stay
+    rows; one without spans has a row with nulls.
     """
     pattern = r"/traces/([^/]+)/(request_metadata|tags)/([^/]+)$"
     rows = files.filter(F.col("path").rlike(pattern)).select(
@@ -152,8 +153,7 @@ def trace_full_view(files: DataFrame, spans: DataFrame) -> DataFrame:
         F.regexp_extract("path", pattern, 3).alias("key"), "content")
     maps = rows.groupBy("trace_id").pivot("field", ["request_metadata", "tags"]).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "content")))))
-    counts = spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"))
-    return maps.join(counts, "trace_id", "left").withColumn("spans", F.coalesce("spans", F.lit(0).cast("long")))
+    return maps.join(spans, "trace_id", "left")
 
 
 # ---------------------------------------------------------------- match database

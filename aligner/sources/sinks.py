@@ -17,10 +17,15 @@ def write_match_db(aliases: DataFrame, root: str | None = None, version: str | N
     return path
 
 
-def write_telemetry(telemetry: Telemetry, root: str, fmt: str = "json") -> dict[str, str]:
-    """Append traces, observations, scores and events below ``root``."""
+def write_telemetry(telemetry: Telemetry, root: str, run: str, fmt: str = "json") -> dict[str, str]:
+    """Write traces, observations, scores, events and ground-truth items of a run below ``root``, one folder per kind and run.
+
+    A run that is written again replaces its own folders, so a repeated job doubles nothing; readers of all runs take ``root/kind``.
+    """
     paths = {}
-    for kind in ("traces", "observations", "scores", "events"):
-        paths[kind] = os.path.join(root, kind)
-        getattr(telemetry, kind).write.mode("append").format(fmt).save(paths[kind])
+    for kind in ("traces", "observations", "scores", "events", "items"):
+        df = getattr(telemetry, kind)
+        if df is not None:
+            paths[kind] = os.path.join(root, kind, f"run={run}")
+            df.write.mode("overwrite").format(fmt).save(paths[kind])
     return paths

@@ -16,8 +16,6 @@ from pyspark.sql.types import StructType
 
 from aligner.session import new_path
 
-TIMEOUT_SECONDS = 3600
-
 
 def read_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet", glob: str | None = None,
                 files_per_batch: int | None = None) -> DataFrame:
@@ -31,14 +29,19 @@ def read_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: s
 
 
 def run_available(stream: DataFrame, per_batch: Callable[[DataFrame, int], None], checkpoint: str | None = None,
-                  output_mode: str = "append", timeout: int = TIMEOUT_SECONDS) -> None:
-    """Process everything available through ``per_batch`` and stop; an error of the query is raised."""
+                  output_mode: str = "append", timeout: int | None = None) -> None:
+    """Process everything available through ``per_batch`` and stop; an error of the query is raised.
+
+    A backfill takes as long as it needs unless the caller gives a ``timeout`` in seconds.
+    """
     checkpoint = checkpoint or new_path(stream.sparkSession, "stream-checkpoint")
     job = (
         stream.writeStream.foreachBatch(per_batch).outputMode(output_mode)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-    if not job.awaitTermination(timeout):
+    if timeout is None:
+        job.awaitTermination()
+    elif not job.awaitTermination(timeout):
         job.stop()
         raise TimeoutError(f"stream did not finish within {timeout} s")
 

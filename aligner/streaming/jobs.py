@@ -184,11 +184,17 @@ def stream_batches(starts: DataFrame, completes: DataFrame, max_duration: str =
                    root: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Pair batch_start with batch_complete events of two streams ``(batch_id, timestamp, ...)``.
 
-    The watermarks bound the join state: a completion is expected within ``max_duration`` of its start.
+    The watermarks bound the join state: a completion is expected within ``max_duration`` of its start. A start without one (yet, or
+    in time) stays with nulls, as in the batch operator, whether or not the watermark has passed it.
     """
+    spark = starts.sparkSession
+    root = root or new_path(spark, "batches")
+    begun = collect_stream(starts.select("batch_id", "user_prompt", "item_count", F.col("timestamp").alias("started_at")),
+                           f"{root}/begun", checkpoint and f"{checkpoint}/begun")
     left = starts.select("batch_id", "user_prompt", "item_count", F.col("timestamp").alias("started_at")).withWatermark("started_at", delay)
     right = completes.select(F.col("batch_id").alias("done_id"), "success_count", "error_count", "total_time_ms",
                              F.col("timestamp").alias("completed_at")).withWatermark("completed_at", delay)
     paired = left.join(right, F.expr(
         f"batch_id = done_id AND completed_at >= started_at AND completed_at <= started_at + INTERVAL {max_duration}"))
-    return collect_stream(paired.drop("done_id"), root, checkpoint)
+    done = collect_stream(paired.drop("done_id"), f"{root}/paired", checkpoint and f"{checkpoint}/paired")
+    return done.unionByName(begun.join(done.select("batch_id"), "batch_id", "left_anti"), allowMissingColumns=True)

@@ -1,12 +1,15 @@
 """Hand-computed cases for preparation, evidence, inference, match database, telemetry and evaluation."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from aligner import session
 from aligner.operators import evaluate, evidence, experiments, inference, mapping, matchdb, profiles, telemetry
+from aligner.plans.resolve import tiered_resolve
 from aligner.operators.ranking import last_known_in_group, position_in_group, previous_in_group
 
 
@@ -103,24 +106,43 @@ def test_warnings_contract(spark, rows_of):
     assert rows_of(evidence.evidence_warnings(queries, kept, 2)) == [
         (1, "web_search", "low_document_count", "transient", 1, 2), (3, "web_search", "no_results", "transient", 0, 2)]
     assert rows_of(evidence.evidence_warnings(queries, kept, 2, skipped=True)) == [(1, "web_search", "low_document_count", "transient", 1, 2)]
-    limited = evidence.evidence_warnings(queries, kept.filter("false"), 2, upstream_reason="rate_limited")
-    assert {r["code"] for r in limited.collect()} == {"rate_limited"}
+    upstream = spark.createDataFrame([(1, "rate_limited", "transient"), (3, "client_error", "structural")], "query_id int, code string, kind string")
+    assert rows_of(evidence.evidence_warnings(queries, kept, 2, upstream=upstream).select("query_id", "code", "kind")) == [
+        (1, "low_document_count", "transient"), (3, "client_error", "structural")]
 
 
+def test_page_text_keeps_lone_signs_and_decodes_references(spark):
+    pages = ["x < 5 and y > 3", "caf&eacute; &#233;&#xE9; 1&ndash;2 &amp;lt; &unknown; & &#0;&#x110000;", "<p>a</p><!-- <b> --><br/>b<i>c</i>", "&copy", ""]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    got = {r[0]: r[1] for r in df.select("i", evidence.page_text(F.col("html"))).collect()}
+    assert got == {0: "x < 5 and y > 3", 1: "café éé 1–2 &lt; &unknown; & \ufffd\ufffd", 2: "abc", 3: "&copy", 4: ""}
+
+
+def test_evidence_limits_are_the_callers(spark):
+    html = "<p>" + "word " * 4000 + "</p>"
+    df = spark.createDataFrame([("http://a/b", html, 200, "text/html"), ("http://a/c", "<p>tiny</p>", 200, "text/html")], "url string, html string, status int, content_type string")
+    got = {r["url"]: r for r in evidence.page_filter(df, char_limit=15_000).collect()}
+    assert len(got["http://a/b"]["content"]) == 15_000 and got["http://a/c"]["rejection"] == "too_short"
+    short = evidence.page_filter(df, min_text=3).filter("url = 'http://a/c'").head()
+    assert short["rejection"] is None and short["content"] == "tiny"
+
 def test_template_values_may_bring_placeholders(spark):
     got = spark.range(1).select(inference.render_prompt(F.lit("{{a}} {{b}}"), {"a": F.lit("{{b}}"), "b": F.lit("x")})).head()[0]
     assert got == "x x"
 
 
-def test_schema_subset():
+def test_schema_subset(spark):
     schema = {"type": "object", "required": ["a", "b"], "properties": {"a": {"type": ["string", "null"]}, "b": {"type": "array", "maxItems": 1, "items": {"enum": [1, 2]}},
                                                                        "c": {"type": "number"}}}
-    check = inference._violations
-    assert check({"a": None, "b": [1, 2, 1]}, schema) == []  # maxItems is not checked
-    assert check({"a": 1, "b": [3], "c": True}, schema) == [
+    def check(value):
+        df = spark.createDataFrame([(json.dumps(value),)], "response string")
+        return [(e["path"], e["message"]) for e in df.select(inference.schema_errors("response", schema)).head()[0]]
+
+    assert check({"a": None, "b": [1, 2, 1]}) == []  # maxItems is not checked
+    assert check({"a": 1, "b": [3], "c": True}) == [
         ("a", "expected type string | null, got int"), ("b/0", "value 3 is not one of [1, 2]"), ("c", "expected type number, got bool")]
-    assert check([], schema) == [("(root)", "expected type object, got list")]
-    assert check({}, schema) == [("a", "required property is missing"), ("b", "required property is missing")]
+    assert check([]) == [("(root)", "expected type object, got list")]
+    assert check({}) == [("a", "required property is missing"), ("b", "required property is missing")]
 
 
 def test_repair_asks_only_the_invalid_again(spark):
@@ -245,3 +267,60 @@ def test_paging(spark):
     runs = spark.sql("SELECT id % 2 AS experiment_id, id AS run_id, id AS start_time FROM range(10)")
     got = sorted(tuple(r) for r in experiments.list_runs(runs, limit=2, offset=1).select("experiment_id", "run_id", "total").collect())
     assert got == [(0, 4, 5), (0, 6, 5), (1, 5, 5), (1, 7, 5)]
+
+
+def test_null_queries_are_empty_values(spark):
+    queries = spark.createDataFrame([(1, None), (2, " "), (3, "steel")], "query_id int, query string")
+    forward = spark.createDataFrame([("steel", "Steel", 1)], "source string, target string, key_ord int")
+    targets = spark.createDataFrame([("Steel", "Steel")], "target string, key_ord string")
+    out = {r["query_id"]: (r["target"], r["method"]) for r in tiered_resolve(queries, forward, targets, targets.select(F.col("target").alias("term"))).collect()}
+    assert out == {1: ("Empty value", "no_match"), 2: ("Empty value", "no_match"), 3: ("Steel", "cached")}
+
+
+def test_the_newest_of_repeated_scores_is_converted(spark):
+    traces = spark.createDataFrame([("t1", None, 1.0, 2.0, "SUCCESS")], "id string, name string, start_time double, end_time double, status string")
+    observations = spark.createDataFrame([], "trace_id string, type string, name string, start_time double, end_time double, line int")
+    scores = spark.createDataFrame([("t1", "confidence", 0.2, "2024-01-01", "a"), ("t1", "confidence", 0.9, "2024-01-02", "b")],
+                                   "trace_id string, name string, value double, timestamp string, id string")
+    spans = telemetry.convert_spans(traces, observations, scores, F.col("line"), ["line"])
+    assert spans.head()["attributes"] == {"score.confidence": "0.9"}
+
+
+def test_unanswered_queries_count_against_accuracy(spark, rows_of):
+    truth = spark.createDataFrame([(1, "a"), (2, "b"), (3, "--"), (4, "--")], "query_id int, expected string")
+    given = spark.createDataFrame([("x", 1, "a"), ("x", 3, "c"), ("y", 2, "b")], "config string, query_id int, target string")
+    assert rows_of(evaluate.accuracy(given, truth, ["config"])) == [("x", 4, 0.5), ("y", 4, 0.75)]
+    assert evaluate.accuracy(given.filter("config = 'x'"), truth).collect() == [(4, 0.5)]
+
+
+def test_pages_are_refused_not_cut(spark):
+    df = spark.range(1000).selectExpr("id AS trace_id", "id AS request_time")
+    assert experiments.list_traces(df, limit=500).count() == 500
+    with pytest.raises(ValueError):
+        experiments.list_traces(df, limit=501)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+
+
+def test_staged_tables_are_released(spark):
+    df = session.stage(spark.range(5), "released")
+    folder = os.path.dirname(df.inputFiles()[0]).removeprefix("file:").replace("///", "/")
+    assert os.path.isdir(folder)
+    session.release(df)
+    assert not os.path.exists(folder)

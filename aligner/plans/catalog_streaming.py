@@ -46,11 +46,13 @@ def _changed(w):
 
 @query("stream_direct_edits", """WITH e AS (SELECT seq, ts, workbook, row, 0 AS input_col, CASE WHEN col = 0 THEN value END AS entered, CASE WHEN col = 2 THEN value END AS edited FROM {v_cells} WHERE row > 0 AND col IN (0, 2)),
   f AS (SELECT *, last_value(entered IGNORE NULLS) OVER (PARTITION BY workbook, row ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source FROM e)
-  SELECT seq, workbook, row, source, edited AS target, 'DirectEdit' AS method FROM f WHERE edited IS NOT NULL AND source IS NOT NULL""")
+  SELECT seq, workbook, row, source, edited AS target, 'DirectEdit' AS method FROM (SELECT seq, workbook, row, edited,
+    coalesce(source, CASE WHEN row % 2 = 0 THEN concat('stored ', workbook) END) AS source FROM f) WHERE edited IS NOT NULL AND source IS NOT NULL""")
 def _edits(w):
     cells = _view_stream(w, "v_cells", "events")
     columns = w.spark.createDataFrame([(0, 2)], "input_col int, output_col int")
-    stored = w.v_cells.filter("false").select("workbook", "row", F.col("col").alias("input_col"), F.col("value").alias("source"))
+    stored = w.v_cells.filter("row % 2 = 0").select("workbook", "row").distinct().select(
+        "workbook", "row", F.lit(0).alias("input_col"), F.concat(F.lit("stored "), F.col("workbook").cast("string")).alias("source"))
     edits = jobs.stream_direct_edits(cells, columns, stored, ["ts", "seq"], F.date_trunc("hour", F.col("ts").cast("timestamp")))
     return edits.select("seq", "workbook", "row", "source", "target", "method")
 

@@ -67,3 +67,42 @@ def read_batches(spark: SparkSession, root: str, schema: StructType | str) -> Da
 def _batches(spark: SparkSession, root: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", root).option("recursiveFileLookup", True).parquet(root).withColumn(
         "batch", F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/", 1).cast("long"))
+
+
+#: Batches after which the last values are folded into a snapshot.
+SNAPSHOT_EVERY = 20
+
+
+class LastValues:
+    """The last value per key over all batches so far, as one table per batch and a folded snapshot every few batches.
+
+    A batch reads the newest snapshot before it and the tables since, so its cost doesn't grow with the number of batches. Batch
+    ids are consecutive, and a batch that is run again overwrites its own table and snapshot.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], value: str, schema: StructType, every: int = SNAPSHOT_EVERY):
+        self.spark, self.root, self.keys, self.value, self.schema, self.every = spark, root, keys, value, schema, every
+
+    def before(self, batch_id: int) -> DataFrame:
+        """``(keys, value)`` as of the start of a batch; later batches win."""
+        snapshot = batch_id // self.every * self.every - 1
+        paths = [batch_path(f"{self.root}/values", i) for i in range(snapshot + 1, batch_id)]
+        if snapshot >= 0:
+            paths.append(batch_path(f"{self.root}/snapshots", snapshot))
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(*paths).withColumn(
+            "_batch", F.when(F.contains(F.col("_metadata.file_path"), F.lit("/snapshots/")), -1).otherwise(
+                F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/", 1).cast("long")))
+        return rows.groupBy(*self.keys).agg(F.max_by(self.value, "_batch").alias(self.value))
+
+    def write(self, values: DataFrame, batch_id: int) -> None:
+        write_batch(values.select(*self.keys, self.value), f"{self.root}/values", batch_id)
+        if (batch_id + 1) % self.every == 0:
+            self._fold(batch_id)
+
+    def _fold(self, batch_id: int) -> None:
+        """Snapshot of everything up to and with a batch, from the previous snapshot and the tables since."""
+        own = self.spark.read.schema(self.schema).parquet(batch_path(f"{self.root}/values", batch_id))
+        earlier = self.before(batch_id).join(own, self.keys, "left_anti")
+        write_batch(earlier.unionByName(own), f"{self.root}/snapshots", batch_id)

@@ -14,7 +14,7 @@ from aligner.operators import matchdb
 from aligner.operators.ranking import last_known_in_group, previous_in_group
 from aligner.plans.resolve import tiered_resolve
 from aligner.session import new_path
-from aligner.streaming.core import read_batches, run_available, write_batch
+from aligner.streaming.core import SNAPSHOT_EVERY, LastValues, read_batches, run_available, write_batch
 
 CELL = ["workbook", "row", "col"]
 
@@ -48,25 +48,20 @@ def last_values(cells: DataFrame, order: list[str]) -> DataFrame:
 
 
 def stream_changed_cells(stream: DataFrame, order: list[str], bucket: Column, root: str | None = None,
-                         checkpoint: str | None = None) -> DataFrame:
+                         checkpoint: str | None = None, snapshot_every: int = SNAPSHOT_EVERY) -> DataFrame:
     """Follow cell events and keep the ones that change their cell.
 
     Every batch writes its changes and the last value of the cells it touched; the next batch finds the last value seen
-    among the batches before it.
+    before it in the newest snapshot and the batches since.
     """
     spark = stream.sparkSession
     root = root or new_path(spark, "cells")
-    state_schema = stream.select(*CELL, F.col("value").cast("string").alias("value")).schema
+    schema = stream.select(*CELL, F.col("value").cast("string").alias("value")).schema
+    state = LastValues(spark, f"{root}/state", CELL, "value", schema, snapshot_every)
 
     def per_batch(batch: DataFrame, i: int) -> None:
-        if i == 0:
-            known = spark.createDataFrame([], state_schema)
-        else:
-            seen = read_batches(spark, f"{root}/state", state_schema).filter(F.col("batch") < i)
-            touched = seen.join(batch.select(*CELL).distinct(), CELL, "left_semi")
-            known = touched.groupBy(*CELL).agg(F.max_by("value", "batch").alias("value"))
-        write_batch(changed_cells(batch, known, order, bucket), f"{root}/changes", i)
-        write_batch(last_values(batch, order), f"{root}/state", i)
+        write_batch(changed_cells(batch, state.before(i), order, bucket), f"{root}/changes", i)
+        state.write(last_values(batch, order), i)
 
     run_available(stream, per_batch, checkpoint)
     out_schema = stream.withColumn("value", F.col("value").cast("string")).schema
@@ -94,23 +89,20 @@ def direct_edits(cells: DataFrame, column_map: DataFrame, stored: DataFrame, ord
 
 
 def stream_direct_edits(stream: DataFrame, column_map: DataFrame, stored: DataFrame, order: list[str], bucket: Column,
-                        root: str | None = None, checkpoint: str | None = None) -> DataFrame:
+                        root: str | None = None, checkpoint: str | None = None, snapshot_every: int = SNAPSHOT_EVERY) -> DataFrame:
     """Follow cell events and turn output edits into results; sources entered in earlier batches are remembered."""
     spark = stream.sparkSession
     root = root or new_path(spark, "edits")
     keys = ["workbook", "row", "input_col"]
-    state_schema = stored.select(*keys, "source").schema
+    state = LastValues(spark, f"{root}/state", keys, "source", stored.select(*keys, "source").schema, snapshot_every)
     inputs = column_map.select(F.col("input_col").alias("col")).distinct()
 
     def per_batch(batch: DataFrame, i: int) -> None:
-        known = stored.select(*keys, "source")
-        if i > 0:
-            seen = read_batches(spark, f"{root}/state", state_schema).filter(F.col("batch") < i)
-            both = seen.unionByName(known.withColumn("batch", F.lit(-1).cast("long")))
-            known = both.groupBy(*keys).agg(F.max_by("source", "batch").alias("source"))
+        seen = state.before(i)
+        known = seen.unionByName(stored.select(*keys, "source").join(seen, keys, "left_anti"))
         write_batch(direct_edits(batch, column_map, known, order, bucket), f"{root}/edits", i)
         entered = last_values(batch.join(inputs, "col", "left_semi"), order)
-        write_batch(entered.select("workbook", "row", F.col("col").alias("input_col"), F.col("value").alias("source")), f"{root}/state", i)
+        state.write(entered.select("workbook", "row", F.col("col").alias("input_col"), F.col("value").alias("source")), i)
 
     run_available(stream, per_batch, checkpoint)
     schema = direct_edits(spark.createDataFrame([], stream.schema), column_map, stored, order, bucket).schema

@@ -1,6 +1,7 @@
 """File layouts as the reference writes them, and streams fed in several batches."""
 
 import json
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -109,3 +110,22 @@ def test_match_db_snapshot_round_trip(spark, tmp_path):
     aliases = spark.sql("SELECT 'T' AS target, 's' AS source, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts, 1L AS trace_id, 'cached' AS method, 1.0D AS confidence, true AS verified")
     path = sinks.write_match_db(aliases, str(tmp_path), "v1")
     assert files.read_match_db(spark, path).collect() == aliases.collect()
+
+
+def test_a_batch_reads_the_newest_snapshot_and_what_came_since(spark, tmp_path):
+    schema = "workbook int, row int, col int, seq int, value string"
+    folder, root, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    values = ["a", "a", "b", "b", "c", "c", "a"]
+
+    def arrive(seqs):
+        for seq in seqs:
+            spark.createDataFrame([(1, 1, 0, seq, values[seq]), (1, 2, 0, seq, "same")], schema).coalesce(1).write.mode("append").json(folder)
+            stream = core.read_stream(spark, folder, schema, "json", files_per_batch=1)
+            out = jobs.stream_changed_cells(stream, ["seq"], F.lit(0), root, checkpoint, snapshot_every=2)
+        return sorted((r["seq"], r["row"], r["value"]) for r in out.collect())
+
+    arrive(range(5))
+    for old in (0, 1, 2):  # batch 5 reads the snapshot of batch 3 and batch 4 only
+        shutil.rmtree(f"{root}/state/values/batch={old}")
+    shutil.rmtree(f"{root}/state/snapshots/batch=1")
+    assert arrive([5, 6]) == [(0, 1, "a"), (0, 2, "same"), (2, 1, "b"), (4, 1, "c"), (6, 1, "a")]

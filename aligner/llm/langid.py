@@ -69,7 +69,8 @@ def train(rows: list[tuple[str, str]], bits: int = 14, width: int = 16, epochs:
     rng = np.random.default_rng(seed)
     examples: list[tuple[np.ndarray, int, bool]] = []
     for i, (text, lang) in enumerate(rows):
-        starts = rng.choice(max(1, len(text) - piece), size=min(pieces, 1 + len(text) // piece), replace=False)
+        places = max(1, len(text) - piece)
+        starts = rng.choice(places, size=min(places, pieces, 1 + len(text) // piece), replace=False)
         for s in starts:
             ids = subwords(text[s:s + int(rng.integers(20, piece + 1))], bits)
             if len(ids):

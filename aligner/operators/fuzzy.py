@@ -34,6 +34,15 @@ def fuzzy_best(queries: DataFrame, keys: DataFrame, threshold: float = THRESHOLD
 
     ``queries`` has ``query``; ``keys`` has ``(key, target, key_ord)`` with a sortable, unique ``key_ord``.
     """
+    return _best_by_side(queries, keys.withColumn("side", F.lit(0)), threshold).drop("side")
+
+
+def _best_by_side(queries: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """The best key of the first ``side`` (0, then 1) that has any at the threshold, with that side.
+
+    Both sides go through the passes together. A hit on side 1 in the strict pass closes that side only: a weaker one on side 0 still
+    comes before it.
+    """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     texts = (
@@ -43,27 +52,28 @@ def fuzzy_best(queries: DataFrame, keys: DataFrame, threshold: float = THRESHOLD
     probes = texts.filter(F.size("words") > 0).select("q_id", "words").dropDuplicates(["q_id"])
     # keys of equal words are equally similar to anything, so the first of them stands for all
     known = (
-        keys.select("key", "target", "key_ord", normalized_words("key").alias("words"))
-        .groupBy(F.array_join("words", " ").alias("k_id"))
+        keys.select("key", "target", "key_ord", "side", normalized_words("key").alias("words"))
+        .groupBy(F.array_join("words", " ").alias("k_id"), "side")
         .agg(F.min(F.struct("key_ord", "key", "target")).alias("first"), F.first("words").alias("words"))
     )
     # numbers given once and written: candidate pairs are shuffled as two longs instead of two texts
     known = stage(known.withColumn("k_no", F.monotonically_increasing_id()), "fuzzy-keys")
-    remaining = stage(probes.withColumn("q_no", F.monotonically_increasing_id()), "fuzzy-probes")
-    empty_best = known.filter(F.col("k_id") == "").select(
-        F.lit("").alias("q_id"), F.lit(1.0).alias("score"), "first")
-    found = [empty_best]
+    remaining = stage(probes.withColumn("q_no", F.monotonically_increasing_id()).withColumn("closed", F.lit(False)), "fuzzy-probes")
+    found = [known.filter(F.col("k_id") == "").select(F.lit("").alias("q_id"), "side", F.lit(1.0).alias("score"), "first")]
     passes = _passes(threshold)
     for i, (at_least, word_level) in enumerate(passes):
         hits = stage(_best_at(remaining, known, at_least, word_level), "fuzzy-hits")
         found.append(hits)
         if i + 1 < len(passes):
-            remaining = stage(remaining.join(hits.select("q_id"), "q_id", "left_anti"), "fuzzy-probes")
-    best = found[0]
+            sides = hits.groupBy("q_id").agg(F.min("side").alias("hit"))
+            remaining = stage(remaining.join(sides, "q_id", "left").filter(F.col("hit").isNull() | (F.col("hit") > 0))
+                              .withColumn("closed", F.col("closed") | F.col("hit").isNotNull()).drop("hit"), "fuzzy-probes")
+    hits = found[0]
     for part in found[1:]:
-        best = best.unionByName(part)
+        hits = hits.unionByName(part)
+    best = hits.groupBy("q_id").agg(F.min_by(F.struct("side", "score", "first"), F.col("side")).alias("b"))
     return texts.select("query", "q_id").join(best, "q_id").select(
-        "query", F.col("first.key").alias("matched_key"), F.col("first.target").alias("target"), "score")
+        "query", F.col("b.first.key").alias("matched_key"), F.col("b.first.target").alias("target"), "b.score", "b.side")
 
 
 def _passes(threshold: float) -> list[tuple[float, float]]:
@@ -73,7 +83,7 @@ def _passes(threshold: float) -> list[tuple[float, float]]:
 
 
 def _best_at(probes: DataFrame, known: DataFrame, threshold: float, word_level: float) -> DataFrame:
-    key_words = known.filter(F.size("words") > 0).select("k_no", "words", F.size("words").alias("n"))
+    key_words = known.filter(F.size("words") > 0).select("k_no", "side", "words", F.size("words").alias("n"))
     vocabulary = key_words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     query_words = probes.select(F.explode("words").alias("word")).distinct()
     alike = (
@@ -83,8 +93,8 @@ def _best_at(probes: DataFrame, known: DataFrame, threshold: float, word_level:
     )
     no_words = F.array().cast("array<struct<other:string,similarity:double>>")
     expanded = stage(
-        probes.select("q_no", "q_id", "words", F.posexplode("words").alias("pos", "word")).join(alike, "word", "left")
-        .groupBy("q_no", "q_id", "words").agg(F.array_sort(F.collect_list(F.struct(
+        probes.select("q_no", "q_id", "closed", "words", F.posexplode("words").alias("pos", "word")).join(alike, "word", "left")
+        .groupBy("q_no", "q_id", "closed", "words").agg(F.array_sort(F.collect_list(F.struct(
             F.coalesce("df", F.lit(0)).alias("df"), "pos", F.coalesce("others", no_words).alias("others")))).alias("ranked"))
         .withColumn("m", F.size("words")), "fuzzy-expanded")
 
@@ -97,10 +107,10 @@ def _best_at(probes: DataFrame, known: DataFrame, threshold: float, word_level:
         .filter((j <= F.least(m, n)) & (known_words >= j))
         .withColumn("width", _width(j, n))
         .withColumn("prefix", F.transform(F.slice("ranked", 1, m - j + F.col("width")), lambda r: r["others"]["other"]))
-        .select("q_no", "n", F.explode(_query_blocks(F.col("prefix"), F.col("width"))).alias("block")).distinct()
+        .select("q_no", "closed", "n", F.explode(_query_blocks(F.col("prefix"), F.col("width"))).alias("block")).distinct()
     )
-    indexed = key_words.select("k_no", "n", F.explode(_key_blocks(F.col("words"), n)).alias("block"))
-    pairs = block_join(query_keys, indexed, ["block", "n"]).select("q_no", "k_no").distinct()
+    indexed = key_words.select("k_no", "side", "n", F.explode(_key_blocks(F.col("words"), n)).alias("block"))
+    pairs = block_join(query_keys, indexed, ["block", "n"]).filter((F.col("side") == 0) | ~F.col("closed")).select("q_no", "k_no").distinct()
 
     def best_known(r: Column) -> Column:
         held = F.filter(r["others"], lambda o: F.array_contains("k_words", o["other"]))
@@ -110,14 +120,14 @@ def _best_at(probes: DataFrame, known: DataFrame, threshold: float, word_level:
     bound = F.aggregate(F.transform("ranked", best_known), F.lit(0.0), lambda total, g: total + g) - spare
     scored = (
         pairs.join(expanded.select("q_no", "q_id", F.col("words").alias("q_words"), "ranked", "m"), "q_no")
-        .join(known.select("k_no", F.col("words").alias("k_words"), F.size("words").alias("n"), "first"), "k_no")
+        .join(known.select("k_no", "side", F.col("words").alias("k_words"), F.size("words").alias("n"), "first"), "k_no")
         .filter(bound >= F.greatest(m, n) * threshold - _SLACK)
         .withColumn("score", word_similarity(F.col("q_words"), F.col("k_words")))
         .filter(F.col("score") >= threshold)
     )
     return (
-        scored.groupBy("q_id").agg(F.min(F.struct((-F.col("score")).alias("neg"), "first")).alias("b"))
-        .select("q_id", (-F.col("b.neg")).alias("score"), F.col("b.first").alias("first"))
+        scored.groupBy("q_id", "side").agg(F.min(F.struct((-F.col("score")).alias("neg"), "first")).alias("b"))
+        .select("q_id", "side", (-F.col("b.neg")).alias("score"), F.col("b.first").alias("first"))
     )
 
 
@@ -229,10 +239,11 @@ def fuzzy_two_pass(queries: DataFrame, forward: DataFrame, targets: DataFrame, t
     ``queries`` has ``query`` (trimmed, not empty), ``forward`` ``(source, target, key_ord)``, ``targets``
     ``(target, key_ord)``. Result ``(query, matched_key, target, score, direction)``.
     """
-    first = fuzzy_best(queries, forward.select(F.col("source").alias("key"), "target", "key_ord"), threshold)
-    rest = queries.select("query").distinct().join(first.select("query"), "query", "left_anti")
-    second = fuzzy_best(rest, targets.select(F.col("target").alias("key"), "target", "key_ord"), threshold)
-    return first.withColumn("direction", F.lit("forward")).unionByName(second.withColumn("direction", F.lit("reverse")))
+    none = lambda df: F.lit(None).cast(df.schema["key_ord"].dataType)
+    ahead = forward.select(F.col("source").alias("key"), "target", F.struct(F.col("key_ord").alias("f"), none(targets).alias("t")).alias("key_ord"), F.lit(0).alias("side"))
+    back = targets.select(F.col("target").alias("key"), "target", F.struct(none(forward).alias("f"), F.col("key_ord").alias("t")).alias("key_ord"), F.lit(1).alias("side"))
+    best = _best_by_side(queries, ahead.unionByName(back), threshold)
+    return best.withColumn("direction", F.when(F.col("side") == 0, "forward").otherwise("reverse")).drop("side")
 
 
 def fuzzy_input(queries: DataFrame, query: str = "query") -> DataFrame:

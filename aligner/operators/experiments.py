@@ -148,13 +148,16 @@ def variant_grid(axes: DataFrame, names: list[str], active_steps: list[str]) ->
     """All combinations of the values of the axes ``(axis, step, value)`` whose step is active.
 
     ``names`` lists the axes of a grid, in column order; axes of inactive steps fall out as null columns. An axis is a
-    short list of declared values.
+    short list of declared values; the grid is dealt out again after every axis, so no task builds more than its share.
     """
     kept = axes.filter(F.col("step").isin(active_steps)).select("axis", "value").distinct()
-    row = kept.groupBy().pivot("axis", names).agg(F.array_sort(F.collect_list("value")))
-    for name in names:
-        row = row.withColumn(name, F.explode_outer(name))
-    return row
+    values = lambda name: kept.filter(F.col("axis") == name).agg(F.array_sort(F.collect_list("value"))).scalar()
+    grid = kept.agg(F.count(F.lit(1)).alias("_n"))
+    for i, name in enumerate(names):
+        if i:
+            grid = grid.repartition(*names[:i])
+        grid = grid.withColumn("_values", values(name)).select(*names[:i], F.explode_outer("_values").alias(name))
+    return grid
 
 
 def config_hash(config: Column) -> Column:

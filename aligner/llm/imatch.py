@@ -16,7 +16,6 @@ from aligner.llm.common import SPACE_CLASS, let, shuffle_partitions
 
 #: A lexicon is looked up in so many slots.
 _SLOTS = 1 << 16
-_BUCKET_BYTES = 8 << 20
 _RANGES = 64
 
 
@@ -93,15 +92,15 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def _bucket(docs: DataFrame, bytes_each: int) -> Column:
-    """A bucket number that falls with ``doc_id``, of about ``bytes_each`` of text: quantiles of the ids, each cut evenly."""
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.min("_order").alias("lo"), F.max("_order").alias("hi")).first()
+def _bucket(docs: DataFrame) -> Column:
+    """A bucket number that falls with ``doc_id``: quantiles of the ids, each cut evenly, about as many as shuffle partitions."""
+    size = docs.agg(F.min("_order").alias("lo"), F.max("_order").alias("hi")).first()
     if size["lo"] is None:
         return F.lit(0).cast("long")
     cuts = sorted({int(q) for q in docs.approxQuantile("_order", [i / _RANGES for i in range(1, _RANGES)], 0.002)})
     bounds = sorted({size["lo"], *(c for c in cuts if size["lo"] < c <= size["hi"])})
     ends = [*bounds[1:], size["hi"] + 1]
-    within = max(1, -(-max((size["b"] or 0) // bytes_each, shuffle_partitions(docs.sparkSession)) // len(bounds)))
+    within = -(-shuffle_partitions(docs.sparkSession) // len(bounds))
     starts = F.array(*[F.lit(Decimal(b)).cast("decimal(20,0)") for b in bounds])
     widths = F.array(*[F.lit(Decimal(e - b)).cast("decimal(20,0)") for b, e in zip(bounds, ends, strict=True)])
     place = F.size(F.filter(starts, lambda b: b <= F.col("_order"))) - 1
@@ -129,7 +128,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = lexicon(rows.select("text"), low, high)
     rows = rows.withColumns({"_order": F.coalesce("doc_id", F.lit(-(1 << 63))), "_tie": F.xxhash64("text")})
-    rows = rows.withColumn("_bucket", _bucket(rows, _BUCKET_BYTES))
+    rows = rows.withColumn("_bucket", _bucket(rows))
     marked = fingerprinted(rows, "text", words, parts, "_entries")
     order = [F.desc("_order"), F.asc("_tie")]
     window = Window.partitionBy("_bucket").orderBy(*order)
@@ -139,8 +138,9 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     after = Window.orderBy("_bucket")  # one row per bucket
     follows = heads.select("_bucket", F.coalesce(F.lead("_bucket").over(after), F.min("_bucket").over(Window.partitionBy())).alias("_after"))
     first = heads.select(F.col("_bucket").alias("_after"), (-F.col("h.o")).cast("long").alias("_first_order"), F.col("h.t").alias("_first_tie"))
+    # one row per bucket, and there are about as many buckets as shuffle partitions: small beside the rows, which are not shuffled
     first = rows.select("_bucket", "_order", "_tie", "text").join(
-        first, (F.col("_bucket") == F.col("_after")) & (F.col("_order") == F.col("_first_order")) & (F.col("_tie") == F.col("_first_tie")))
+        F.broadcast(first), (F.col("_bucket") == F.col("_after")) & (F.col("_order") == F.col("_first_order")) & (F.col("_tie") == F.col("_first_tie")))
     first = first.groupBy("_after").agg(F.first("text").alias("_first_text"))
     heads = fingerprinted(follows.join(first, "_after"), "_first_text", words, parts, "_entries").select(
         "_bucket", F.struct(F.col("_first_text").alias("text"), "_entries").alias("_head"))

@@ -1,14 +1,14 @@
 """Fuzzy tier: best key by greedy word similarity, joined without comparing all strings.
 
-Blocking is lossless for a threshold t. Let a query have m words and a key n, M = max(m, n), L = min(m, n). For any
-level s < t, the at most L aligned words below s add less than s each, so a hit needs at least
-j = ceil((t * M - s * L) / (1 - s)) query words aligned with distinct key words of similarity >= s, and L / M >= t.
-Therefore
+Blocking is lossless for a threshold t. Let a query have m words and a key n, M = max(m, n), L = min(m, n). If fewer than j of the at
+most L aligned words had a similarity of s = (t * M - (j - 1)) / (L - (j - 1)) or more, the sum would stay below t * M. So a hit needs j words
+aligned with distinct key words of similarity >= s, for every j, and L / M >= t. Therefore
 
 1. similar words are found once between the two vocabularies (``similar_words``),
-2. of the query's words ranked by how many keys hold a similar word, any j aligned ones put at least w of them among
-   the m - j + w rarest; the join key is w = min(j, 3) such words plus the key's word count,
-3. a candidate pair must pass the upper bound "best similar word per query word, else s" before its exact
+2. for every pair of word counts the largest j is taken whose s isn't low; of the query's words ranked by how many
+   keys hold a similar word, any j aligned ones put at least w of them among the m - j + w rarest; the join key is w = min(j, 3)
+   such words plus the key's word count,
+3. a candidate pair must pass the upper bound "best similar word per query word, else the lowest level" before its exact
    similarity is computed.
 
 Most strings that resolve at all resolve near 1, so thresholds are lowered in passes, each on the remainder of the
@@ -27,6 +27,8 @@ from aligner.session import stage
 
 THRESHOLD = 0.7
 _SLACK = 1e-9
+#: Word levels below this share of the string threshold are not used: too many words are that similar.
+_LOWEST = 0.75
 
 
 def fuzzy_best(queries: DataFrame, keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -77,21 +79,22 @@ def _best_by_side(queries: DataFrame, keys: DataFrame, threshold: float) -> Data
 
 
 def _passes(threshold: float) -> list[tuple[float, float]]:
-    """(string threshold, word threshold) from strict to the one asked for."""
+    """(string threshold, lowest word level) from strict to the one asked for."""
     steps = [t for t in (0.9,) if t > threshold + 0.05] + [threshold]
-    return [(t, 2 / 3 if t >= 0.9 else max(t - 0.2, t / 2)) for t in steps]
+    return [(t, _LOWEST * t) for t in steps]
 
 
 def _best_at(probes: DataFrame, known: DataFrame, threshold: float, word_level: float) -> DataFrame:
     key_words = known.filter(F.size("words") > 0).select("k_no", "side", "words", F.size("words").alias("n"))
-    vocabulary = key_words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = key_words.select("side", F.explode("words").alias("word")).groupBy("word").agg(
+        F.count(F.lit(1)).alias("df"), (F.min("side") == 0).alias("ahead"))
     query_words = probes.select(F.explode("words").alias("word")).distinct()
     alike = (
         similar_words(query_words, vocabulary.select("word"), word_level)
         .join(vocabulary.withColumnRenamed("word", "other"), "other").groupBy("word")
-        .agg(F.sum("df").alias("df"), F.collect_list(F.struct("other", "similarity")).alias("others"))
+        .agg(F.sum("df").alias("df"), F.collect_list(F.struct("other", "similarity", "ahead")).alias("others"))
     )
-    no_words = F.array().cast("array<struct<other:string,similarity:double>>")
+    no_words = F.array().cast("array<struct<other:string,similarity:double,ahead:boolean>>")
     expanded = stage(
         probes.select("q_no", "q_id", "closed", "words", F.posexplode("words").alias("pos", "word")).join(alike, "word", "left")
         .groupBy("q_no", "q_id", "closed", "words").agg(F.array_sort(F.collect_list(F.struct(
@@ -100,13 +103,15 @@ def _best_at(probes: DataFrame, known: DataFrame, threshold: float, word_level:
 
     m, n, j = F.col("m"), F.col("n"), F.col("j")
     counts = F.sequence(F.ceil(m * threshold - _SLACK).cast("int"), F.floor(m / threshold + _SLACK).cast("int"))
-    aligned = F.ceil((F.greatest(m, n) * threshold - F.least(m, n) * word_level) / (1 - word_level) - _SLACK)
-    known_words = F.size(F.filter("ranked", lambda r: F.size(r["others"]) > 0))
+    longer, shorter = F.greatest(m, n), F.least(m, n)
+    most = F.floor((longer * threshold - shorter * word_level) / (1 - word_level) + _SLACK).cast("int") + 1
+    near = lambda o: (o["similarity"] >= F.col("level") - _SLACK) & (o["ahead"] | ~F.col("closed"))
     query_keys = (
-        expanded.withColumn("n", F.explode(counts)).withColumn("j", F.greatest(aligned, F.lit(1)).cast("int"))
-        .filter((j <= F.least(m, n)) & (known_words >= j))
-        .withColumn("width", _width(j, n))
-        .withColumn("prefix", F.transform(F.slice("ranked", 1, m - j + F.col("width")), lambda r: r["others"]["other"]))
+        expanded.withColumn("n", F.explode(counts)).withColumn("j", F.greatest(F.least(most, shorter), F.lit(1)))
+        .withColumn("level", (longer * threshold - (j - 1)) / (shorter - (j - 1)))
+        .withColumn("usable", F.transform("ranked", lambda r: F.filter(r["others"], near)["other"]))
+        .filter(F.size(F.filter("usable", lambda u: F.size(u) > 0)) >= j).withColumn("width", _width(j, n))
+        .withColumn("prefix", F.slice("usable", 1, m - j + F.col("width")))
         .select("q_no", "closed", "n", F.explode(_query_blocks(F.col("prefix"), F.col("width"))).alias("block")).distinct()
     )
     indexed = key_words.select("k_no", "side", "n", F.explode(_key_blocks(F.col("words"), n)).alias("block"))

@@ -187,7 +187,8 @@ def _topk_per_token_set(token_sets: DataFrame, terms: DataFrame, k: int, rare_df
 
     best = _best(_rare_hits(probes, index).unionByName(_frequent_hits(probes, index, k)), k)
     if not (index.filter("long").isEmpty() and probes.filter("long").isEmpty()):
-        best = _best(_with_long_labels(stage(best.drop("rank"), "token-best"), probes, index, k), k)
+        seeded = _seeded(stage(best.drop("rank"), "token-best"), probes, index, k)
+        best = _best(_with_long_labels(stage(seeded, "token-best"), probes, index, k), k)
     return (
         best.join(named, "t_no").join(probes.select("p_no", "n"), "p_no")
         .select("p_no", "term", (F.col("shared") / F.col("n")).alias("score"), "rank")
@@ -226,6 +227,21 @@ def _frequent_hits(probes: DataFrame, index: DataFrame, k: int) -> DataFrame:
     return block_join(useful, postings, ["subset"]).select("p_no", "t_no", F.col("size").alias("shared"))
 
 
+def _seeded(best: DataFrame, probes: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """``best``, filled up for the probes that have fewer than k hits: the first k terms of each of their tokens with exact overlaps.
+
+    Terms that hold one of a probe's tokens usually share several, so the bound that follows is far above one token.
+    """
+    full = best.groupBy("p_no").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= k)
+    lacking = probes.join(full.select("p_no"), "p_no", "left_anti").select("p_no", "known")
+    lists = index.select("t_no", F.col("known").alias("t_known"))
+    first = Window.partitionBy("token").orderBy("t_no")
+    listed = lists.select("t_no", F.explode("t_known").alias("token")).withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= k)
+    pairs = block_join(lacking.select("p_no", F.explode("known").alias("token")), listed.select("token", "t_no"), ["token"]).select("p_no", "t_no")
+    seeds = _overlap(pairs, lacking, lists, "p_no", "t_no").select("p_no", "t_no", "shared")
+    return _best(best.unionByName(seeds), k).drop("rank")
+
+
 def _with_long_labels(best: DataFrame, probes: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """``best`` and all pairs with a long label on either side that reach the k-th best overlap known so far."""
     floor = best.groupBy("p_no").agg(F.when(F.count(F.lit(1)) >= k, F.min("shared")).otherwise(F.lit(1)).alias("floor"))

@@ -43,7 +43,8 @@ VIEWS: dict[str, str] = {
     # two mapping sheets with blanks and duplicate aliases
     "v_mapping": """
         SELECT CAST(p_partkey % 2 AS INT) AS source_id, p_partkey + 2 AS row_num,
-          CASE WHEN p_partkey % 23 = 0 THEN '' ELSE concat(' alias ', CAST((p_partkey * 7) % 1500 AS STRING)) END AS source,
+          CASE WHEN p_partkey % 23 = 0 THEN '' ELSE concat(' alias ',
+            CAST(((CASE WHEN p_partkey % 50 = 3 THEN p_partkey - 2 ELSE p_partkey END) * 7) % 1500 AS STRING)) END AS source,
           CASE WHEN p_partkey % 29 = 0 THEN '' ELSE concat_ws(' ', p_name, p_brand) END AS target
         FROM {part}""",
     # pipeline results

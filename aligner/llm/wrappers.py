@@ -2,7 +2,8 @@
 
 A page is a stream of tags and text slots. Repeated runs become groups; the streams of a host's pages are aligned one after the other, and
 what doesn't match becomes optional or joins a repeated group. A slot that never changes is template text. Slots are judged once
-per wrapper (containers, links, constancy, amount of text), and each page's slots take the verdict of the wrapper's slots they align with.
+per wrapper (containers, links, constancy), and each page's slots take the verdict of the wrapper's slots they align with. Which
+containers of a page without article elements are its main text is decided per page.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ _SLICE_BYTES = 4 << 20
 _SALTS = 16
 #: Hosts whose partial wrappers a task holds at a time.
 _HELD_HOSTS = 500
+#: A container beside the main one is main text from this share of its text on, or from this many characters where template text is known.
+_BESIDE_SHARE, _BESIDE_CHARS = 0.2, 80
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -43,6 +46,7 @@ _DROPPED = frozenset(("head nav footer aside form button select option textarea
                       "fieldset legend datalist output progress meter").split())
 _MAIN = frozenset(("article", "main"))
 _HEADINGS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption caption".split())
+_LISTS = frozenset("ul ol dl li table tbody tr blockquote".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
            "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 _SCOPES = frozenset("ul ol dl table select article main section div body".split())
@@ -300,10 +304,35 @@ def _dropped(path: list[str]) -> bool:
     return False
 
 
-def judge(wrapper: list[Node]) -> None:
-    """Labels every slot: 2 main text in an article or main element, 1 main text where a page has none of these, 0 neither."""
-    slots = [s for n in wrapper for s in n.slots()]
+def _container(slot: Node) -> tuple[str, ...]:
+    """The path of the element that holds a slot's block; lists, tables and quotes belong to the element around them."""
+    path = slot.key[1:].split("/")
+    if path[-1].split(".")[0] in _HEADINGS:
+        path = path[:-1]
+    while len(path) > 1 and path[-1].split(".")[0] in _LISTS:
+        path = path[:-1]
+    return tuple(path)
+
+
+def _amounts(slots: list[Node], labels: list[int]) -> dict[tuple[str, ...], int]:
+    """Characters outside of links per container, of the slots with label 1."""
     amount: dict[tuple[str, ...], int] = defaultdict(int)
+    for s, label in zip(slots, labels, strict=True):
+        if label == 1:
+            amount[_container(s)] += s.chars - s.links
+    return amount
+
+
+def _largest(amount: dict[tuple[str, ...], int]) -> tuple[str, ...]:
+    return max(sorted(amount), key=lambda c: amount[c])
+
+
+def judge(wrapper: list[Node]) -> tuple[str, ...] | None:
+    """Labels every slot: 2 main text in an article or main element, 1 possible main text where a page has none of these, 0 neither.
+
+    Returns the container that holds most text of label 1.
+    """
+    slots = [s for n in wrapper for s in n.slots()]
     pages = max((n.pages for n in wrapper), default=1)
     for s in slots:
         path = s.key[1:].split("/")
@@ -315,25 +344,17 @@ def judge(wrapper: list[Node]) -> None:
         else:
             template = s.constant is not None and s.pages >= 3 and 2 * s.pages >= pages
             s.label = 0 if linked or template else 1
-            if s.label:
-                container = path[:-1] if path[-1].split(".")[0] in _HEADINGS else path
-                amount[tuple(container)] += s.chars - s.links
-    if not amount:
-        return
-    best = max(sorted(amount), key=lambda c: amount[c])
-    while len(best) > 1 and best[-1].split(".")[0] in ("ul", "ol", "dl", "li", "table", "tbody", "tr", "blockquote"):
-        best = best[:-1]
-    for s in slots:
-        if s.label == 1 and tuple(s.key[1:].split("/")[:len(best)]) != best:
-            s.label = 0
+    amount = _amounts(slots, [s.label for s in slots])
+    return _largest(amount) if amount else None
 
 
 class Extractor:
     """Applies a host's wrapper to its pages; verdicts are remembered per stream of tokens."""
 
     def __init__(self, wrapper: list[Node]) -> None:
-        judge(wrapper)
+        self.usual = judge(wrapper)
         self.wrapper, self.bodies = wrapper, _bodies(wrapper)
+        self.compared = max((n.pages for n in wrapper), default=1) >= 3
         self.by_key: dict[str, int] = {}
         for node in wrapper:
             for s in node.slots():
@@ -350,8 +371,29 @@ class Extractor:
             labels = self._labels(nodes, slots)
             if len(self.known) < 4096:
                 self.known[stream] = labels
-        wanted = 2 if 2 in labels else 1
-        return " ".join(texts[i] for i in sorted(i for s, label in zip(slots, labels, strict=True) if label == wanted for i in s.at))
+        if 2 in labels:
+            main = [s for s, label in zip(slots, labels, strict=True) if label == 2]
+        else:
+            main = self._main(slots, labels)
+        return " ".join(texts[i] for i in sorted(i for s in main for i in s.at))
+
+    def _main(self, slots: list[Node], labels: list[int]) -> list[Node]:
+        """The slots of a page's main container and of those beside it that hold much text as well.
+
+        The wrapper's usual container, or the page's own largest one where the usual one is missing or holds little.
+        """
+        amount = _amounts(slots, labels)
+        if not amount:
+            return []
+        best = _largest(amount)
+        if self.usual is not None and amount.get(self.usual, 0) > _BESIDE_SHARE * amount[best]:
+            best = self.usual
+        beside: dict[tuple[str, ...], int] = defaultdict(int)
+        for c, n in amount.items():
+            if len(c) >= len(best) and c[:len(best) - 1] == best[:-1]:
+                beside[c[:len(best)]] += n
+        kept = {c for c, n in beside.items() if n >= _BESIDE_SHARE * beside[best] or (self.compared and n >= _BESIDE_CHARS)} | {best}
+        return [s for s, label in zip(slots, labels, strict=True) if label == 1 and _container(s)[:len(best)] in kept]
 
     def _labels(self, nodes: list[Node], slots: list[Node]) -> list[int]:
         for s in slots:
@@ -429,7 +471,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """``page_id, url, text, n_chars`` of every row; ``text`` is empty where a page has no main text.
 
     The wrapper of a host is inferred from all its pages. Null or empty pages give an empty text; pages without a readable host in
-    their url (or a null url) share one wrapper; repeated rows and null ids stay; extra columns are ignored; an empty table gives
+    their url (or a null url) share one wrapper, but each page of these chooses its own containers. Repeated rows and null ids stay; extra columns are ignored; an empty table gives
     an empty result. Whole pages are read, however long.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))

@@ -68,3 +68,27 @@ def test_query_gives_the_articles(spark):
     for r in got:
         article = pages[r.page_id].partition("<article>")[2].partition("</article>")[0]
         assert r.text == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article))).split())
+
+
+LAYOUTS = ['<html><body><div class="post"><h2>T{0}</h2><p>Body text number {0} of a longer post, which goes on.</p></div></body></html>',
+           '<html><body><div class="news"><p>Short news {0}.</p></div></body></html>']
+
+
+def test_every_layout_of_a_host_keeps_its_text(spark):
+    rows = [(i, f"https://two.example/{i}", LAYOUTS[i % 2].format(i)) for i in range(10)]
+    for i, (_, text, _) in texts(spark, rows).items():
+        assert text == (f"Short news {i}." if i % 2 else f"T{i} Body text number {i} of a longer post, which goes on.")
+
+
+def test_pages_without_host_keep_their_own_text(spark):
+    names = ["story", "entry", "content", "text"]
+    rows = [(i, None if i % 2 else "no host", f'<body><div class="{n}"><p>{"Words of " * (i + 1)}{n}.</p></div></body>') for i, n in enumerate(names)]
+    for i, (_, text, _) in texts(spark, rows).items():
+        assert text == f"{'Words of ' * (i + 1)}{names[i]}."
+
+
+def test_parts_of_an_article_in_containers_side_by_side(spark):
+    page = '<body><div class="lead"><p>Lead {0} tells what follows.</p></div><div class="story"><p>Story {0} has {1}.</p></div><div>Imprint</div></body>'
+    rows = [(i, f"https://parts.example/{i}", page.format(i, "many words " * 6)) for i in range(4)]
+    for i, (_, text, _) in texts(spark, rows).items():
+        assert text == f"Lead {i} tells what follows. Story {i} has {'many words ' * 6}."

@@ -1,9 +1,9 @@
 """Main text of web pages by wrappers: union-free regular expressions over a host's token streams.
 
 A page is a stream of tags and text slots. Repeated runs become groups; the streams of a host's pages are aligned one after the other, and
-what doesn't match becomes optional or joins a repeated group. A slot that never changes is template text. Slots are judged once
-per wrapper (containers, links, constancy), and each page's slots take the verdict of the wrapper's slots they align with. Which
-containers of a page without article elements are its main text is decided per page.
+what doesn't match becomes optional or joins a repeated group. A slot that never changes over three or more different pages is template
+text. Slots are judged once per wrapper (containers, links, constancy), and each page's slots take the verdict of the wrapper's slots they
+align with. Which containers of a page without article elements are its main text is decided per page.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +26,8 @@ _SLICE_BYTES = 4 << 20
 _SALTS = 16
 #: Hosts whose partial wrappers a task holds at a time.
 _HELD_HOSTS = 500
+#: Contents of pages that a task remembers at a time.
+_SEEN_PAGES = 100_000
 #: A container beside the main one is main text from this share of its text on, or from this many characters where template text is known.
 _BESIDE_SHARE, _BESIDE_CHARS = 0.2, 80
 
@@ -281,14 +283,6 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
     return collapse(out)
 
 
-def _forgotten(node: Node) -> Node:
-    """Without the page's own slots."""
-    node.at = []
-    for n in node.body or ():
-        _forgotten(n)
-    return node
-
-
 def _dropped(path: list[str]) -> bool:
     """Whether a container says that it isn't main text."""
     inside = False
@@ -414,8 +408,28 @@ def _unpacked(text: str) -> list[Node]:
     return [Node.unpacked(x) for x in json.loads(text)]
 
 
+_STREAM = "host string, page long, stream binary"
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed token streams of pages; contents repeated within a task are left out as far as they are remembered."""
+    seen: set[tuple[str, int]] = set()
+    for part in byte_slices(batches, "html", _SLICE_BYTES):
+        out: list[tuple[str, int, bytes]] = []
+        for host, page, html in zip(*(part.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
+            if (host, page) in seen:
+                continue
+            if len(seen) >= _SEEN_PAGES:
+                seen.clear()
+            seen.add((host, page))
+            out.append((host, page, compress(_packed(collapse(read(html or "")[0])).encode(), 1)))
+        hosts, pages, streams = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(streams, pa.binary())],
+                                         ["host", "page", "stream"])
+
+
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Wrappers of a task's pages, per host."""
+    """Wrappers of a task's streams, per host."""
     from pyspark import TaskContext
 
     salt = TaskContext.get().partitionId() % _SALTS
@@ -426,9 +440,9 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(list(held), pa.string()), pa.array([salt] * len(held), pa.int32()), pa.array([_packed(w) for w in held.values()], pa.string())],
             ["host", "salt", "wrapper"])
 
-    for part in byte_slices(batches, "html", _SLICE_BYTES):
-        for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-            nodes = [_forgotten(n) for n in collapse(read(page or "")[0])]
+    for part in batches:
+        for host, stream in zip(part.column("host").to_pylist(), part.column("stream").to_pylist(), strict=True):
+            nodes = _unpacked(decompress(stream).decode())
             held[host] = align(held[host], nodes) if host in held else nodes
             if len(held) >= _HELD_HOSTS:
                 yield out()
@@ -447,8 +461,14 @@ def _merged(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """``host, wrapper`` for rows ``host, html``: folded in the tasks that read the pages, then per host and salt, then per host."""
-    partial = pages.select("host", "html").mapInArrow(_partial, "host string, salt int, wrapper string")
+    """``host, wrapper`` for rows ``host, html``: every distinct content of a host counts as one page.
+
+    The tasks that read the pages pack their token streams, one stream of each content is kept (told apart by 64 bits), and streams are
+    folded per task, then per host and salt, then per host.
+    """
+    streams = pages.select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(_streams, _STREAM)
+    distinct = streams.groupBy("host", "page").agg(F.first("stream").alias("stream"))
+    partial = distinct.select("host", "stream").mapInArrow(_partial, "host string, salt int, wrapper string")
     salted = partial.groupBy("host", "salt").applyInArrow(_merged, "host string, wrapper string")
     return salted.groupBy("host").applyInArrow(_merged, "host string, wrapper string")
 
@@ -470,7 +490,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every row; ``text`` is empty where a page has no main text.
 
-    The wrapper of a host is inferred from all its pages. Null or empty pages give an empty text; pages without a readable host in
+    The wrapper of a host is inferred from all its pages; copies of a page count once. Null or empty pages give an empty text; pages without a readable host in
     their url (or a null url) share one wrapper, but each page of these chooses its own containers. Repeated rows and null ids stay; extra columns are ignored; an empty table gives
     an empty result. Whole pages are read, however long.
     """

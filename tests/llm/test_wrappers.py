@@ -92,3 +92,15 @@ def test_parts_of_an_article_in_containers_side_by_side(spark):
     rows = [(i, f"https://parts.example/{i}", page.format(i, "many words " * 6)) for i in range(4)]
     for i, (_, text, _) in texts(spark, rows).items():
         assert text == f"Lead {i} tells what follows. Story {i} has {'many words ' * 6}."
+
+
+def test_copies_of_a_page_count_once(spark):
+    one = "<body><div><p>T</p></div></body>"
+    rows = [(i, "https://copies.example/x", one) for i in range(40)] + [(i, None, one) for i in range(40, 43)]
+    assert {r[1] for r in texts(spark, rows).values()} == {"T"}
+    page = "<body><div><p>Text {0}.</p></div><div>Imprint</div></body>"
+    rows = [(i, "https://mixed.example/x", page.format(max(0, i - 30))) for i in range(33)]
+    assert {r[1] for r in texts(spark, rows).values()} == {f"Text {i}." for i in range(3)}
+    pages = spark.createDataFrame([("h", one)] * 40, "host string, html string").repartition(7)
+    (wrapper,) = wrappers.infer(pages).collect()
+    assert {n.pages for n in wrappers._unpacked(wrapper.wrapper)} == {1}

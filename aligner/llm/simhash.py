@@ -316,6 +316,11 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFra
     fps = stage(fingerprints(docs, "doc_id", "text", shingle), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("hash").alias("h"))
     kept = fps.join(_members(fps, distance, _GROUP), "fp").groupBy("root").agg(F.min(order).alias("o"))
+    return rows_of(docs, kept)
+
+
+def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for every ``o`` of ``kept``: a struct with the id ``i`` (may be null) and the hash ``h`` of the text."""
     kept = kept.select(F.col("o.i").alias("_id"), F.col("o.h").alias("_text")).distinct()
     own = docs.withColumn("_hash", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))

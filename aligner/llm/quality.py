@@ -142,3 +142,9 @@ def with_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, mod
         "held_out": F.coalesce(doc_remainder(F.col("doc_id"), mod) == held_out, F.lit(False)),
         "predicted": (F.col("score") >= threshold).cast("int"),
     })
+
+
+def not_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, mod: int = 4, held_out: int = 2) -> DataFrame:
+    """The rows whose score reaches the threshold; all rows if nothing could be learned, since such a classifier rejects nothing."""
+    model = fit(docs, labels, doc_remainder(F.col("doc_id"), mod) != held_out)
+    return docs.where(score_of(model)(F.col("text")) >= threshold) if model.weights else docs

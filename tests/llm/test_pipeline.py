@@ -93,3 +93,10 @@ def test_empty_documents_pass_through(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("condition", ["false", "quality = 1"])
+def test_quality_keeps_all_where_nothing_is_learned(spark, documents, tmp_path, condition):
+    spark.read.parquet(f"{SF}/labels.parquet").where(condition).write.parquet(str(tmp_path / "labels.parquet"))
+    kept = pipeline.quality_filter(spark, spark.read.parquet(f"{SF}/documents.parquet"), str(tmp_path))
+    assert keyed(r.asDict() for r in kept.collect()) == keyed(documents)

@@ -104,11 +104,11 @@ class Batch(Run):
 
 
 def direct_prompt_batch(rows: DataFrame, terms: DataFrame, infer: inference.Infer, batch_id: str, ts: Column, user_prompt: str,
-                        project_context: str = "", accept: float = scoring.ACCEPT_THRESHOLD, top_n: int = scoring.CORRECTION_TOP_N, k: int = 20,
+                        project_context: str = "", accept: float = scoring.ACCEPT_THRESHOLD, top_n: int = scoring.CORRECTION_TOP_N, k: int | None = 20,
                         provider: str = "model") -> Batch:
     """Answers of a user's prompt to ``(query_id, query, current_output)`` rows, snapped to the catalogue where near enough.
 
-    An answer is compared with the ``k`` terms that share most of its tokens. A row without a valid answer has no match and counts as an
+    An answer is compared with the ``k`` terms that share most of its tokens, or with all terms if ``k`` is None. A row without a valid answer has no match and counts as an
     error of the batch.
     """
     message = inference.direct_prompt_messages(F.col("query"), F.lit(user_prompt), F.lit(project_context), F.col("current_output"))
@@ -119,8 +119,11 @@ def direct_prompt_batch(rows: DataFrame, terms: DataFrame, infer: inference.Infe
     answered = raw.select("query_id", F.col("query").alias("source"), F.when(F.try_parse_json("response").isNotNull(), answer).alias("a")).select(
         "query_id", "source", trimmed(F.col("a.output")).alias("query"), "a.confidence", "a.reasoning")
     valid = stage(answered.filter(F.col("query").isNotNull()), "direct-valid")
-    topk = tokens.token_topk(valid.select("query_id", "query"), terms, k)
-    pairs = valid.join(topk, "query_id").select("query_id", "query", F.col("term").alias("candidate"), F.col("rank").alias("list_ord"))
+    if k is None:
+        pairs = scoring.best_of_all(valid.select("query_id", "query"), terms, max(1, top_n))
+    else:
+        topk = tokens.token_topk(valid.select("query_id", "query"), terms, k)
+        pairs = valid.join(topk, "query_id").select("query_id", "query", F.col("term").alias("candidate"), F.col("rank").alias("list_ord"))
     checked = scoring.validate_free_text(valid.select("query_id", "query", "confidence"), pairs, accept, top_n)
     results = answered.select("query_id", "source", "reasoning", F.col("query").isNull().alias("failed")).join(checked, "query_id", "left").select(
         "query_id", "source", F.coalesce("target", F.lit(tokens.NO_MATCH)).alias("target"), F.lit("DirectPrompt").alias("method"),

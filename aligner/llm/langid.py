@@ -105,18 +105,19 @@ def train(rows: list[tuple[str, str]], bits: int = 14, width: int = 16, epochs:
 
 
 def fit(docs: DataFrame, learnable: Column, rows_per_language: int = 300, max_chars: int = 20_000) -> LanguageModel | None:
-    """Learns from at most ``rows_per_language`` rows per language, those with the smallest hash of their id.
+    """Learns from at most ``rows_per_language`` ids per language, those with the smallest hash, and one text of each.
 
     Rows without language, letters or id, and texts longer than ``max_chars``, aren't learned from. None if nothing is left.
     """
     known = docs.where(learnable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
                        & (F.length("text") <= max_chars) & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("_lang").orderBy("_hash", "_id")
-    ids = known.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").alias("_lang")).withColumn(
+    ids = known.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").alias("_lang")).distinct().withColumn(
         "_hash", F.xxhash64(F.col("_id"), F.lit(_HASH_SEED)))
-    chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows_per_language).select("_id").distinct()
-    rows = known.select(F.col("doc_id").cast("long").alias("_id"), "text", "lang").join(F.broadcast(chosen), "_id").collect()
-    rows = sorted({(r["_id"], r["text"], r["lang"]) for r in rows})
+    chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows_per_language).select("_id", "_lang")
+    rows = known.select(F.col("doc_id").cast("long").alias("_id"), "text", F.col("lang").alias("_lang")).join(F.broadcast(chosen), ["_id", "_lang"])
+    rows = rows.groupBy("_id", "_lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
+    rows = sorted((r["_id"], r["text"], r["_lang"]) for r in rows)
     return train([(text, lang) for _, text, lang in rows]) if rows else None
 
 

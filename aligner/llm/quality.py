@@ -109,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, rows_per_class: i
     chosen = [known.where(F.col("_label") == c).orderBy(F.xxhash64(F.col("_id"), F.lit(_HASH_SEED)), "_id").limit(rows_per_class)
               for c in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id").select("_id", "text", "_label").collect()
+    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id").groupBy("_id", "_label").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text")).collect()  # one text of each id, however often it is repeated
     rows.sort(key=lambda r: (r["_id"], r["text"]))
     return _train([(r["text"], r["_label"]) for r in rows], counts, dictionary_bytes, chunk, level)
 

@@ -103,3 +103,16 @@ def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     right = [r.lang == r.lang_pred for r in got.join(docs, "doc_id").collect()]
     assert sum(right) / len(right) > 0.97
+
+
+def test_one_text_of_a_repeated_id_reaches_the_driver(spark, corpus, labels, monkeypatch):
+    plain = corpus.where("doc_id < 240").dropDuplicates(["doc_id"])
+    docs = plain.unionByName(plain.where("doc_id in (2, 3)").selectExpr(
+        "doc_id", "explode(transform(sequence(1, 50), n -> concat(text, ' ', n))) text", "lang", "score", "held_out", "_id"))
+    seen = []
+    monkeypatch.setattr(quality, "_train", lambda rows, *_: seen.append(len(rows)))
+    monkeypatch.setattr(langid, "train", lambda rows: seen.append(len(rows)))
+    known = labels.where("doc_id < 240 and quality in (0, 1)").dropDuplicates(["doc_id"])
+    quality.fit(docs, known, F.lit(True))
+    langid.fit(docs, F.lit(True))
+    assert seen == [240, 240]

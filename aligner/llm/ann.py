@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aligner.session import stage
+
 _HASH_SEED = 29
 
 
@@ -167,8 +169,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     ``is_query`` is a condition on ``vec_id``. The network learns from at most ``sample_rows`` rows (smallest hash of the id); every
     usable row is indexed. Vectors that are null, zero, not finite, hold nulls or differ from the most common dimension take no part, nor do
     null ids. An id is no neighbour of itself; a row repeated under one id counts once, a query id with several vectors is asked with its
-    smallest. Parts are cut into blocks of about ``block_rows`` rows, so a vector that a third of the rows share is spread. Fewer candidates
-    than ``k`` give them all. Extra columns are ignored; an empty table gives an empty result.
+    smallest. Parts are cut into blocks of about ``block_rows`` rows, so a vector that a third of the rows share is spread. Parts are
+    added to a query's until they hold ``k`` other ids, so only fewer candidates than ``k`` give fewer results. Extra columns are ignored; an empty table gives an empty result.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
@@ -178,21 +180,30 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     sample = rows.orderBy(F.xxhash64(F.col("vec_id"), F.lit(_HASH_SEED)), "vec_id").limit(sample_rows).collect()
     router = train(np.array([r["vector"] for r in sample]).reshape(-1, dim), parts, k, recall)
 
-    def place(n: int):
+    def place(n: int, held_ids: np.ndarray | None = None):
+        """The ``n`` most probable parts; with ``held_ids`` (ids of each part) as many more as it takes to hold ``k`` + 1 ids."""
         def of(batches):
             for batch in batches:
-                best = router.best(_matrix(batch.column("vector"), dim), n)
-                at = pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1]))
+                best = router.best(_matrix(batch.column("vector"), dim), parts if held_ids is not None else n)
+                wanted = np.zeros(best.shape, bool)
+                wanted[:, :n] = True
+                if held_ids is not None:
+                    wanted[:, 1:] |= np.cumsum(held_ids[best], axis=1)[:, :-1] <= k
+                at = pa.array(np.nonzero(wanted)[0])
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("vector").take(at),
-                                                  pa.array(best.ravel().astype(np.int32))], ["vec_id", "vector", "part"])
+                                                  pa.array(best[wanted].astype(np.int32))], ["vec_id", "vector", "part"])
         return of
 
     placed = rows.mapInArrow(place(1), _PLACED)
-    blocks = placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("int").alias("blocks"))
+    ids = stage(placed.groupBy("vec_id", "part").agg(F.count(F.lit(1)).alias("n")), "placed")
+    blocks = ids.groupBy("part").agg(F.ceil(F.sum("n") / F.lit(float(block_rows))).cast("int").alias("blocks"))
     blocks = {r["part"]: r["blocks"] for r in blocks.collect()}  # one row per part
+    held_ids = np.zeros(max(1, parts), np.int64)  # an id with vectors in several parts counts in one
+    for r in ids.groupBy("vec_id").agg(F.min("part").alias("part")).groupBy("part").count().collect():
+        held_ids[r["part"]] = r["count"]
     counts = F.coalesce(F.get(F.array(*[F.lit(blocks.get(p, 1)) for p in range(max(1, parts))]), F.col("part")), F.lit(1))
     held = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), counts).cast("int"))
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")).mapInArrow(place(router.probes), _PLACED)
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")).mapInArrow(place(router.probes, held_ids), _PLACED)
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), counts - 1)))
     near = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(
         lambda q, r: _nearest(q, r, k, dim), _NEAR)

@@ -83,3 +83,12 @@ def test_fewer_candidates_and_no_rows(spark):
     assert ranked(ann.search(df, F.col("vec_id") % 100 == 0).collect()) == {0: [(pytest.approx(2 ** 0.5), 1)]}
     assert ann.search(df.limit(0), F.col("vec_id") % 100 == 0).collect() == []
     assert ann.search(frame(spark, [(0, None)]), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_parts_with_few_rows_are_filled_up(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0 if i < 6 else -1.0, *rng.normal(0, 0.1, 3).tolist()]) for i in range(60)]
+    router = ann.Router(np.zeros(4), np.eye(4), np.zeros(4), np.array([[1.0, 0.0], [0, 0], [0, 0], [0, 0]]), np.array([0.0, 0.5]), 1)
+    monkeypatch.setattr(ann, "train", lambda *_: router)
+    got = ranked(ann.search(frame(spark, rows), F.col("vec_id") % 100 == 0, parts=2).collect())
+    assert len(got[0]) == 10 and got == brute(rows)

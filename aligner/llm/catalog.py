@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aligner.llm import ann, imatch, langid, mixing, packing, quality, repeats, simhash, tokens, wrappers
+from aligner.llm import ann, exact, imatch, langid, mixing, packing, quality, repeats, resampling, simhash, tokens, wrappers
 from aligner.llm.common import table
 
 PIECE_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -62,6 +62,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.with_language(table(spark, sf_dir, "documents"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_token_counts": op2_token_counts,
@@ -73,5 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_repeats": op9_repeats,
     "op10_language": op10_language,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_resampling": op13_resampling,
 }
 ORACLES: dict[str, str] = {}

@@ -321,7 +321,8 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFra
 
 def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """One row of ``docs`` for every ``o`` of ``kept``: a struct with the id ``i`` (may be null) and the hash ``h`` of the text."""
-    kept = kept.select(F.col("o.i").alias("_id"), F.col("o.h").alias("_text")).distinct()
-    own = docs.withColumn("_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
-    return own.join(kept, same).dropDuplicates(["doc_id", "_hash"]).select(*[F.col(c) for c in docs.columns])
+    kept = kept.select(F.coalesce("o.i", F.lit(0)).alias("id"), F.col("o.i").isNull().alias("null"), F.col("o.h").alias("hash")).distinct()
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+                      F.col("doc_id").isNull().alias("null"), F.xxhash64("text").alias("hash"))
+    found = own.join(kept, ["id", "null", "hash"]).dropDuplicates(["id", "null", "hash"])  # one shuffle serves both
+    return found.select("row.*")

@@ -12,7 +12,8 @@ from tokenizers import Tokenizer
 
 from aligner.llm import quality
 from aligner.session import stage
-from tests.llm.test_near_duplicates import brute_components, brute_repeats, fingerprint
+from tests.llm.test_minhash import brute as brute_near
+from tests.llm.test_near_duplicates import brute_repeats
 
 SF = "/root/testdata/sf0.01"
 
@@ -48,8 +49,8 @@ def test_quality_rejects_what_it_scores_low(spark, documents, outputs):
 
 def test_one_document_of_each_group(outputs):
     rows = outputs[0]
-    component = brute_components([r["doc_id"] for r in rows], [fingerprint(r["text"]) for r in rows])
-    assert keyed(outputs[1]) == keyed(r for k, r in enumerate(rows) if component[k] == r["doc_id"])
+    first = set(brute_near([(r["doc_id"], r["text"]) for r in rows]))
+    assert keyed(outputs[1]) == keyed(r for r in rows if r["doc_id"] in first)
 
 
 def test_repeats_go_and_other_texts_stay(outputs):

@@ -150,14 +150,19 @@ def _nearest(queries: pa.Table, rows: pa.Table, k: int, dim: int) -> pa.Table:
         return kind.empty_table()
     x, ids = _matrix(rows.column("vector"), dim), rows.column("vec_id").to_numpy()
     q, own = _matrix(queries.column("vector"), dim), queries.column("vec_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    x, ids = x[order], ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    repeated, ids = len(first) < len(ids), ids[first]
     out = []
     for vector, query in zip(q, own, strict=True):
         score = np.sqrt(((x - vector) ** 2).sum(axis=1))
+        if repeated:  # an id counts once
+            score = np.minimum.reduceat(score, first)
         score[ids == query] = np.inf
         most = np.partition(score, k - 1)[k - 1] if k < len(score) else np.inf
         at = np.flatnonzero((score <= most) & (score < np.inf))
-        at = at[np.lexsort((ids[at], score[at]))]
-        at = at[np.sort(np.unique(ids[at], return_index=True)[1])][:k]  # a repeated row counts once
+        at = at[np.lexsort((ids[at], score[at]))][:k]
         out.append((np.full(len(at), query), ids[at], score[at]))
     return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=kind)
 

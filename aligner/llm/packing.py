@@ -7,9 +7,11 @@ import os
 import threading
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -21,13 +23,48 @@ _SLICE_BYTES = 8 << 20
 _REMEMBERED_WORDS = 800_000
 #: Stands between words that are encoded together.
 _MARK = "\u241e"
+_SUM = itemgetter(0)
+#: Punctuation that is a piece of its own after a letter (fixed by the tokenizer's pattern, which parts letters from other characters).
+_TAIL = ".,;:!?"
 _encoders: dict[str, WordEncoder] = {}
 _lock = threading.Lock()
 
 
+def parted(words: pa.Array) -> tuple[list[str], list[str]]:
+    """The words without the punctuation at their ends, and that punctuation ("" if there is none), A-Z as a-z.
+
+    The tokenizer lower-cases and parts letters from punctuation, so the ids of both, one after the other, are those of the word. Only
+    words of characters below U+0300, which no normalisation joins, are changed, and only those with a letter before the punctuation.
+    """
+    if not len(words):
+        return [], []
+    _, offsets, data = words.cast(pa.large_string()).buffers()
+    starts = np.frombuffer(offsets, np.int64)[words.offset:words.offset + len(words)]
+    used = np.append(np.frombuffer(data or b"", np.uint8)[:np.frombuffer(offsets, np.int64)[words.offset + len(words)]], np.uint8(0))
+    most = np.maximum.reduceat(used, starts)  # lead bytes of U+0300 and above are 0xCC and above
+    plain = pa.array(most < 0xCC)
+    lowered = pc.if_else(plain, pc.ascii_lower(words), words)
+    cores = pc.utf8_rtrim(lowered, _TAIL)
+    last = pc.utf8_slice_codeunits(cores, -1)
+    letter = pc.and_(pc.utf8_is_alpha(last), pc.not_equal(last, "\u0130"))  # that one ends in a mark when it is lower-cased
+    cores = pc.if_else(pc.and_(plain, letter), cores, lowered)
+    cut = pc.subtract(pc.binary_length(lowered), pc.binary_length(cores)).to_numpy()
+    tails = [""] * len(words)
+    at = np.flatnonzero(cut)
+    for i, w, n in zip(at.tolist(), lowered.take(pa.array(at)).to_pylist(), cut[at].tolist(), strict=True):
+        tails[i] = w[-n:]
+    return cores.to_pylist(), tails
+
+
+def _spans(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values`` one after the other, and their lengths."""
+    done = np.concatenate([[0], np.cumsum(length)])
+    return values[np.repeat(begin - done[:-1], length) + np.arange(done[-1])], length
+
+
 class WordEncoder:
     """Ids of texts. The tokenizer drops white space and merges only inside the pieces between it, so a text's ids are those of
-    its words one after the other; each distinct word is encoded once."""
+    its words one after the other, and a word's those of its parts; each distinct part is encoded once."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,17 +104,18 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, ``end_id`` after each text, and where each text begins (one more than texts)."""
         words, codes, offsets = split_words(texts)
-        words = words.to_pylist()
-        if len(self.slot) + len(words) > _REMEMBERED_WORDS:
+        cores, tails = parted(words)
+        distinct = set(cores).union(tails)
+        if len(self.slot) + len(distinct) > _REMEMBERED_WORDS:
             self.clear()
-        new = [w for w in words if w not in self.slot]
+        new = [w for w in distinct if w not in self.slot]
         for i in range(0, len(new), 512):
             self._add(new[i:i + 512])
-        slots = np.fromiter((self.slot[w] for w in words), np.int64, len(words))[codes]
-        begin = self.starts[slots]
-        length = self.starts[slots + 1] - begin
+        slots = np.fromiter((self.slot[w] for pair in zip(cores, tails, strict=True) for w in pair), np.int64, 2 * len(cores))
+        own, sizes = _spans(self.ids, self.starts[slots], self.starts[slots + 1] - self.starts[slots])
+        starts = np.concatenate([[0], np.cumsum(sizes.reshape(-1, 2).sum(axis=1))])  # of each distinct word
+        flat, length = _spans(own, starts[codes], starts[codes + 1] - starts[codes])
         done = np.concatenate([[0], np.cumsum(length)])
-        flat = self.ids[np.repeat(begin - done[:-1], length) + np.arange(done[-1])]
         ends = done[offsets]
         return np.insert(flat, ends[1:], end_id).astype("<u4"), ends + np.arange(len(ends))
 
@@ -106,7 +144,7 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
             merged += [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a[len(a) - overlap:], reversed(b[len(b) - overlap:]), strict=True)]
         else:
             merged = a + b
-        merged.sort(key=lambda p: -p[0])
+        merged.sort(key=_SUM, reverse=True)
         if len(merged) == windows:
             low = merged[-1][0]
             if low:

@@ -92,3 +92,9 @@ def test_parts_with_few_rows_are_filled_up(spark, monkeypatch):
     monkeypatch.setattr(ann, "train", lambda *_: router)
     got = ranked(ann.search(frame(spark, rows), F.col("vec_id") % 100 == 0, parts=2).collect())
     assert len(got[0]) == 10 and got == brute(rows)
+
+
+def test_the_nearest_row_repeated_many_times(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(60)] + [(1, [1.0, 1.0])] * 20 + [(2, [2.5, 1.0]), (2, [1.5, 1.0])]
+    got = ranked(ann.search(frame(spark, rows), F.col("vec_id") % 100 == 0).collect())
+    assert got == brute(rows) and [i for _, i in got[0]] == list(range(1, 11))

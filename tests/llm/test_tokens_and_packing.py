@@ -1,8 +1,10 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,3 +115,13 @@ def test_differencing_balances():
     assert max(sums) - min(sums) <= 5
     assert packing.difference([], 3) == [[], [], []]
     assert sorted(map(len, packing.difference([4, 4], 3))) == [0, 1, 1]
+
+
+def test_words_and_their_punctuation_encode_like_whole_words():
+    rng = random.Random(3)
+    letters = ["a", "B", "é", "É", "ß", "ı", "İ", "H\u0331", "e\u0301", "ª", "»", "日", "'s", "'", "9", ".", ",", "!?", "\u00a0", "\u0300", "\u1e9e", "ǆ"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(4000)] + [".", "...", "a.", "É!", "H\u0331."]
+    encoder = packing.WordEncoder(WORDS)
+    ids, begins = encoder.encode(pa.array([*words, "", None, "  ", *words]), 2)
+    for k, text in enumerate([*words, "", "", "  ", *words]):
+        assert ids[begins[k]:begins[k + 1]].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2], text

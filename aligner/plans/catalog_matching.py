@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from aligner.functions import similarity
 from aligner.functions.text import normalized_words, tokens, trimmed
-from aligner.operators import exact, fuzzy, mapping, profiles, scoring
+from aligner.operators import allterms, exact, fuzzy, mapping, profiles, scoring
 from aligner.operators import tokens as tok
 from aligner.plans import resolve
+from aligner.plans.all_terms_sql import SCORED, WEIGHTED_TOP
 from aligner.plans.registry import query
 
 _WORDS = r"list_filter(string_split_regex(regexp_replace(lower({x}), '[^\w\s%]', ' ', 'g'), '\s+'), lambda w: w <> '')"
@@ -249,37 +250,33 @@ def _relevance(w):
     return w.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", tok.relevance_score(core, F.col("l_discount")).alias("relevance"))
 
 
-def _offered(w):
+def _offered_by_tokens(w):
     topk = tok.token_topk(w.v_queries, w.v_terms, k=20)
     return w.v_queries.join(topk, "query_id").select(
         "query_id", trimmed("query").alias("query"), F.col("term").alias("candidate"), F.col("rank").alias("list_ord"))
 
 
-@query("fuzzy_topk")
+@query("fuzzy_topk", f"""WITH {WEIGHTED_TOP} SELECT v.query_id, f.query, f.candidate, f.score, f.rank
+  FROM {{v_queries}} v JOIN first f ON f.query = trim(v.query)""")
 def _fuzzy_topk(w):
-    return scoring.fuzzy_topk(_offered(w), "WRatio", 70, 5)
-
-
-SCORED = f"""{TOPK}, off AS (SELECT v.query_id, trim(v.query) AS query, k.term AS candidate, k.rank AS list_ord FROM {{v_queries}} v JOIN topk k ON k.query_id = v.query_id),
-  sc AS (SELECT *, 200.0 * {_LCS.format(a='query', b='candidate')} / (length(query) + length(candidate)) AS s FROM off),
-  near AS (SELECT query_id, query, candidate, round_even(s / 100, 4) AS score, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, list_ord) - 1 AS rank FROM sc)"""
+    return allterms.topk_of_all(w.v_queries, w.v_terms, "WRatio", 70, 5)
 
 
 @query("fuzzy_topk_ratio", f"WITH {SCORED} SELECT query_id, query, candidate, score, rank FROM near WHERE s >= 70 AND rank < 5")
 def _fuzzy_topk_ratio(w):
-    return scoring.fuzzy_topk(_offered(w), "ratio", 70, 5)
+    return allterms.topk_of_all(w.v_queries, w.v_terms, "ratio", 70, 5)
 
 
 @query("nearest_terms", f"WITH {SCORED} SELECT query_id, query, candidate, score, rank FROM near WHERE rank < 10")
 def _nearest(w):
-    return scoring.nearest_terms(_offered(w), 10)
+    return allterms.topk_of_all(w.v_queries, w.v_terms, "ratio", 0, 10)
 
 
 # every returned string has one character replaced, so its nearest offered string is the one it came from: 1 of n differs
 @query("correct_candidates", f"""WITH {TOPK} SELECT query_id, rank, term AS candidate, replace(term, '#', ' ') AS original_string,
   round_even((length(term) - 1) / length(term), 4) AS correction_confidence FROM topk WHERE rank < 5""")
 def _correct(w):
-    offered = _offered(w)
+    offered = _offered_by_tokens(w)
     returned = offered.filter(F.col("list_ord") < 5).select(
         "query_id", F.col("list_ord").alias("rank"), F.regexp_replace("candidate", "#", " ").alias("candidate"))
     return scoring.correct_candidates(returned, offered)
@@ -293,7 +290,7 @@ def _correct(w):
     score < 0.75 AS needs_user_selection, CASE WHEN score >= 0.75 THEN '' ELSE listed END AS candidates FROM j""")
 def _validate(w):
     answers = w.v_queries.select("query_id", trimmed("query").alias("query"), F.lit(0.5).alias("confidence"))
-    return scoring.validate_free_text(answers, _offered(w)).withColumn("candidates", F.array_join(F.col("candidates.candidate"), "|"))
+    return scoring.validate_free_text(answers, allterms.best_of_all(w.v_queries, w.v_terms, scoring.CORRECTION_TOP_N)).withColumn("candidates", F.array_join(F.col("candidates.candidate"), "|"))
 
 
 TIERED = f"""{_TEXTS}, {_FWD_KEYS}, {_REV_KEYS},

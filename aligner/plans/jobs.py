@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aligner.functions.text import trimmed
-from aligner.operators import evidence, inference, matchdb, profiles, scoring, telemetry, tokens
+from aligner.operators import allterms, evidence, inference, matchdb, profiles, scoring, telemetry, tokens
 from aligner.session import stage
 
 PROFILE_TYPE = "struct<core_concept:string,synonyms:array<string>>"
@@ -104,11 +104,11 @@ class Batch(Run):
 
 
 def direct_prompt_batch(rows: DataFrame, terms: DataFrame, infer: inference.Infer, batch_id: str, ts: Column, user_prompt: str,
-                        project_context: str = "", accept: float = scoring.ACCEPT_THRESHOLD, top_n: int = scoring.CORRECTION_TOP_N, k: int | None = 20,
+                        project_context: str = "", accept: float = scoring.ACCEPT_THRESHOLD, top_n: int = scoring.CORRECTION_TOP_N, k: int | None = None,
                         provider: str = "model") -> Batch:
     """Answers of a user's prompt to ``(query_id, query, current_output)`` rows, snapped to the catalogue where near enough.
 
-    An answer is compared with the ``k`` terms that share most of its tokens, or with all terms if ``k`` is None. A row without a valid answer has no match and counts as an
+    An answer is compared with all terms, or with the ``k`` that share most of its tokens. A row without a valid answer has no match and counts as an
     error of the batch.
     """
     message = inference.direct_prompt_messages(F.col("query"), F.lit(user_prompt), F.lit(project_context), F.col("current_output"))
@@ -120,7 +120,7 @@ def direct_prompt_batch(rows: DataFrame, terms: DataFrame, infer: inference.Infe
         "query_id", "source", trimmed(F.col("a.output")).alias("query"), "a.confidence", "a.reasoning")
     valid = stage(answered.filter(F.col("query").isNotNull()), "direct-valid")
     if k is None:
-        pairs = scoring.best_of_all(valid.select("query_id", "query"), terms, max(1, top_n))
+        pairs = allterms.best_of_all(valid.select("query_id", "query"), terms, max(1, top_n))
     else:
         topk = tokens.token_topk(valid.select("query_id", "query"), terms, k)
         pairs = valid.join(topk, "query_id").select("query_id", "query", F.col("term").alias("candidate"), F.col("rank").alias("list_ord"))

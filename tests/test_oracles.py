@@ -7,8 +7,6 @@ from scripts.check import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.all_queries(), registry.all_oracles()
-#: Its scorer is the best of several over many alignments; test_similarity compares it with a plain computation instead.
-WITHOUT_ORACLE = {"fuzzy_topk"}
 
 
 @pytest.fixture(scope="module")
@@ -19,8 +17,8 @@ def duck():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     state, info = compare(spark, duck, name, QUERIES[name], ORACLES.get(name), SF_DIR)
-    assert state == ("rows" if name in WITHOUT_ORACLE else "ok"), info
+    assert state == "ok", info
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) - set(ORACLES) == WITHOUT_ORACLE
+    assert set(QUERIES) == set(ORACLES)

@@ -1,18 +1,7 @@
-"""Fuzzy tier: best key by greedy word similarity, joined without comparing all strings.
+"""Fuzzy tier: the best key by greedy word similarity.
 
-Blocking is lossless for a threshold t. Let a query have m words and a key n, M = max(m, n), L = min(m, n). If fewer than j of the at
-most L aligned words had a similarity of s = (t * M - (j - 1)) / (L - (j - 1)) or more, the sum would stay below t * M. So a hit needs j words
-aligned with distinct key words of similarity >= s, for every j, and L / M >= t. Therefore
-
-1. similar words are found once between the two vocabularies (``similar_words``),
-2. for every pair of word counts the largest j is taken whose s isn't low; of the query's words ranked by how many
-   keys hold a similar word, any j aligned ones put at least w of them among the m - j + w rarest; the join key is w = min(j, 3)
-   such words plus the key's word count,
-3. a candidate pair must pass the upper bound "best similar word per query word, else the lowest level" before its exact
-   similarity is computed.
-
-Most strings that resolve at all resolve near 1, so thresholds are lowered in passes, each on the remainder of the
-one before; only the last pass uses the weak blocking of a low threshold.
+Keys are searched best first under bounds from letters (``keysearch``); the forward keys come before the targets, which only see the texts
+that found nothing there. ``similar_words`` joins two vocabularies by edit similarity where such a table is wanted.
 """
 
 from __future__ import annotations
@@ -20,162 +9,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aligner.functions.similarity import edit_similarity, word_similarity
+from aligner.functions.similarity import edit_similarity
 from aligner.functions.text import normalized_words, trimmed
+from aligner.operators.keysearch import best_keys
 from aligner.operators.tokens import block_join
 from aligner.session import stage
 
 THRESHOLD = 0.7
 _SLACK = 1e-9
-#: Word levels below this share of the string threshold are not used: too many words are that similar.
-_LOWEST = 0.75
 
 
 def fuzzy_best(queries: DataFrame, keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Best key per distinct query text: ``(query, matched_key, target, score)``; ties keep the first key.
 
-    ``queries`` has ``query``; ``keys`` has ``(key, target, key_ord)`` with a sortable, unique ``key_ord``.
+    ``queries`` has ``query``; ``keys`` has ``(key, target, key_ord)`` with a sortable, unique ``key_ord``. A text without words matches the
+    first key without words.
     """
-    return _best_by_side(queries, keys.withColumn("side", F.lit(0)), threshold).drop("side")
+    texts = _texts(queries)
+    return _with_texts(texts, _best(_probes(texts), keys, threshold))
 
 
-def _best_by_side(queries: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
-    """The best key of the first ``side`` (0, then 1) that has any at the threshold, with that side.
+def _texts(queries: DataFrame) -> DataFrame:
+    texts = queries.select("query").distinct().withColumn("words", normalized_words("query"))
+    return stage(texts.withColumn("q_id", F.array_join("words", " ")), "fuzzy-texts")
 
-    Both sides go through the passes together. A hit on side 1 in the strict pass closes that side only: a weaker one on side 0 still
-    comes before it.
-    """
+
+def _probes(texts: DataFrame) -> DataFrame:
+    return texts.select("q_id", "words").dropDuplicates(["q_id"])
+
+
+def _best(probes: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """``q_id, score, first``: the best key of every probe that has any at the threshold."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    texts = (
-        queries.select("query").distinct().withColumn("words", normalized_words("query"))
-        .withColumn("q_id", F.array_join("words", " "))
-    )
-    probes = texts.filter(F.size("words") > 0).select("q_id", "words").dropDuplicates(["q_id"])
     # keys of equal words are equally similar to anything, so the first of them stands for all
     known = (
-        keys.select("key", "target", "key_ord", "side", normalized_words("key").alias("words"))
-        .groupBy(F.array_join("words", " ").alias("k_id"), "side")
-        .agg(F.min(F.struct("key_ord", "key", "target")).alias("first"), F.first("words").alias("words"))
-    )
-    # numbers given once and written: candidate pairs are shuffled as two longs instead of two texts
-    known = stage(known.withColumn("k_no", F.monotonically_increasing_id()), "fuzzy-keys")
-    remaining = stage(probes.withColumn("q_no", F.monotonically_increasing_id()).withColumn("closed", F.lit(False)), "fuzzy-probes")
-    found = [known.filter(F.col("k_id") == "").select(F.lit("").alias("q_id"), "side", F.lit(1.0).alias("score"), "first")]
-    passes = _passes(threshold)
-    for i, (at_least, word_level) in enumerate(passes):
-        hits = stage(_best_at(remaining, known, at_least, word_level), "fuzzy-hits")
-        found.append(hits)
-        if i + 1 < len(passes):
-            sides = hits.groupBy("q_id").agg(F.min("side").alias("hit"))
-            remaining = stage(remaining.join(sides, "q_id", "left").filter(F.col("hit").isNull() | (F.col("hit") > 0))
-                              .withColumn("closed", F.col("closed") | F.col("hit").isNotNull()).drop("hit"), "fuzzy-probes")
-    hits = found[0]
-    for part in found[1:]:
-        hits = hits.unionByName(part)
-    best = hits.groupBy("q_id").agg(F.min_by(F.struct("side", "score", "first"), F.col("side")).alias("b"))
-    return texts.select("query", "q_id").join(best, "q_id").select(
-        "query", F.col("b.first.key").alias("matched_key"), F.col("b.first.target").alias("target"), "b.score", "b.side")
-
-
-def _passes(threshold: float) -> list[tuple[float, float]]:
-    """(string threshold, lowest word level) from strict to the one asked for."""
-    steps = [t for t in (0.9,) if t > threshold + 0.05] + [threshold]
-    return [(t, _LOWEST * t) for t in steps]
-
-
-def _best_at(probes: DataFrame, known: DataFrame, threshold: float, word_level: float) -> DataFrame:
-    key_words = known.filter(F.size("words") > 0).select("k_no", "side", "words", F.size("words").alias("n"))
-    vocabulary = key_words.select("side", F.explode("words").alias("word")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("df"), (F.min("side") == 0).alias("ahead"))
-    query_words = probes.select(F.explode("words").alias("word")).distinct()
-    alike = (
-        similar_words(query_words, vocabulary.select("word"), word_level)
-        .join(vocabulary.withColumnRenamed("word", "other"), "other").groupBy("word")
-        .agg(F.sum("df").alias("df"), F.collect_list(F.struct("other", "similarity", "ahead")).alias("others"))
-    )
-    no_words = F.array().cast("array<struct<other:string,similarity:double,ahead:boolean>>")
-    expanded = stage(
-        probes.select("q_no", "q_id", "closed", "words", F.posexplode("words").alias("pos", "word")).join(alike, "word", "left")
-        .groupBy("q_no", "q_id", "closed", "words").agg(F.array_sort(F.collect_list(F.struct(
-            F.coalesce("df", F.lit(0)).alias("df"), "pos", F.coalesce("others", no_words).alias("others")))).alias("ranked"))
-        .withColumn("m", F.size("words")), "fuzzy-expanded")
-
-    m, n, j = F.col("m"), F.col("n"), F.col("j")
-    counts = F.sequence(F.ceil(m * threshold - _SLACK).cast("int"), F.floor(m / threshold + _SLACK).cast("int"))
-    longer, shorter = F.greatest(m, n), F.least(m, n)
-    most = F.floor((longer * threshold - shorter * word_level) / (1 - word_level) + _SLACK).cast("int") + 1
-    near = lambda o: (o["similarity"] >= F.col("level") - _SLACK) & (o["ahead"] | ~F.col("closed"))
-    query_keys = (
-        expanded.withColumn("n", F.explode(counts)).withColumn("j", F.greatest(F.least(most, shorter), F.lit(1)))
-        .withColumn("level", (longer * threshold - (j - 1)) / (shorter - (j - 1)))
-        .withColumn("usable", F.transform("ranked", lambda r: F.filter(r["others"], near)["other"]))
-        .filter(F.size(F.filter("usable", lambda u: F.size(u) > 0)) >= j).withColumn("width", _width(j, n))
-        .withColumn("prefix", F.slice("usable", 1, m - j + F.col("width")))
-        .select("q_no", "closed", "n", F.explode(_query_blocks(F.col("prefix"), F.col("width"))).alias("block")).distinct()
-    )
-    indexed = key_words.select("k_no", "side", "n", F.explode(_key_blocks(F.col("words"), n)).alias("block"))
-    pairs = block_join(query_keys, indexed, ["block", "n"]).filter((F.col("side") == 0) | ~F.col("closed")).select("q_no", "k_no").distinct()
-
-    def best_known(r: Column) -> Column:
-        held = F.filter(r["others"], lambda o: F.array_contains("k_words", o["other"]))
-        return F.coalesce(F.array_max(F.transform(held, lambda o: o["similarity"])), F.lit(word_level))
-
-    spare = F.greatest(m - n, F.lit(0)) * word_level
-    bound = F.aggregate(F.transform("ranked", best_known), F.lit(0.0), lambda total, g: total + g) - spare
-    scored = (
-        pairs.join(expanded.select("q_no", "q_id", F.col("words").alias("q_words"), "ranked", "m"), "q_no")
-        .join(known.select("k_no", "side", F.col("words").alias("k_words"), F.size("words").alias("n"), "first"), "k_no")
-        .filter(bound >= F.greatest(m, n) * threshold - _SLACK)
-        .withColumn("score", word_similarity(F.col("q_words"), F.col("k_words")))
-        .filter(F.col("score") >= threshold)
-    )
-    return (
-        scored.groupBy("q_id", "side").agg(F.min(F.struct((-F.col("score")).alias("neg"), "first")).alias("b"))
-        .select("q_id", "side", (-F.col("b.neg")).alias("score"), F.col("b.first").alias("first"))
+        keys.select("key", "target", "key_ord", normalized_words("key").alias("words"))
+        .groupBy(F.array_join("words", " ").alias("k_id")).agg(F.min(F.struct("key_ord", "key", "target")).alias("first"), F.first("words").alias("words"))
     )
+    known = stage(known.orderBy("first").withColumn("k_no", F.monotonically_increasing_id()), "fuzzy-keys")  # numbers follow the order of the keys
+    hits = best_keys(probes.filter(F.size("words") > 0), known.filter(F.size("words") > 0).select("k_no", "words"), threshold)
+    empty = probes.filter(F.size("words") == 0).join(known.filter(F.col("k_id") == "").select("first"), F.col("q_id") == "")
+    return stage(hits.join(known.select("k_no", "first"), "k_no").select("q_id", "score", "first").unionByName(
+        empty.select("q_id", F.lit(1.0).alias("score"), "first")), "fuzzy-hits")
 
 
-_MAX_WIDTH = 3
-_WIDE_KEYS = 10
-
-
-def _width(j: Column, n: Column) -> Column:
-    """Words per join key: three, but two where the keys are so long that triples would be many."""
-    return F.least(j, F.when(n <= _WIDE_KEYS, _MAX_WIDTH).otherwise(_MAX_WIDTH - 1))
-
-
-def _key_blocks(words: Column, n: Column) -> Column:
-    """Sorted word combinations of one, two and (for short keys) three places of a key."""
-    def later(i: Column) -> Column:
-        return F.filter(words, lambda _, k: k > i)
-
-    at = F.sequence(F.lit(1), n)
-    pairs = F.flatten(F.transform(words, lambda a, i: F.transform(later(i), lambda b: _block(a, b))))
-    triples = F.flatten(F.transform(at, lambda i: F.flatten(F.transform(F.filter(at, lambda k: k > i), lambda k: F.transform(
-        F.filter(at, lambda l: l > k),
-        lambda l: _block(F.get(words, i - 1), F.get(words, k - 1), F.get(words, l - 1)))))))
-    nothing = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(words, pairs, F.when(n <= _WIDE_KEYS, triples).otherwise(nothing)))
-
-
-def _query_blocks(prefix: Column, width: Column) -> Column:
-    """Combinations of ``width`` prefix places, each place standing for its similar key words."""
-    kind = "array<struct<size:int,words:array<string>>>"
-    start = F.array(F.struct(F.lit(0).alias("size"), F.array().cast("array<string>").alias("words"))).cast(kind)
-
-    def extend(partial: Column, others: Column) -> Column:
-        open_ = F.filter(partial, lambda p: p["size"] < width)
-        longer = F.flatten(F.transform(open_, lambda p: F.transform(others, lambda o: F.struct(
-            (p["size"] + 1).alias("size"), F.array_append(p["words"], o).alias("words")))))
-        return F.concat(partial, longer).cast(kind)
-
-    full = F.filter(F.aggregate(prefix, start, extend), lambda p: p["size"] == width)
-    return F.array_distinct(F.transform(full, lambda p: F.array_join(F.array_sort(p["words"]), " ")))
-
-
-def _block(*words: Column) -> Column:
-    return F.array_join(F.array_sort(F.array(*words)), " ")
+def _with_texts(texts: DataFrame, best: DataFrame) -> DataFrame:
+    return texts.select("query", "q_id").join(best, "q_id").select(
+        "query", F.col("first.key").alias("matched_key"), F.col("first.target").alias("target"), "score")
 
 
 def similar_words(left: DataFrame, right: DataFrame, min_similarity: float) -> DataFrame:
@@ -244,11 +125,13 @@ def fuzzy_two_pass(queries: DataFrame, forward: DataFrame, targets: DataFrame, t
     ``queries`` has ``query`` (trimmed, not empty), ``forward`` ``(source, target, key_ord)``, ``targets``
     ``(target, key_ord)``. Result ``(query, matched_key, target, score, direction)``.
     """
-    none = lambda df: F.lit(None).cast(df.schema["key_ord"].dataType)
-    ahead = forward.select(F.col("source").alias("key"), "target", F.struct(F.col("key_ord").alias("f"), none(targets).alias("t")).alias("key_ord"), F.lit(0).alias("side"))
-    back = targets.select(F.col("target").alias("key"), "target", F.struct(none(forward).alias("f"), F.col("key_ord").alias("t")).alias("key_ord"), F.lit(1).alias("side"))
-    best = _best_by_side(queries, ahead.unionByName(back), threshold)
-    return best.withColumn("direction", F.when(F.col("side") == 0, "forward").otherwise("reverse")).drop("side")
+    texts = _texts(queries)
+    probes = _probes(texts)
+    ahead = _best(probes, forward.select(F.col("source").alias("key"), "target", "key_ord"), threshold)
+    left = stage(probes.join(ahead, "q_id", "left_anti"), "fuzzy-probes")
+    back = _best(left, targets.select(F.col("target").alias("key"), "target", "key_ord"), threshold)
+    return _with_texts(texts, ahead).withColumn("direction", F.lit("forward")).unionByName(
+        _with_texts(texts, back).withColumn("direction", F.lit("reverse")))
 
 
 def fuzzy_input(queries: DataFrame, query: str = "query") -> DataFrame:

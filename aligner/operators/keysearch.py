@@ -43,10 +43,10 @@ class Vocabulary:
         self.letters = _letters(self.words)
 
     def bounds(self, letters: np.ndarray, size: int) -> np.ndarray:
-        """What a word can reach with each of the words, and zero for the place after them (padding)."""
+        """What a word can reach with each of the words."""
         common = np.minimum(self.letters, letters).sum(axis=1, dtype=np.int64)
         common = np.where(self.size + size > 255, np.minimum(self.size, size), common)  # counts of very long words may be cut
-        return np.append(common / np.maximum(self.size, size), 0.0)
+        return common / np.maximum(self.size, size)
 
 
 @dataclass(frozen=True)
@@ -67,17 +67,42 @@ class KeyBlock:
             at = at[np.argsort(numbers[at], kind="stable")]
             self.classes[n] = KeyClass(numbers[at], np.array([[self.vocabulary.number[w] for w in keys[i]] for i in at.tolist()]).reshape(len(at), n))
 
-    def order(self, bounds: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Classes, places in them and bounds of the keys that a text can reach the threshold with, best bounds first; ``bounds`` are those of
-        its words."""
-        m, found = len(bounds), []
-        for n, keys in self.classes.items():
+    def reach(self, n: int, bounds: np.ndarray) -> np.ndarray:
+        """What a word can reach with the best word of every key of ``n`` words; ``bounds`` are those of the vocabulary."""
+        words = self.classes[n].words
+        best = bounds[words[:, 0]]
+        for j in range(1, n):
+            np.maximum(best, bounds[words[:, j]], out=best)
+        return best
+
+
+class Reach:
+    """Bounds of a list of texts' words with the keys of a block, kept per word: texts share most of their words."""
+
+    def __init__(self, own: Vocabulary, block: KeyBlock) -> None:
+        self.own, self.block = own, block
+        self.bounds: dict[int, np.ndarray] = {}
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+
+    def of(self, word: int, n: int) -> np.ndarray:
+        if (word, n) not in self.held:
+            if word not in self.bounds:
+                self.bounds[word] = self.block.vocabulary.bounds(self.own.letters[word], int(self.own.size[word]))
+            self.held[word, n] = self.block.reach(n, self.bounds[word])
+        return self.held[word, n]
+
+    def order(self, words: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes, places in them and bounds of the keys that a text can reach the threshold with, best bounds first."""
+        m, found = len(words), []
+        for n in self.block.classes:
             if min(m, n) < threshold * max(m, n) - _SLACK:
                 continue
-            best = bounds[:, keys.words].max(axis=2)  # text's words x keys
+            each = [self.of(w, n) for w in words.tolist()]
             if m > n:  # that many words stay alone
-                best = np.sort(best, axis=0)[m - n:]
-            total = best.sum(axis=0) / max(m, n)
+                total = np.partition(np.stack(each), m - n - 1, axis=0)[m - n:].sum(axis=0)
+            else:
+                total = np.sum(each, axis=0)
+            total /= max(m, n)
             at = np.flatnonzero(total >= threshold - _SLACK)
             found.append((np.full(len(at), n), at, total[at]))
         if not found:
@@ -102,20 +127,11 @@ def _greedy(similar: np.ndarray, m: int, n: int) -> np.ndarray:
 def best_in_block(texts: list[list[str]], block: KeyBlock, threshold: float) -> tuple[list[tuple[int, float, int]], int]:
     """(text, score, key's number) of the best key of every text that has one, the smallest number of equal ones; and the alignments made."""
     own, out, aligned = Vocabulary(texts), [], 0
-    reach = np.zeros((len(own.words), len(block.vocabulary.words) + 1)) if len(own.words) * (len(block.vocabulary.words) + 1) < 1 << 24 else None
-    if reach is not None:
-        for i in range(len(own.words)):
-            reach[i] = block.vocabulary.bounds(own.letters[i], int(own.size[i]))
+    reach = Reach(own, block)
     for a in range(0, len(texts), _TOGETHER):
         rows = range(a, min(a + _TOGETHER, len(texts)))
         numbers = {t: np.array([own.number[w] for w in texts[t]], np.int64) for t in rows}
-        orders = {}
-        for t in rows:
-            if not len(numbers[t]):
-                continue
-            bounds = reach[numbers[t]] if reach is not None else np.array(
-                [block.vocabulary.bounds(own.letters[i], int(own.size[i])) for i in numbers[t]])
-            orders[t] = block.order(bounds, threshold)
+        orders = {t: reach.order(numbers[t], threshold) for t in rows if len(numbers[t])}
         best = {t: (-1.0, 0) for t in orders}
         at, step, active = dict.fromkeys(orders, 0), _FIRST_STEP, [t for t in orders if len(orders[t][0])]
         while active:

@@ -83,12 +83,12 @@ def _bounded(w):
     return jobs.stream_bounded_history(_parts_stream(w, w.v_results, "results", 3)).select("trace_id", "source", "target")
 
 
-@query("stream_batches", """SELECT batch_id, count(*) AS item_count, CASE WHEN count(*) <= 6 AND batch_id % 10 <> 3 THEN count(*) FILTER (WHERE role = 'user') END AS success_count,
-    CASE WHEN count(*) <= 6 AND batch_id % 10 <> 3 THEN count(*) FILTER (WHERE role <> 'user') END AS error_count
+@query("stream_batches", """SELECT batch_id, count(*) AS item_count, CASE WHEN count(*) <= 6 THEN count(*) FILTER (WHERE role = 'user') END AS success_count,
+    CASE WHEN count(*) <= 6 THEN count(*) FILTER (WHERE role <> 'user') END AS error_count
   FROM {v_batches} GROUP BY batch_id""")
 def _batches(w):
     events = batch_events(w)
     starts = _parts_stream(w, events.filter(F.col("event") == "batch_start"), "starts", 2)
     completes = _parts_stream(w, events.filter(F.col("event") == "batch_complete"), "completes", 2)
-    paired = jobs.stream_batches(starts, completes, delay="30 days")
+    paired = jobs.stream_batches(starts, completes)
     return paired.select("batch_id", "item_count", "success_count", "error_count")

@@ -13,8 +13,8 @@ from aligner.functions.text import trimmed
 from aligner.operators import matchdb
 from aligner.operators.ranking import last_known_in_group, previous_in_group
 from aligner.plans.resolve import tiered_resolve
-from aligner.session import new_path
-from aligner.streaming.core import SNAPSHOT_EVERY, LastValues, read_batches, run_available, write_batch
+from aligner.session import new_path, stage
+from aligner.streaming.core import SNAPSHOT_EVERY, LastValues, batch_path, read_batches, run_available, write_batch
 
 CELL = ["workbook", "row", "col"]
 
@@ -172,21 +172,36 @@ def stream_bounded_history(stream: DataFrame, limit: int = matchdb.HISTORY_LIMIT
 
 # ---------------------------------------------------------------- batches of work
 
-def stream_batches(starts: DataFrame, completes: DataFrame, max_duration: str = "1 day", delay: str = "1 hour",
-                   root: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Pair batch_start with batch_complete events of two streams ``(batch_id, timestamp, ...)``.
+def stream_batches(starts: DataFrame, completes: DataFrame, root: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Pair batch_start with batch_complete events of two streams ``(batch_id, timestamp, ...)``, however far apart they arrive.
 
-    The watermarks bound the join state: a completion is expected within ``max_duration`` of its start. A start without one (yet, or
-    in time) stays with nulls, as in the batch operator, whether or not the watermark has passed it.
+    The state is what isn't paired yet: every micro-batch reads it from the folder of the one before, pairs it with what is new and writes
+    the rest, so its cost follows the open batches. A start is closed by the earliest completion at or after it that is known by then;
+    later ones wait for a start of their own. A start without one stays with nulls, as in the batch operator.
     """
     spark = starts.sparkSession
     root = root or new_path(spark, "batches")
-    begun = collect_stream(starts.select("batch_id", "user_prompt", "item_count", F.col("timestamp").alias("started_at")),
-                           f"{root}/begun", checkpoint and f"{checkpoint}/begun")
-    left = starts.select("batch_id", "user_prompt", "item_count", F.col("timestamp").alias("started_at")).withWatermark("started_at", delay)
-    right = completes.select(F.col("batch_id").alias("done_id"), "success_count", "error_count", "total_time_ms",
-                             F.col("timestamp").alias("completed_at")).withWatermark("completed_at", delay)
-    paired = left.join(right, F.expr(
-        f"batch_id = done_id AND completed_at >= started_at AND completed_at <= started_at + INTERVAL {max_duration}"))
-    done = collect_stream(paired.drop("done_id"), f"{root}/paired", checkpoint and f"{checkpoint}/paired")
-    return done.unionByName(begun.join(done.select("batch_id"), "batch_id", "left_anti"), allowMissingColumns=True)
+    begun = starts.select("batch_id", F.struct(F.col("timestamp").alias("started_at"), "user_prompt", "item_count").alias("begun"))
+    done = completes.select("batch_id", F.struct(F.col("timestamp").alias("completed_at"), "success_count", "error_count", "total_time_ms").alias("done"))
+    events = begun.unionByName(done, allowMissingColumns=True).select("batch_id", "begun", "done")
+
+    def pair(batch: DataFrame, i: int) -> None:
+        known = batch if i == 0 else batch.unionByName(spark.read.schema(events.schema).parquet(batch_path(f"{root}/open", i - 1)))
+        known = stage(known, "batch-events")
+        opened, closing = (known.where(F.col(c).isNotNull()).select("batch_id", c) for c in ("begun", "done"))
+        pairs = opened.join(closing, "batch_id").where("done.completed_at >= begun.started_at")
+        write_batch(pairs.groupBy("batch_id", "begun").agg(F.min("done").alias("done")), f"{root}/paired", i)
+        paired = spark.read.schema(events.schema).parquet(batch_path(f"{root}/paired", i))
+        rest = [known.where(F.col(c).isNotNull()).join(paired.select(F.col("batch_id").alias("_id"), F.col(c).alias("_c")),
+                                                       F.col("batch_id").eqNullSafe(F.col("_id")) & (F.col(c) == F.col("_c")), "left_anti")
+                for c in ("begun", "done")]
+        write_batch(rest[0].unionByName(rest[1]), f"{root}/open", i)
+        write_batch(spark.range(1), f"{root}/marks", i)
+
+    run_available(events, pair, checkpoint)
+    last = read_batches(spark, f"{root}/marks", "id long").agg(F.max("batch")).first()[0]
+    rows = read_batches(spark, f"{root}/paired", events.schema).drop("batch")
+    if last is not None:
+        rows = rows.unionByName(spark.read.schema(events.schema).parquet(batch_path(f"{root}/open", last)).where("begun IS NOT NULL"))
+    return rows.select("batch_id", "begun.user_prompt", "begun.item_count", "begun.started_at", "done.success_count", "done.error_count",
+                       "done.total_time_ms", "done.completed_at")

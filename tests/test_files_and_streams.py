@@ -1,5 +1,6 @@
 """File layouts as the reference writes them, and streams fed in several batches."""
 
+import datetime
 import json
 import shutil
 
@@ -129,3 +130,25 @@ def test_a_batch_reads_the_newest_snapshot_and_what_came_since(spark, tmp_path):
         shutil.rmtree(f"{root}/state/values/batch={old}")
     shutil.rmtree(f"{root}/state/snapshots/batch=1")
     assert arrive([5, 6]) == [(0, 1, "a"), (0, 2, "same"), (2, 1, "b"), (4, 1, "c"), (6, 1, "a")]
+
+
+def test_batches_are_paired_at_any_distance(spark, tmp_path):
+    start, done = "batch_id long, timestamp timestamp_ntz, user_prompt string, item_count long", "batch_id long, timestamp timestamp_ntz, success_count long, error_count long, total_time_ms double"
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    root, checkpoint = str(tmp_path / "state"), str(tmp_path / "cp")
+
+    def arrive(starts, completes):
+        for folder, rows, schema in (("starts", starts, start), ("completes", completes, done)):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / folder))
+        out = jobs.stream_batches(core.read_stream(spark, str(tmp_path / "starts"), start), core.read_stream(spark, str(tmp_path / "completes"), done), root, checkpoint)
+        return sorted((r["batch_id"], r["item_count"], r["success_count"]) for r in out.collect())
+
+    # 2 is completed before its start is seen, 3 long after, 4 never; the completion of 5 lies before its start
+    first = arrive([(1, day(0), "p", 10), (3, day(0), "p", 30), (4, day(0), None, 40), (5, day(9), "p", 50)],
+                   [(1, day(0), 9, 1, None), (2, day(1), 19, 1, 2.0), (5, day(1), 1, 1, 1.0)])
+    assert first == [(1, 10, 9), (3, 30, None), (4, 40, None), (5, 50, None)]
+    second = arrive([(2, day(0), "p", 20)], [(3, day(40), 28, 2, 1.0), (3, day(50), 1, 1, 1.0)])
+    assert second == [(1, 10, 9), (2, 20, 19), (3, 30, 28), (4, 40, None), (5, 50, None)]
+    assert arrive([], []) == second
+    held = spark.read.parquet(core.batch_path(f"{root}/open", 1)).collect()
+    assert sorted(r["batch_id"] for r in held) == [3, 4, 5, 5]  # paired batches leave the state

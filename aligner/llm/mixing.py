@@ -176,10 +176,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as ``mix`` copies them (``doc_id``, ``text`` and ``source`` have these names)."""
+    """The rows of ``docs`` as often as ``mix`` copies them (``doc_id``, ``text`` and ``source`` have these names), all columns, whatever their names.
+
+    Null ids and sources are values of their own. Rows of equal id, source and text share their copies: one of them stands for all. Null and
+    empty texts have size 0, taking them adds no words; an empty table gives an empty result.
+    """
     copies = mix(docs, **options).groupBy("doc_id", "source", "hash").agg(F.sum("copies").alias("_copies")).where(F.col("_copies") > 0)
     copies = copies.withColumnsRenamed({"doc_id": "_id", "source": "_source", "hash": "_text"})
-    same = (F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_text")))
-    own = docs.withColumn("_hash", F.xxhash64("text"))
-    found = own.join(copies, same).dropDuplicates(["doc_id", "source", "_hash"])
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(c) for c in docs.columns])
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_own_id"), F.col("source").alias("_own_source"),
+                      F.xxhash64("text").alias("_own_text"))
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & F.col("_own_source").eqNullSafe(F.col("_source")) & (F.col("_own_text") == F.col("_text"))
+    found = own.join(copies, same).dropDuplicates(["_own_id", "_own_source", "_own_text"])
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")

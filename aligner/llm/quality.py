@@ -146,6 +146,10 @@ def with_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, mod
 
 
 def not_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, mod: int = 4, held_out: int = 2) -> DataFrame:
-    """The rows whose score reaches the threshold; all rows if nothing could be learned, since such a classifier rejects nothing."""
+    """The rows whose score reaches the threshold; all rows if nothing could be learned, since such a classifier rejects nothing.
+
+    Null and empty texts are scored like any other text and stay or go by that; repeated rows stay together, null ids are never learned from. Extra columns
+    are kept, an empty table gives an empty result.
+    """
     model = fit(docs, labels, doc_remainder(F.col("doc_id"), mod) != held_out)
     return docs.where(score_of(model)(F.col("text")) >= threshold) if model.weights else docs

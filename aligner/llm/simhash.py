@@ -312,7 +312,11 @@ def with_components(fps: DataFrame, distance: int, group_rows: int = _GROUP) ->
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """One row of every component, all columns: the row with the smallest id (nulls last), then the smallest hash of its text."""
+    """One row of every component, all columns: the row with the smallest id (nulls last), then the smallest hash of its text.
+
+    Texts without words (null, empty, white space) are one component; of repeated rows one stays; whole texts count, however long. Columns of any
+    name are kept, an empty table gives an empty result.
+    """
     fps = stage(fingerprints(docs, "doc_id", "text", shingle), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("hash").alias("h"))
     kept = fps.join(_members(fps, distance, _GROUP), "fp").groupBy("root").agg(F.min(order).alias("o"))

@@ -100,3 +100,14 @@ def test_rows_are_copied_as_mixed(spark, rows):
 def test_position_in_any_order(spark):
     df = spark.range(1000).selectExpr("cast(pmod(id * 7919, 1000) as int) v")
     assert all(r.v == r.p for r in mixing.position(df, [F.asc("v")], "p").collect())
+
+
+def test_rows_keep_columns_of_any_name(spark):
+    rows = [(None, "one two three", None, "h", 7), (1, "one two three", "a", "h", 7), (1, "one two three", "a", "h", 7), (2, None, "a", "h", 7), (3, "", "b", "h", 7),
+            (4, "word " * 50_000, "b", "h", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _hash string, _copies int")
+    got = mixing.mixed_rows(docs)
+    assert got.columns == docs.columns
+    found = [tuple(r) for r in got.collect()]
+    assert found and set(found) <= set(rows) and all(r[3:] == ("h", 7) for r in found)
+    assert mixing.mixed_rows(docs.limit(0)).collect() == []

@@ -2,13 +2,7 @@
 
 Scores follow the query: shared tokens / distinct query tokens. Ties are ordered by term.
 
-Top-k never expands the posting list of a frequent token. Tokens found in at most ``rare_df`` terms are
-joined as they are (a query meets at most ``rare_df`` terms per rare token). For the frequent tokens of a label
-the index holds, for every subset of them, only the first k terms containing the subset. That loses nothing:
-if a term shares exactly the subset S with a query, every term listed before it under S shares at least S and
-sorts before it, so a term beyond the first k of S cannot be among the k best. Labels with more than
-``max_frequent`` frequent tokens would have too many subsets; there the subsets of the rarest of them give a lower bound
-on the k-th best overlap, and all pairs reaching that bound are found by a prefix join (``_overlapping``).
+Top-k reads packed posting lists of blocks of terms (``postings``); candidates by coverage meet on their rarest tokens.
 """
 
 from __future__ import annotations
@@ -17,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aligner.functions.text import TOKEN_PATTERN, tokens
+from aligner.operators import postings
 from aligner.session import stage
 
 
@@ -109,12 +104,16 @@ def _token_pairs(items: Column) -> Column:
         F.filter(items, lambda _, k: k > i), lambda b: F.concat_ws(" ", F.least(a, b), F.greatest(a, b)))))
 
 
-def token_topk(queries: DataFrame, terms: DataFrame, k: int = 20, rare_df: int = 100, max_frequent: int = 8,
-               pattern: str = TOKEN_PATTERN) -> DataFrame:
-    """The k best terms per query: ``(query_id, term, score, rank)``, rank from 0, exact (see module text)."""
-    by_query, token_sets = _query_token_sets(queries, pattern)
-    best = _topk_per_token_set(token_sets, terms, k, rare_df, max_frequent, pattern)
-    return by_query.join(best, "p_no").select("query_id", "term", "score", "rank")
+def token_topk(queries: DataFrame, terms: DataFrame | postings.TermIndex, k: int = 20, pattern: str = TOKEN_PATTERN,
+               block_tokens: int = postings.BLOCK_TOKENS, chunk_tokens: int = postings.BLOCK_TOKENS) -> DataFrame:
+    """The k best terms per query: ``(query_id, term, score, rank)``, rank from 0, exact.
+
+    ``terms`` has ``term``, or is an index of them prepared by ``postings.term_index``, whose pattern then counts. Queries without tokens or
+    without a token of any term get no rows. The last two arguments bound what a task holds and change no result.
+    """
+    index = terms if isinstance(terms, postings.TermIndex) else postings.term_index(terms, pattern, block_tokens)
+    by_query, token_sets = _query_token_sets(queries, index.pattern)
+    return by_query.join(postings.topk(token_sets, index, k, chunk_tokens), "p_no").select("query_id", "term", "score", "rank")
 
 
 def _query_token_sets(queries: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:
@@ -155,104 +154,6 @@ def _known(ranked: Column) -> Column:
     return F.filter(ranked, lambda r: r["df"] > 0)["token"]
 
 
-def _split_by_frequency(ranked: DataFrame, key: str, rare_df: int, max_frequent: int) -> DataFrame:
-    """(key, n, known, rare, frequent, long): ``frequent`` holds the rarest of the frequent tokens, ``long`` tells whether
-    there were more."""
-    frequent = F.filter("ranked", lambda r: r["df"] > rare_df)["token"]
-    return ranked.select(
-        key, F.size("ranked").alias("n"), _known(F.col("ranked")).alias("known"),
-        F.filter("ranked", lambda r: (r["df"] > 0) & (r["df"] <= rare_df))["token"].alias("rare"),
-        F.array_sort(F.slice(frequent, 1, max_frequent)).alias("frequent"), (F.size(frequent) > max_frequent).alias("long"))
-
-
-def _subsets(items: Column) -> Column:
-    """All non-empty subsets of a short sorted array as (subset, size); tokens hold no blank, so a joined
-    subset names it uniquely."""
-    kind = "array<struct<subset:string,size:int>>"
-    start = F.array(F.struct(F.lit("").alias("subset"), F.lit(0).alias("size"))).cast(kind)
-
-    def grow(subsets: Column, token: Column) -> Column:
-        larger = F.transform(subsets, lambda s: F.struct(
-            F.concat(s["subset"], F.lit(" "), token).alias("subset"), (s["size"] + 1).alias("size")))
-        return F.concat(subsets, larger).cast(kind)
-
-    return F.filter(F.aggregate(items, start, grow), lambda s: s["size"] > 0)
-
-
-def _topk_per_token_set(token_sets: DataFrame, terms: DataFrame, k: int, rare_df: int, max_frequent: int,
-                        pattern: str) -> DataFrame:
-    named, tokened, df = _numbered_terms(terms, pattern)
-    index = stage(_split_by_frequency(_ranked_tokens(tokened, "t_no", df), "t_no", rare_df, max_frequent), "token-index")
-    probes = stage(_split_by_frequency(_ranked_tokens(token_sets, "p_no", df), "p_no", rare_df, max_frequent), "token-probes")
-
-    best = _best(_rare_hits(probes, index).unionByName(_frequent_hits(probes, index, k)), k)
-    if not (index.filter("long").isEmpty() and probes.filter("long").isEmpty()):
-        seeded = _seeded(stage(best.drop("rank"), "token-best"), probes, index, k)
-        best = _best(_with_long_labels(stage(seeded, "token-best"), probes, index, k), k)
-    return (
-        best.join(named, "t_no").join(probes.select("p_no", "n"), "p_no")
-        .select("p_no", "term", (F.col("shared") / F.col("n")).alias("score"), "rank")
-    )
-
-
-def _best(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("p_no").orderBy(F.desc("shared"), "t_no")
-    merged = hits.groupBy("p_no", "t_no").agg(F.max("shared").alias("shared"))
-    return merged.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
-
-
-def _rare_hits(probes: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs sharing a rare token with their exact overlap."""
-    left = probes.select("p_no", F.explode("rare").alias("token"))
-    right = index.select("t_no", F.explode("rare").alias("token"))
-    pairs = block_join(left, right, ["token"]).select("p_no", "t_no")
-    lists = index.select("t_no", F.col("known").alias("t_known"))
-    return _overlap(pairs, probes.select("p_no", "known"), lists, "p_no", "t_no").select("p_no", "t_no", "shared")
-
-
-def _frequent_hits(probes: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """Between labels that are not long, enough pairs to hold every top-k member sharing no rare token; for long labels
-    a lower bound on their overlaps."""
-    first_k = Window.partitionBy("subset").orderBy("t_no")
-    postings = (
-        index.select("t_no", F.explode(_subsets(F.col("frequent"))).alias("s"))
-        .select("t_no", "s.subset").withColumn("rn", F.row_number().over(first_k)).filter(F.col("rn") <= k)
-        .select("subset", "t_no")
-    )
-    counts = postings.groupBy("subset").agg(F.count(F.lit(1)).alias("listed"))
-    keys = probes.select("p_no", F.explode(_subsets(F.col("frequent"))).alias("s")).select("p_no", "s.subset", "s.size")
-    # a subset with k listed terms makes all smaller subsets of the query superfluous
-    enough = F.max(F.when(F.col("listed") >= k, F.col("size"))).over(Window.partitionBy("p_no"))
-    useful = block_join(keys, counts, ["subset"]).withColumn("enough", F.coalesce(enough, F.lit(0))).filter(F.col("size") >= F.col("enough"))
-    return block_join(useful, postings, ["subset"]).select("p_no", "t_no", F.col("size").alias("shared"))
-
-
-def _seeded(best: DataFrame, probes: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """``best``, filled up for the probes that have fewer than k hits: the first k terms of each of their tokens with exact overlaps.
-
-    Terms that hold one of a probe's tokens usually share several, so the bound that follows is far above one token.
-    """
-    full = best.groupBy("p_no").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= k)
-    lacking = probes.join(full.select("p_no"), "p_no", "left_anti").select("p_no", "known")
-    lists = index.select("t_no", F.col("known").alias("t_known"))
-    first = Window.partitionBy("token").orderBy("t_no")
-    listed = lists.select("t_no", F.explode("t_known").alias("token")).withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= k)
-    pairs = block_join(lacking.select("p_no", F.explode("known").alias("token")), listed.select("token", "t_no"), ["token"]).select("p_no", "t_no")
-    seeds = _overlap(pairs, lacking, lists, "p_no", "t_no").select("p_no", "t_no", "shared")
-    return _best(best.unionByName(seeds), k).drop("rank")
-
-
-def _with_long_labels(best: DataFrame, probes: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """``best`` and all pairs with a long label on either side that reach the k-th best overlap known so far."""
-    floor = best.groupBy("p_no").agg(F.when(F.count(F.lit(1)) >= k, F.min("shared")).otherwise(F.lit(1)).alias("floor"))
-    bounded = probes.join(floor, "p_no", "left").select("p_no", "known", "long", F.coalesce("floor", F.lit(1)).alias("needed"))
-    listed = index.select("t_no", F.col("known").alias("t_known"), "long")
-    return (
-        best.unionByName(_overlapping(bounded.filter("long").drop("long"), listed, "p_no", "t_no"))
-        .unionByName(_overlapping(bounded.filter("NOT long").drop("long"), listed.filter("long"), "p_no", "t_no"))
-    )
-
-
 def candidate_sample(candidates: DataFrame, sample_size: int = 20, seed: int = 0) -> DataFrame:
     """Display order of the best candidates: a seeded hash order instead of a random one, position from 0."""
     shown = candidates.filter(F.col("rank") < sample_size)

@@ -60,13 +60,13 @@ def test_fuzzy_ties_keep_the_first_key(spark):
     assert fuzzy.fuzzy_best(queries, keys).head()["target"] == "C"
 
 
-@pytest.mark.parametrize("rare_df, max_frequent", [(1000, 8), (3, 8), (0, 8), (3, 1), (0, 0)])
-def test_token_topk_equals_brute_force(spark, labels, rare_df, max_frequent, rows_of):
+@pytest.mark.parametrize("block_tokens, chunk_tokens, k", [(1 << 20, 1 << 20, 4), (1 << 20, 100, 4), (400, 1 << 20, 4), (60, 100, 4), (1, 300, 4), (60, 1 << 20, 1), (200, 200, 300)])
+def test_token_topk_equals_brute_force(spark, labels, block_tokens, chunk_tokens, k, rows_of):
     terms, queries = labels
-    got = tok.token_topk(queries, terms, k=4, rare_df=rare_df, max_frequent=max_frequent)
+    got = tok.token_topk(queries, terms, k=k, block_tokens=block_tokens, chunk_tokens=chunk_tokens)
     q = queries.select("query_id", F.explode(tokens("query")).alias("token")).withColumn("n", F.expr("count(*) over (partition by query_id)"))
     pairs = q.join(tok.inverted_index(terms), "token").groupBy("query_id", "term").agg((F.count("*") / F.max("n")).alias("score"))
-    want = pairs.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, term) - 1")).filter("rank < 4")
+    want = pairs.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, term) - 1")).filter(f"rank < {k}")
     assert rows_of(got) == rows_of(want.select("query_id", "term", "score", "rank"))
 
 

@@ -28,11 +28,19 @@ def exact_reverse(queries: DataFrame, targets: DataFrame) -> DataFrame:
 
 def exact_match(queries: DataFrame, forward: DataFrame, targets: DataFrame) -> DataFrame:
     """Forward hit, else the value itself when it is a target; one pass over the queries."""
-    known = (
+    return exact_lookup(queries, known_keys(forward, targets))
+
+
+def known_keys(forward: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(key, hit)``: what every key of the two maps stands for, forward first."""
+    return (
         forward.select(F.col("source").alias("key"), F.struct(F.lit(0).alias("o"), "target").alias("hit"))
         .unionByName(targets.select(F.col("target").alias("key"), F.struct(F.lit(1).alias("o"), "target").alias("hit")))
         .groupBy("key").agg(F.min("hit").alias("hit"))
     )
+
+
+def exact_lookup(queries: DataFrame, known: DataFrame) -> DataFrame:
     hits = with_key(queries).filter(F.col("key") != "").join(known, "key").withColumn("target", F.col("hit.target"))
     return _cached(hits.drop("hit"))
 

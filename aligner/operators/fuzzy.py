@@ -6,6 +6,8 @@ that found nothing there. ``similar_words`` joins two vocabularies by edit simil
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +15,37 @@ from aligner.functions.similarity import edit_similarity
 from aligner.functions.text import normalized_words, trimmed
 from aligner.operators.keysearch import best_keys
 from aligner.operators.tokens import block_join
-from aligner.session import stage
+from aligner.session import stage, written
 
 THRESHOLD = 0.7
 _SLACK = 1e-9
 
 
-def fuzzy_best(queries: DataFrame, keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+@dataclass(frozen=True)
+class KeyTable:
+    """Written keys by their words: ``rows`` is ``(k_id, first, words, k_no)``, numbers follow the order of the keys."""
+
+    rows: DataFrame
+
+
+def key_table(keys: DataFrame, path: str | None = None) -> KeyTable:
+    """``(key, target, key_ord)`` prepared for any number of searches, at ``path`` or in a staged table.
+
+    Keys of equal words are equally similar to anything, so the first of them stands for all.
+    """
+    known = (
+        keys.select("key", "target", "key_ord", normalized_words("key").alias("words"))
+        .groupBy(F.array_join("words", " ").alias("k_id")).agg(F.min(F.struct("key_ord", "key", "target")).alias("first"), F.first("words").alias("words"))
+    )
+    numbered = known.orderBy("first").withColumn("k_no", F.monotonically_increasing_id())
+    return KeyTable(written(numbered, path) if path else stage(numbered, "fuzzy-keys"))
+
+
+def fuzzy_best(queries: DataFrame, keys: DataFrame | KeyTable, threshold: float = THRESHOLD) -> DataFrame:
     """Best key per distinct query text: ``(query, matched_key, target, score)``; ties keep the first key.
 
-    ``queries`` has ``query``; ``keys`` has ``(key, target, key_ord)`` with a sortable, unique ``key_ord``. A text without words matches the
-    first key without words.
+    ``queries`` has ``query``; ``keys`` has ``(key, target, key_ord)`` with a sortable, unique ``key_ord``, or is a table
+    made of them by ``key_table``. A text without words matches the first key without words.
     """
     texts = _texts(queries)
     return _with_texts(texts, _best(_probes(texts), keys, threshold))
@@ -38,16 +60,11 @@ def _probes(texts: DataFrame) -> DataFrame:
     return texts.select("q_id", "words").dropDuplicates(["q_id"])
 
 
-def _best(probes: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+def _best(probes: DataFrame, keys: DataFrame | KeyTable, threshold: float) -> DataFrame:
     """``q_id, score, first``: the best key of every probe that has any at the threshold."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    # keys of equal words are equally similar to anything, so the first of them stands for all
-    known = (
-        keys.select("key", "target", "key_ord", normalized_words("key").alias("words"))
-        .groupBy(F.array_join("words", " ").alias("k_id")).agg(F.min(F.struct("key_ord", "key", "target")).alias("first"), F.first("words").alias("words"))
-    )
-    known = stage(known.orderBy("first").withColumn("k_no", F.monotonically_increasing_id()), "fuzzy-keys")  # numbers follow the order of the keys
+    known = (keys if isinstance(keys, KeyTable) else key_table(keys)).rows
     hits = best_keys(probes.filter(F.size("words") > 0), known.filter(F.size("words") > 0).select("k_no", "words"), threshold)
     empty = probes.filter(F.size("words") == 0).join(known.filter(F.col("k_id") == "").select("first"), F.col("q_id") == "")
     return stage(hits.join(known.select("k_no", "first"), "k_no").select("q_id", "score", "first").unionByName(
@@ -125,11 +142,24 @@ def fuzzy_two_pass(queries: DataFrame, forward: DataFrame, targets: DataFrame, t
     ``queries`` has ``query`` (trimmed, not empty), ``forward`` ``(source, target, key_ord)``, ``targets``
     ``(target, key_ord)``. Result ``(query, matched_key, target, score, direction)``.
     """
+    return two_passes(queries, key_table(forward_keys(forward)), key_table(target_keys(targets)), threshold)
+
+
+def forward_keys(forward: DataFrame) -> DataFrame:
+    return forward.select(F.col("source").alias("key"), "target", "key_ord")
+
+
+def target_keys(targets: DataFrame) -> DataFrame:
+    return targets.select(F.col("target").alias("key"), "target", "key_ord")
+
+
+def two_passes(queries: DataFrame, forward: KeyTable, targets: KeyTable, threshold: float = THRESHOLD) -> DataFrame:
+    """``fuzzy_two_pass`` over prepared keys."""
     texts = _texts(queries)
     probes = _probes(texts)
-    ahead = _best(probes, forward.select(F.col("source").alias("key"), "target", "key_ord"), threshold)
+    ahead = _best(probes, forward, threshold)
     left = stage(probes.join(ahead, "q_id", "left_anti"), "fuzzy-probes")
-    back = _best(left, targets.select(F.col("target").alias("key"), "target", "key_ord"), threshold)
+    back = _best(left, targets, threshold)
     return _with_texts(texts, ahead).withColumn("direction", F.lit("forward")).unionByName(
         _with_texts(texts, back).withColumn("direction", F.lit("reverse")))
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aligner.functions.text import trimmed
-from aligner.operators.exact import exact_match
-from aligner.operators.fuzzy import THRESHOLD, fuzzy_two_pass
+from aligner.operators.exact import exact_lookup
+from aligner.operators.fuzzy import THRESHOLD, two_passes
 from aligner.operators.tokens import NO_MATCH, token_topk
+from aligner.plans import maps
 from aligner.session import stage
 
 EMPTY_VALUE = "Empty value"
@@ -18,22 +19,31 @@ def tiered_resolve(queries: DataFrame, forward: DataFrame, targets: DataFrame, t
                    threshold: float = THRESHOLD, use_fuzzy: bool = True) -> DataFrame:
     """``(query_id, query)`` -> ``(query_id, source, target, method, confidence, matched_key)``.
 
+    The maps are prepared first; jobs that resolve against the same maps more than once keep them (``maps.maps_of``) and call
+    ``resolve_with``.
+    """
+    return resolve_with(queries, maps.prepare(forward, targets, terms, use_fuzzy), threshold)
+
+
+def resolve_with(queries: DataFrame, known: maps.Maps, threshold: float = THRESHOLD) -> DataFrame:
+    """``tiered_resolve`` against prepared maps; without key tables there is no fuzzy tier.
+
     Every tier sees only the distinct texts the tiers before it left, and the verdict per distinct text is joined
     back to the rows once at the end: repeated values cost one resolution.
     """
     rows = queries.select("query_id", trimmed(F.coalesce("query", F.lit(""))).alias("source"))
     texts = rows.select(F.col("source").alias("query")).filter(F.col("query") != "").distinct()
     exact = stage(
-        exact_match(texts, forward, targets)
+        exact_lookup(texts, known.exact)
         .select("query", "target", "method", "confidence", F.lit(None).cast("string").alias("matched_key")), "exact")
     rest = stage(texts.join(exact.select("query"), "query", "left_anti"), "rest")
     verdicts = exact
-    if use_fuzzy:
-        fuzzy = fuzzy_two_pass(rest, forward, targets, threshold).select(
+    if known.forward is not None and known.targets is not None:
+        fuzzy = two_passes(rest, known.forward, known.targets, threshold).select(
             "query", "target", F.lit("fuzzy").alias("method"), F.col("score").alias("confidence"), "matched_key")
         verdicts = verdicts.unionByName(fuzzy)
         rest = stage(rest.join(fuzzy.select("query"), "query", "left_anti"), "rest")
-    ranked = token_topk(rest.select(F.col("query").alias("query_id"), "query"), terms, k=1).select(
+    ranked = token_topk(rest.select(F.col("query").alias("query_id"), "query"), known.terms, k=1).select(
         F.col("query_id").alias("query"), F.col("term").alias("target"), F.lit("ProfileRank").alias("method"),
         F.col("score").alias("confidence"), F.lit(None).cast("string").alias("matched_key"))
     verdicts = verdicts.unionByName(ranked).withColumnRenamed("query", "source")

@@ -63,7 +63,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
+    return written(df, new_path(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to a new folder and read it back."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from aligner.functions.text import trimmed
 from aligner.operators import matchdb
 from aligner.operators.ranking import last_known_in_group, previous_in_group
-from aligner.plans.resolve import tiered_resolve
+from aligner.plans.maps import maps_of
+from aligner.plans.resolve import resolve_with
 from aligner.session import new_path, stage
 from aligner.streaming.core import SNAPSHOT_EVERY, LastValues, batch_path, read_batches, run_available, write_batch
 
@@ -112,12 +113,16 @@ def stream_direct_edits(stream: DataFrame, column_map: DataFrame, stored: DataFr
 # ---------------------------------------------------------------- resolution
 
 def stream_resolve(stream: DataFrame, forward: DataFrame, targets: DataFrame, terms: DataFrame, use_fuzzy: bool = True,
-                   root: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Resolve arriving ``(query_id, query)`` rows against the current maps, batch by batch."""
+                   root: str | None = None, checkpoint: str | None = None, maps_root: str | None = None) -> DataFrame:
+    """Resolve arriving ``(query_id, query)`` rows against the current maps, batch by batch.
+
+    The maps are prepared once per version below ``maps_root`` (a folder shared by all jobs that use them); batches and later runs read
+    them as they are. A version lasts for a run: changed maps take effect with the next one.
+    """
     spark = stream.sparkSession
     root = root or new_path(spark, "resolved")
-    resolve = lambda batch: tiered_resolve(batch, forward, targets, terms, use_fuzzy=use_fuzzy)
-    run_available(stream, lambda batch, i: write_batch(resolve(batch), root, i), checkpoint)
+    known = maps_of(forward, targets, terms, maps_root or new_path(spark, "maps"), use_fuzzy)
+    run_available(stream, lambda batch, i: write_batch(resolve_with(batch, known), root, i), checkpoint)
     id_type = stream.schema["query_id"].dataType.simpleString()
     schema = f"query_id {id_type}, source string, target string, method string, confidence double, matched_key string"
     return read_batches(spark, root, schema).drop("batch")

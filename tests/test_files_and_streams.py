@@ -2,11 +2,15 @@
 
 import datetime
 import json
+import pathlib
 import shutil
 
 from pyspark.sql import functions as F
 
 from aligner.operators import matchdb
+from aligner.plans import maps
+from aligner.plans.resolve import resolve_with
+from aligner.session import shared_dir
 from aligner.sources import files, sinks
 from aligner.streaming import core, jobs
 
@@ -152,3 +156,46 @@ def test_batches_are_paired_at_any_distance(spark, tmp_path):
     assert arrive([], []) == second
     held = spark.read.parquet(core.batch_path(f"{root}/open", 1)).collect()
     assert sorted(r["batch_id"] for r in held) == [3, 4, 5, 5]  # paired batches leave the state
+
+
+def test_the_key_side_is_prepared_once_per_version(spark, tmp_path):
+    forward = spark.createDataFrame([("Foo", "T1", 0), ("cold rolled", "T2", 1)], "source string, target string, key_ord int")
+    targets = spark.createDataFrame([("T1", 0), ("T2", 1), ("steel sheet", 2)], "target string, key_ord int")
+    terms = targets.select(F.col("target").alias("term"))
+    root, checkpoint, shared = (str(tmp_path / n) for n in ("out", "cp", "maps"))
+    arriving = [spark.createDataFrame([row], "query_id long, query string") for row in [(1, "Foo"), (2, "cold roled"), (3, "sheet of zinc")]]
+
+    def run(batches, known=forward, out=root, at=checkpoint):
+        out = jobs.stream_resolve(_arriving(spark, tmp_path / "in", batches), known, targets, terms, root=out, checkpoint=at, maps_root=shared)
+        return sorted((r["query_id"], r["target"], r["method"]) for r in out.collect())
+
+    listed = lambda: sorted(str(p) for p in (tmp_path / "maps").rglob("*") if p.is_file())
+    staged_root = pathlib.Path(shared_dir(spark)) / "aligner"
+    want = [(1, "T1", "cached"), (2, "T2", "fuzzy"), (3, "steel sheet", "ProfileRank")]
+    assert run(arriving[:1]) == want[:1]
+    before, tables = listed(), set(staged_root.iterdir())
+    assert run(arriving[1:]) == want  # two more batches, in a later run
+    assert listed() == before
+    key_side = {"fuzzy-keys", "token-terms", "token-blocks", "maps"}
+    assert not {p.name.rsplit("-", 1)[0] for p in set(staged_root.iterdir()) - tables} & key_side
+    shuffled = forward.orderBy(F.desc("key_ord"))
+    assert run(arriving[:1], shuffled, str(tmp_path / "o2"), str(tmp_path / "cp2"))[0] == want[0] and listed() == before
+    changed = forward.withColumn("target", F.when(F.col("source") == "Foo", "T2").otherwise(F.col("target")))
+    assert run(arriving[:1], changed, str(tmp_path / "o3"), str(tmp_path / "cp3"))[0] == (1, "T2", "cached")
+    assert len(listed()) > len(before)
+
+
+def test_a_preparation_that_broke_off_leaves_no_version(spark, tmp_path):
+    forward = spark.createDataFrame([("Foo", "T1", 0)], "source string, target string, key_ord int")
+    targets = spark.createDataFrame([("T1", 0)], "target string, key_ord int")
+    terms = targets.select(F.col("target").alias("term"))
+    root, version = str(tmp_path / "maps"), maps.version_of(forward, targets, terms)
+    maps.prepare(forward, targets, terms, folder=f"{root}/tables/{version}-half")  # no record written
+    assert maps.load(spark, root, version) is None
+    maps.maps_of(forward, targets, terms, root, use_fuzzy=False)
+    assert maps.load(spark, root, version) is None and maps.load(spark, root, version, use_fuzzy=False).forward is None
+    made = maps.maps_of(forward, targets, terms, root)
+    assert maps.load(spark, root, version).terms.blocks == made.terms.blocks == 1
+    empty = maps.prepare(forward.limit(0), targets.limit(0), terms.limit(0))
+    queries = spark.createDataFrame([(1, "Foo"), (2, None)], "query_id long, query string")
+    assert sorted((r["query_id"], r["target"]) for r in resolve_with(queries, empty).collect()) == [(1, "No matches found"), (2, "Empty value")]

@@ -1,5 +1,6 @@
 """Queries: file sources and sinks. Rows of a workload view are written in the layout, then read through the operator."""
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from aligner.operators import matchdb
@@ -89,15 +90,23 @@ def run_files(w):
     return one("/meta.yaml", meta).unionByName(one("/params/status", F.col("status"))).unionByName(series).unionByName(one("/artifacts/pipeline_config.json", F.lit("{}")))
 
 
-def _staged_files(w):
-    """The same as a table of (path, content): one file per row would only measure the file system."""
-    return w.spark.read.parquet(_written(run_files(w), "filestore", "parquet"))
+_TREES = {}
+
+
+def _tree(w):
+    """The same written as a tree and read from it, the paths from its root on; a session's queries share the tree of their tables."""
+    key = (w.spark.sparkContext.applicationId, w.sf_dir)
+    if key not in _TREES:
+        _TREES[key] = sinks.write_filestore(run_files(w), new_path(w.spark, "filestore"))
+    root = _TREES[key]
+    tree = files.read_filestore(w.spark, f"{root}/exp", names_only="artifacts")
+    return tree.withColumn("path", F.substr("path", F.lit(len(fs.FileSystem.from_uri(root)[1]) + 1)))
 
 
 @query("src_filestore_meta", """SELECT concat('/exp/', experiment_id, '/', run_id, '/meta.yaml') AS path, unnest(['run_id', 'name', 'status', 'end_time']) AS key,
     unnest([CAST(run_id AS VARCHAR), concat('run: ', run_id), status, NULL]) AS value, unnest([run_id, NULL, NULL, NULL]) AS int_value FROM {v_runs}""")
 def _meta(w):
-    return files.parse_meta(_staged_files(w).filter(F.col("path").endswith("/meta.yaml")))
+    return files.parse_meta(_tree(w).filter(F.col("path").endswith("/meta.yaml")))
 
 
 _LAST = "(SELECT run_id, arg_max(value, row(line_no, value)) AS value FROM {v_metrics} GROUP BY run_id)"
@@ -106,13 +115,13 @@ _LAST = "(SELECT run_id, arg_max(value, row(line_no, value)) AS value FROM {v_me
 @query("src_filestore_fields", f"""SELECT concat('/exp/', experiment_id, '/', run_id) AS run_path, 'params' AS field, 'status' AS key, NULL::DOUBLE AS number FROM {{v_runs}}
   UNION ALL SELECT concat('/exp/', experiment_id, '/', r.run_id), 'metrics', 'loss', m.value FROM {{v_runs}} r JOIN {_LAST} m ON m.run_id = r.run_id""")
 def _fields(w):
-    return files.parse_fields(_staged_files(w)).drop("value")
+    return files.parse_fields(_tree(w)).drop("value")
 
 
 @query("run_detail", f"""SELECT concat('/exp/', experiment_id, '/', r.run_id) AS run_path, CAST(r.run_id AS VARCHAR) AS run_id, status, status AS param, m.value AS loss, 'pipeline_config.json' AS artifacts
   FROM {{v_runs}} r LEFT JOIN {_LAST} m ON m.run_id = r.run_id""")
 def _detail(w):
-    d = files.run_detail(_staged_files(w))
+    d = files.run_detail(_tree(w))
     return d.select("run_path", F.col("meta")["run_id"].alias("run_id"), F.col("meta")["status"].alias("status"), F.col("params")["status"].alias("param"),
                     F.col("metrics")["loss"].cast("double").alias("loss"), F.array_join("artifacts", ",").alias("artifacts"))
 

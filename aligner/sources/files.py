@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from aligner import schemas
 from aligner.functions.text import trimmed
+from aligner.sources.tree import read_tree
 
 # Fixed value: first cell of the header row of a mapping sheet.
 MAPPINGS_HEADER = "Material name in BOM"
@@ -85,10 +86,12 @@ def read_run_traces(spark: SparkSession, path: str, multi_line: bool = True, glo
 
 # ---------------------------------------------------------------- experiment folders
 
-def read_filestore(spark: SparkSession, path: str) -> DataFrame:
-    """All files of an experiment tree as ``(path, content)``."""
-    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+def read_filestore(spark: SparkSession, path: str, names_only: str | None = None) -> DataFrame:
+    """All files of an experiment tree as ``(path, content)``; of a metric series its last line.
+
+    Files below a folder called ``names_only`` are listed without their content. Files that don't lie in an experiment are left out.
+    """
+    return read_tree(spark, path, **({"names_only": names_only} if names_only else {}))
 
 
 def parse_meta(files: DataFrame) -> DataFrame:

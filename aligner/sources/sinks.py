@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import posixpath
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row
 
 from aligner.operators.telemetry import Telemetry
 from aligner.session import new_path
@@ -29,3 +32,21 @@ def write_telemetry(telemetry: Telemetry, root: str, run: str, fmt: str = "json"
             paths[kind] = os.path.join(root, kind, f"run={run}")
             df.write.mode("overwrite").format(fmt).save(paths[kind])
     return paths
+
+
+def write_filestore(files: DataFrame, root: str) -> str:
+    """Write ``(path, content)`` as files below ``root``; a path starts with a slash. A task that runs again writes the same files again."""
+    def put(rows: Iterator[Row]) -> None:
+        system, base = fs.FileSystem.from_uri(root)
+        made = set()
+        for row in rows:
+            path = base + row["path"]
+            folder = posixpath.dirname(path)
+            if folder not in made:
+                system.create_dir(folder)
+                made.add(folder)
+            with system.open_output_stream(path) as f:
+                f.write((row["content"] or "").encode())
+
+    files.foreachPartition(put)
+    return root

@@ -1,6 +1,7 @@
 """File layouts as the reference writes them, and streams fed in several batches."""
 
 import datetime
+import io
 import json
 import pathlib
 import shutil
@@ -12,6 +13,7 @@ from aligner.plans import maps
 from aligner.plans.resolve import resolve_with
 from aligner.session import shared_dir
 from aligner.sources import files, sinks
+from aligner.sources.tree import last_line, read_tree
 from aligner.streaming import core, jobs
 
 
@@ -60,6 +62,41 @@ def test_experiment_folder(spark, tmp_path):
     assert detail["metrics"] == {"mrr": "0.75", "odd": "n/a"} and detail["artifacts"] == ["pipeline_config.json"] and detail["meta"]["start_time"] == "17"
 
 
+def test_a_tree_is_read_in_buckets_of_folders(spark, tmp_path):
+    runs = spark.range(600).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 90).alias("e"), "id")
+    path = lambda name: F.concat(F.lit("/"), "e", F.lit("/run"), "id", F.lit(name))
+    tree = runs.select(path("/metrics/loss").alias("path"), F.concat(F.lit("1 0.5 0\n2 "), "id", F.lit(" 1\n \n")).alias("content")).unionByName(
+        runs.select(path("/artifacts/deep/a.json").alias("path"), F.lit("{}").alias("content")))
+    root = sinks.write_filestore(tree, str(tmp_path))
+    _put(tmp_path / "7" / "meta.yaml", "name: seven")
+    _put(tmp_path / "7" / "traces" / "t1" / "tags" / "mode", "x")
+    _put(tmp_path / "7" / "run1" / "metrics" / "none", "")
+    _put(tmp_path / "stray.txt", "in no experiment")
+    (tmp_path / "empty").mkdir()
+    for options in ({}, {"group": 1, "buckets": 7}, {"group": 1000, "buckets": 1}):
+        got = {r["path"][len(root):]: r["content"] for r in read_tree(spark, root, names_only="artifacts", **options).collect()}
+        want = {f"/{0 if i % 3 == 0 else i % 90}/run{i}/{n}": c for i in range(600) for n, c in (("metrics/loss", f"2 {i} 1"), ("artifacts/deep/a.json", None))}
+        assert got == want | {"/7/meta.yaml": "name: seven", "/7/traces/t1/tags/mode": "x", "/7/run1/metrics/none": ""}
+    assert read_tree(spark, str(tmp_path / "empty")).count() == 0
+    spread = read_tree(spark, root, group=1000, buckets=4).groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) == 4 and max(r["count"] for r in spread) < 500
+
+
+def test_a_long_series_costs_one_block():
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            Counted.taken += n
+            return super().read(n)
+
+    series = b"".join(b"%d 0.%07d %d\n" % (i, i, i) for i in range(500_000))
+    assert len(series) > 10_000_000
+    assert last_line(Counted(series), len(series)) == b"499999 0.0499999 499999" and Counted.taken == 1 << 16
+    for text, want in [(b"", b""), (b"\n \n", b""), (b"one", b"one"), (b"a\nb\n\n\n\n\n\n", b"b"), (b"first\r\n" + b"x" * 50, b"x" * 50), (b"\n  padded  \n", b"  padded")]:
+        assert {last_line(io.BytesIO(text), len(text), block) for block in (1, 3, 1000)} == {want}
+
+
 def _cells(spark, rows):
     return spark.createDataFrame(rows, "seq long, ts string, workbook int, row int, col int, value string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 

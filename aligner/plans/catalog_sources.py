@@ -1,5 +1,7 @@
 """Queries: file sources and sinks. Rows of a workload view are written in the layout, then read through the operator."""
 
+import functools
+
 from pyarrow import fs
 from pyspark.sql import functions as F
 
@@ -161,17 +163,22 @@ def _sink_db(w):
     return files.read_match_db(w.spark, path).agg(F.count(F.lit(1)).alias("aliases"), F.count_distinct("target").alias("targets"))
 
 
-@query("sink_telemetry", """SELECT 'traces' AS kind, count(*) AS n FROM {v_results} WHERE method IN ('cached', 'fuzzy')
-  UNION ALL SELECT 'observations', count(*) FROM {v_results} WHERE method IN ('cached', 'fuzzy')
-  UNION ALL SELECT 'scores', count(*) + count(*) FILTER (WHERE total_time <> 0) FROM {v_results} WHERE method IN ('cached', 'fuzzy')
-  UNION ALL SELECT 'events', count(*) FROM {v_results} WHERE method IN ('cached', 'fuzzy')
-  UNION ALL SELECT 'items', count(DISTINCT source) FROM {v_results} WHERE method IN ('cached', 'fuzzy')""")
+@query("sink_telemetry", f"""WITH r AS (SELECT *, CASE WHEN method = 'cached' THEN 1.0 ELSE confidence END AS conf FROM {{v_results}} WHERE method IN ('cached', 'fuzzy'))
+  SELECT 'traces' AS kind, {_TID} AS id, source AS name, conf AS value FROM r
+  UNION ALL SELECT 'observations', {_TID}, CASE WHEN method = 'cached' THEN 'cache_lookup' ELSE 'fuzzy_matching' END, NULL FROM r
+  UNION ALL SELECT 'scores', {_TID}, 'confidence', conf FROM r
+  UNION ALL SELECT 'scores', {_TID}, 'latency_ms', round(total_time * 1000, 6) FROM r WHERE total_time <> 0
+  UNION ALL SELECT 'events', {_TID}, concat(method, ' ', target), conf FROM r
+  UNION ALL SELECT DISTINCT 'items', {_ITEM}, source, NULL::DOUBLE FROM r""")
 def _sink_telemetry(w):
-    paths = sinks.write_telemetry(tel.log_short_circuit(w.v_results), new_path(w.spark, "telemetry"), "r1")
-    readers = {"traces": files.read_traces, "observations": files.read_observations, "scores": files.read_scores, "events": files.read_event_log,
-               "items": files.read_dataset_items}
-    counts = [readers[k](w.spark, p).agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n")) for k, p in paths.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out.select("kind", "n")
+    """Two attempts of a run, of which the later one counts."""
+    root, short = new_path(w.spark, "telemetry"), tel.log_short_circuit(w.v_results)
+    sinks.write_telemetry(tel.log_short_circuit(w.v_results.filter("method = 'cached'")), root, "r1")
+    sinks.write_telemetry(short, root, "r1")
+    none = F.lit(None).cast("double")
+    shown = {"traces": ("id", F.col("input.query"), F.col("output.confidence")), "observations": ("trace_id", F.col("name"), none),
+             "scores": ("trace_id", F.col("name"), F.round("value", 6)), "events": ("trace_id", F.concat_ws(" ", "method", "target"), F.col("confidence")),
+             "items": ("id", F.col("input.query"), none)}
+    parts = [files.read_committed(w.spark, root, kind).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), name.alias("name"), value.alias("value"))
+             for kind, (key, name, value) in shown.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)

@@ -5,6 +5,7 @@ JSON readers take both layouts: one object per line (``multi_line=False``) or on
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,41 +37,69 @@ def parse_mapping_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def _read_json(spark: SparkSession, path: str, schema: str, multi_line: bool, file: bool = False, **options) -> DataFrame:
-    """JSON text parsed with a fixed schema; what is not valid JSON is left out. ``file`` keeps the path as ``_path``.
+def _read_json(spark: SparkSession, path: str, schema: str, multi_line: bool, file: bool = False, attempts: DataFrame | None = None, **options) -> DataFrame:
+    """JSON text parsed with a fixed schema; what is not valid JSON is left out. ``file`` keeps the path as ``_path``, ``attempts`` are those
+    whose files count (all if None).
 
     Parsing is an expression over the text source: unlike the JSON source it can be counted without naming columns.
     """
+    if attempts is not None:
+        options["recursiveFileLookup"] = True
     text = spark.read.options(**options).text(path, wholetext=multi_line).filter(F.trim("value") != "")
+    text = text.select("value", F.col("_metadata.file_path").alias("_path"))
+    if attempts is not None:
+        text = text.withColumn("attempt", F.regexp_extract("_path", r"/attempt=([^/]+)/", 1)).join(attempts, "attempt", "left_semi")
     parsed = F.from_json("value", f"{schema}, _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = text.select(F.col("_metadata.file_path").alias("_path"), parsed.alias("r")).filter(F.col("r._corrupt").isNull())
+    rows = text.select("_path", parsed.alias("r")).filter(F.col("r._corrupt").isNull())
     out = rows.select("_path", "r.*").drop("_corrupt")
     return out if file else out.drop("_path")
 
 
-def read_traces(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_traces(spark: SparkSession, path: str, multi_line: bool = False, attempts: DataFrame | None = None) -> DataFrame:
     """Traces with a query and a target; corrupt ones are skipped."""
     given = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
-    return _read_json(spark, path, schemas.TRACE, multi_line).filter(given("input.query") & given("output.target"))
+    return _read_json(spark, path, schemas.TRACE, multi_line, attempts=attempts).filter(given("input.query") & given("output.target"))
 
 
-def read_observations(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_observations(spark: SparkSession, path: str, multi_line: bool = False, attempts: DataFrame | None = None) -> DataFrame:
     """Observations of all traces; without a trace id in the record the name of its folder is taken."""
-    df = _read_json(spark, path, schemas.OBSERVATION, multi_line, file=True, recursiveFileLookup=True)
+    df = _read_json(spark, path, schemas.OBSERVATION, multi_line, True, attempts, recursiveFileLookup=True)
     folder = F.regexp_extract("_path", r"/([^/]+)/[^/]+$", 1)
     return df.withColumn("trace_id", F.coalesce("trace_id", folder)).drop("_path")
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    return _read_json(spark, path, schemas.SCORE, False)
+def read_scores(spark: SparkSession, path: str, attempts: DataFrame | None = None) -> DataFrame:
+    return _read_json(spark, path, schemas.SCORE, False, attempts=attempts)
 
 
-def read_dataset_items(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    return _read_json(spark, path, schemas.DATASET_ITEM, multi_line, recursiveFileLookup=True)
+def read_dataset_items(spark: SparkSession, path: str, multi_line: bool = False, attempts: DataFrame | None = None) -> DataFrame:
+    return _read_json(spark, path, schemas.DATASET_ITEM, multi_line, attempts=attempts, recursiveFileLookup=True)
 
 
-def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    return _read_json(spark, path, schemas.EVENT, False)
+def read_event_log(spark: SparkSession, path: str, attempts: DataFrame | None = None) -> DataFrame:
+    return _read_json(spark, path, schemas.EVENT, False, attempts=attempts)
+
+
+COMMITS = "commits"
+COMMIT = "run string, attempt string, number int"
+TELEMETRY_KINDS = ("traces", "observations", "scores", "events", "items")
+
+
+def read_commits(spark: SparkSession, root: str) -> DataFrame:
+    """``(run, attempt, number)`` of all attempts that were written to their end; none if the folder holds none."""
+    try:
+        return spark.read.schema(COMMIT).parquet(f"{root}/{COMMITS}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMIT)
+
+
+def read_committed(spark: SparkSession, root: str, kind: str, run: str = "*", day: str = "*") -> DataFrame:
+    """Records of a kind that ``sinks.write_telemetry`` wrote as JSON, of every run's last complete attempt; of one run or day, if given."""
+    last = read_commits(spark, root).groupBy("run").agg(F.max_by("attempt", F.struct("number", "attempt")).alias("attempt")).select("attempt")
+    readers = dict(zip(TELEMETRY_KINDS, (read_traces, read_observations, read_scores, read_event_log, read_dataset_items), strict=True))
+    return readers[kind](spark, f"{root}/{kind}/run={run}/attempt=*/day={day}", attempts=last)
 
 
 def read_eval_results(spark: SparkSession, path: str, schema: str = schemas.EVALUATION) -> DataFrame:

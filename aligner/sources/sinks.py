@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import os
 import posixpath
+import uuid
 from collections.abc import Iterator
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from aligner.operators.telemetry import Telemetry
 from aligner.session import new_path
+from aligner.sources.files import COMMIT, COMMITS, TELEMETRY_KINDS, read_commits
 
 
 def write_match_db(aliases: DataFrame, root: str | None = None, version: str | None = None) -> str:
@@ -21,16 +24,23 @@ def write_match_db(aliases: DataFrame, root: str | None = None, version: str | N
 
 
 def write_telemetry(telemetry: Telemetry, root: str, run: str, fmt: str = "json") -> dict[str, str]:
-    """Write traces, observations, scores, events and ground-truth items of a run below ``root``, one folder per kind and run.
+    """Write traces, observations, scores, events and ground-truth items of a run below ``root``, by kind, run, attempt and day.
 
-    A run that is written again replaces its own folders, so a repeated job doubles nothing; readers of all runs take ``root/kind``.
+    Every call is an attempt with folders of its own. The record of the attempt is written after all its tables, and ``files.read_committed``
+    reads the last recorded attempt of a run: a run half written is never seen, one written again replaces what it wrote before. Superseded
+    attempts stay until the folder's retention removes them.
     """
-    paths = {}
-    for kind in ("traces", "observations", "scores", "events", "items"):
+    attempt, paths = uuid.uuid4().hex, {}
+    for kind in TELEMETRY_KINDS:
         df = getattr(telemetry, kind)
         if df is not None:
-            paths[kind] = os.path.join(root, kind, f"run={run}")
-            df.write.mode("overwrite").format(fmt).save(paths[kind])
+            paths[kind] = os.path.join(root, kind, f"run={run}", f"attempt={attempt}")
+            at = next(c for c in ("timestamp", "start_time", "created_at") if c in df.columns)
+            df.withColumn("day", F.to_date(at)).write.partitionBy("day").format(fmt).save(paths[kind])
+    spark = telemetry.traces.sparkSession
+    before = read_commits(spark, root).where(F.col("run") == run).agg(F.max("number")).first()[0]
+    record = spark.createDataFrame([(run, attempt, (before or 0) + 1)], COMMIT)
+    record.coalesce(1).write.mode("append").parquet(os.path.join(root, COMMITS))
     return paths
 
 

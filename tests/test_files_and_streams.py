@@ -1,14 +1,16 @@
 """File layouts as the reference writes them, and streams fed in several batches."""
 
+import dataclasses
 import datetime
 import io
 import json
 import pathlib
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
-from aligner.operators import matchdb
+from aligner.operators import matchdb, telemetry
 from aligner.plans import maps
 from aligner.plans.resolve import resolve_with
 from aligner.session import shared_dir
@@ -236,3 +238,44 @@ def test_a_preparation_that_broke_off_leaves_no_version(spark, tmp_path):
     empty = maps.prepare(forward.limit(0), targets.limit(0), terms.limit(0))
     queries = spark.createDataFrame([(1, "Foo"), (2, None)], "query_id long, query string")
     assert sorted((r["query_id"], r["target"]) for r in resolve_with(queries, empty).collect()) == [(1, "No matches found"), (2, "Empty value")]
+
+
+def test_a_run_half_written_is_not_seen(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "telemetry")
+
+    def short(n, target):
+        rows = [(i, datetime.datetime(2024, 1, 1 + i % 2), "s", f"q{i}", target, "cached", 0.5, 0.1) for i in range(n)]
+        return telemetry.log_short_circuit(spark.createDataFrame(
+            rows, "trace_id long, ts timestamp_ntz, session_id string, source string, target string, method string, confidence double, total_time double"))
+
+    def seen(kind="traces", **part):
+        return files.read_committed(spark, root, kind, **part).count()
+
+    class Killed(Exception):
+        pass
+
+    def killed(*_):
+        raise Killed
+
+    sinks.write_telemetry(short(4, "A"), root, "r1")
+    assert [seen(k) for k in files.TELEMETRY_KINDS] == [4, 4, 8, 4, 4]
+    broken = dataclasses.replace(short(9, "B"), scores=short(9, "B").scores.withColumn("value", F.raise_error(F.lit("lost"))))
+    for run in ("r1", "r2"):  # ends between two folders: traces and observations of the attempt are there
+        with pytest.raises(Exception, match="lost"):
+            sinks.write_telemetry(broken, root, run)
+    assert len(list((tmp_path / "telemetry" / "traces").glob("run=*/attempt=*"))) == 3
+    assert [seen(k) for k in files.TELEMETRY_KINDS] == [4, 4, 8, 4, 4]
+    with monkeypatch.context() as m:  # all tables are there, the record is not
+        m.setattr(sinks, "read_commits", killed)
+        with pytest.raises(Killed):
+            sinks.write_telemetry(short(9, "B"), root, "r1")
+    assert seen() == 4
+    sinks.write_telemetry(short(6, "C"), root, "r1")
+    sinks.write_telemetry(short(3, "D"), root, "r2")
+    targets = {r["output"]["target"] for r in files.read_committed(spark, root, "traces", run="r1").collect()}
+    assert targets == {"C"} and seen() == 9 and seen(run="r2") == 3 and seen(day="2024-01-02") == 4
+    assert read_commits_of(spark, root) == [("r1", 1), ("r1", 2), ("r2", 1)]
+
+
+def read_commits_of(spark, root):
+    return sorted((r["run"], r["number"]) for r in files.read_commits(spark, root).collect())

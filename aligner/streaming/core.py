@@ -106,3 +106,57 @@ class LastValues:
         own = self.spark.read.schema(self.schema).parquet(batch_path(f"{self.root}/values", batch_id))
         earlier = self.before(batch_id).join(own, self.keys, "left_anti")
         write_batch(earlier.unionByName(own), f"{self.root}/snapshots", batch_id)
+
+
+class Levels:
+    """Partial results of batches that are folded into larger ones: ``base`` batches into one folder, ``base`` of these into the next.
+
+    Of n batches a reader opens as many folders as the digits of n to that base add up to, and a row is written again once per level. Which
+    folders count follows from the last marked batch alone. Batch ids are consecutive; a batch that is run again overwrites its own folders
+    and the folds that end with it.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: StructType | str, fold: Callable[[DataFrame], DataFrame], base: int = 8):
+        self.spark, self.root, self.schema, self.fold, self.base = spark, root, schema, fold, base
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        write_batch(df, self.root, batch_id)
+        size = self.base
+        while (batch_id + 1) % size == 0:
+            part = size // self.base
+            write_batch(self.fold(self._rows([self._path(part, batch_id - i * part) for i in range(self.base)])), self._level(size), batch_id)
+            size *= self.base
+        system, marks = self._marks()
+        system.mkdirs(marks.suffix(f"/{batch_id}"))
+        system.delete(marks.suffix(f"/{batch_id - 1}"), True)
+
+    def read(self) -> DataFrame:
+        folders = self.folders()
+        return self.fold(self._rows(folders)) if folders else self.spark.createDataFrame([], self.schema)
+
+    def folders(self) -> list[str]:
+        """The largest folds that together cover all batches up to the last marked one."""
+        system, marks = self._marks()
+        count = 1 + max((int(s.getPath().getName()) for s in system.listStatus(marks)), default=-1) if system.exists(marks) else 0
+        found, at, size = [], 0, 1
+        while size * self.base <= count:
+            size *= self.base
+        while at < count:
+            while size > count - at:
+                size //= self.base
+            at += size
+            found.append(self._path(size, at - 1))
+        return found
+
+    def _level(self, size: int) -> str:
+        return self.root if size == 1 else os.path.join(self.root, "folds", str(size))
+
+    def _path(self, size: int, last: int) -> str:
+        return batch_path(self._level(size), last)
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(*folders)
+
+    def _marks(self) -> tuple:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(self.root, "marks"))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path

@@ -15,7 +15,7 @@ from aligner.operators.ranking import last_known_in_group, previous_in_group
 from aligner.plans.maps import maps_of
 from aligner.plans.resolve import resolve_with
 from aligner.session import new_path, stage
-from aligner.streaming.core import SNAPSHOT_EVERY, LastValues, batch_path, read_batches, run_available, write_batch
+from aligner.streaming.core import LastValues, Levels, SNAPSHOT_EVERY, batch_path, read_batches, run_available, write_batch
 
 CELL = ["workbook", "row", "col"]
 
@@ -133,13 +133,14 @@ def stream_resolve(stream: DataFrame, forward: DataFrame, targets: DataFrame, te
 def stream_match_db(stream: DataFrame, root: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Follow result records into the match database.
 
-    A batch appends its folded alias rows instead of rewriting the database; reading folds all batches, and
-    ``write_match_db`` writes such a fold as a new snapshot.
+    A batch appends its folded alias rows instead of rewriting the database. Batches are folded into levels as they accumulate, so reading
+    opens few folders after any number of batches; ``write_match_db`` writes what is read as a new snapshot.
     """
     spark = stream.sparkSession
     root = root or new_path(spark, "alias-log")
-    run_available(stream, lambda batch, i: write_batch(matchdb.rebuild_aliases(batch), root, i), checkpoint)
-    return current_aliases(spark, root, _alias_schema(stream))
+    log = alias_log(spark, root, _alias_schema(stream))
+    run_available(stream, lambda batch, i: log.write(matchdb.rebuild_aliases(batch), i), checkpoint)
+    return log.read()
 
 
 def _alias_schema(records: DataFrame) -> str:
@@ -148,9 +149,9 @@ def _alias_schema(records: DataFrame) -> str:
             "confidence double, verified boolean")
 
 
-def current_aliases(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    rows = read_batches(spark, root, schema).drop("batch")
-    return matchdb.merge_aliases(rows)
+def alias_log(spark: SparkSession, root: str, schema: str) -> Levels:
+    """Reader and writer of the alias log below ``root``; ``read`` gives the current aliases."""
+    return Levels(spark, root, schema, matchdb.merge_aliases)
 
 
 def stream_history(stream: DataFrame, root: str | None = None, checkpoint: str | None = None) -> DataFrame:

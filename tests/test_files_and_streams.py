@@ -279,3 +279,27 @@ def test_a_run_half_written_is_not_seen(spark, tmp_path, monkeypatch):
 
 def read_commits_of(spark, root):
     return sorted((r["run"], r["number"]) for r in files.read_commits(spark, root).collect())
+
+
+def test_many_batches_are_read_from_few_folders(spark, tmp_path):
+    log = core.Levels(spark, str(tmp_path / "log"), "k long, n long", lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n")), base=3)
+    assert log.read().count() == 0
+    one = lambda i: spark.createDataFrame([(i % 4, 1), (99, i)], "k long, n long").coalesce(1)
+    opened = []
+    for i in range(14):
+        log.write(one(i), i)
+        opened.append(len(log.folders()))
+    assert opened == [1, 2, 1, 2, 3, 2, 3, 4, 1, 2, 3, 2, 3, 4]  # sums of the digits to base 3
+    want = [(0, 4), (1, 4), (2, 3), (3, 3), (99, sum(range(14)))]
+    assert sorted(map(tuple, log.read().collect())) == want
+    log.write(one(13), 13)  # the last batch again
+    assert sorted(map(tuple, log.read().collect())) == want
+    core.write_batch(one(14), log.root, 14)  # lost before its mark
+    assert sorted(map(tuple, log.read().collect())) == want
+    for old in range(9):
+        shutil.rmtree(core.batch_path(log.root, old))
+    assert sorted(map(tuple, log.read().collect())) == want
+    eight = core.Levels(spark, str(tmp_path / "many"), "k long", lambda rows: rows)
+    for n in range(201):  # the folders follow from the last mark alone
+        (tmp_path / "many" / "marks" / str(n)).mkdir(parents=True)
+        assert len(eight.folders()) <= 16

@@ -96,10 +96,10 @@ _TREES = {}
 
 
 def _tree(w):
-    """The same written as a tree and read from it, the paths from its root on; a session's queries share the tree of their tables."""
+    """The same written as a tree of archived runs and read from it, the paths from its root on; a session's queries share the tree of their tables."""
     key = (w.spark.sparkContext.applicationId, w.sf_dir)
     if key not in _TREES:
-        _TREES[key] = sinks.write_filestore(run_files(w), new_path(w.spark, "filestore"))
+        _TREES[key] = sinks.write_filestore(run_files(w), new_path(w.spark, "filestore"), archives=True)
     root = _TREES[key]
     tree = files.read_filestore(w.spark, f"{root}/exp", names_only="artifacts")
     return tree.withColumn("path", F.substr("path", F.lit(len(fs.FileSystem.from_uri(root)[1]) + 1)))

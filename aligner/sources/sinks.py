@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import os
 import posixpath
+import tarfile
 import uuid
 from collections.abc import Iterator
 
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from aligner.operators.telemetry import Telemetry
 from aligner.session import new_path
 from aligner.sources.files import COMMIT, COMMITS, TELEMETRY_KINDS, read_commits
+from aligner.sources.tree import ARCHIVE
+
+#: Files of an archive; more of a task go to further ones.
+ARCHIVE_FILES = 1 << 15
 
 
 def write_match_db(aliases: DataFrame, root: str | None = None, version: str | None = None) -> str:
@@ -44,8 +52,13 @@ def write_telemetry(telemetry: Telemetry, root: str, run: str, fmt: str = "json"
     return paths
 
 
-def write_filestore(files: DataFrame, root: str) -> str:
-    """Write ``(path, content)`` as files below ``root``; a path starts with a slash. A task that runs again writes the same files again."""
+def write_filestore(files: DataFrame, root: str, archives: bool = False, archive_files: int = ARCHIVE_FILES) -> str:
+    """Write ``(path, content)`` as files below ``root``; a path starts with a slash. A task that runs again writes the same files again.
+
+    With ``archives`` the files ``/tree/experiment/...`` go in archives below ``/tree``, which ``files.read_filestore`` reads as if unpacked
+    there: a run of a few short files then takes their compressed bytes, not a block for every file and folder. Paths are dealt out to the
+    tasks and sorted; of equal ones the last by content stands.
+    """
     def put(rows: Iterator[Row]) -> None:
         system, base = fs.FileSystem.from_uri(root)
         made = set()
@@ -58,5 +71,36 @@ def write_filestore(files: DataFrame, root: str) -> str:
             with system.open_output_stream(path) as f:
                 f.write((row["content"] or "").encode())
 
-    files.foreachPartition(put)
+    def pack(rows: Iterator[Row]) -> None:
+        system, base = fs.FileSystem.from_uri(root)
+        part = TaskContext.get().partitionId()
+        for tree, own in itertools.groupby(_last_of_each(rows), key=lambda r: r["path"].split("/", 2)[1]):
+            folder = posixpath.join(base, tree)
+            system.create_dir(folder)
+            for n in itertools.count():
+                if not (first := next(own, None)):
+                    break
+                name = f"part-{part:05}-{n:05}{ARCHIVE}"
+                unfinished = posixpath.join(folder, f".{name}.{uuid.uuid4().hex}")
+                with system.open_output_stream(unfinished, compression=None) as f, tarfile.open(fileobj=f, mode="w|gz", compresslevel=4) as out:
+                    for row in itertools.chain([first], itertools.islice(own, archive_files - 1)):
+                        content = (row["content"] or "").encode()
+                        file = tarfile.TarInfo(row["path"].split("/", 2)[2])
+                        file.size = len(content)
+                        out.addfile(file, io.BytesIO(content))
+                system.move(unfinished, posixpath.join(folder, name))
+
+    if archives:
+        parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        files.repartition(parts, "path").sortWithinPartitions("path", "content").foreachPartition(pack)
+    else:
+        files.foreachPartition(put)
     return root
+
+
+def _last_of_each(rows: Iterator[Row]) -> Iterator[Row]:
+    """The last of every run of rows of one path."""
+    for _, same in itertools.groupby(rows, key=lambda r: r["path"]):
+        for row in same:
+            last = row
+        yield last

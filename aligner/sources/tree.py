@@ -3,13 +3,18 @@
 A partition is a bucket of the run and trace folders of some experiments; its task lists and reads them, so that the driver only lists the
 experiments and one with most of the runs is spread. A metric series may have grown for long and only its last line counts: it is read from
 its end.
+
+An archive (``*.tar.gz``) beside the experiments stands for its files as if they were unpacked there: small files cost their bytes, not a
+block and a folder each. An archive is a partition and is read once from front to end, a file at a time.
 """
 
 from __future__ import annotations
 
+import posixpath
+import tarfile
 import zlib
 from collections.abc import Iterator
-from typing import BinaryIO
+from typing import IO, BinaryIO
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +25,7 @@ SCHEMA = "path string, content string"
 # Folder names of the layout.
 TRACES = "traces"
 SERIES = "metrics"
+ARCHIVE = ".tar.gz"
 
 #: Experiments per group, and buckets that the folders of a group are dealt out to.
 GROUP = 64
@@ -35,6 +41,14 @@ class Bucket(InputPartition):
         self.experiments, self.bucket = experiments, bucket
 
 
+class Archive(InputPartition):
+    """All files of an archive."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.path = path
+
+
 class RunTree(DataSource):
     """Options: ``path``; ``group`` and ``buckets`` (see above); ``names_only``, a folder name below which files are listed, their content null."""
 
@@ -54,15 +68,19 @@ class RunTreeReader(DataSourceReader):
     def __init__(self, root: str, group: int, buckets: int, names_only: str | None) -> None:
         self.root, self.group, self.buckets, self.names_only = root, group, buckets, names_only
 
-    def partitions(self) -> list[Bucket]:
+    def partitions(self) -> list[Bucket | Archive]:
         system, root = fs.FileSystem.from_uri(self.root)
         children = sorted(system.get_file_info(fs.FileSelector(root)), key=lambda c: c.path)
         folders = [c.path for c in children if c.type == fs.FileType.Directory]
         groups = [folders[i:i + self.group] for i in range(0, len(folders), self.group)]
-        return [Bucket(g, b) for g in groups for b in range(self.buckets)] or [Bucket([], 0)]
+        archives = [Archive(c.path) for c in children if c.type == fs.FileType.File and c.path.endswith(ARCHIVE)]
+        return [Bucket(g, b) for g in groups for b in range(self.buckets)] + archives or [Bucket([], 0)]
 
-    def read(self, partition: Bucket) -> Iterator[tuple[str, str | None]]:
+    def read(self, partition: Bucket | Archive) -> Iterator[tuple[str, str | None]]:
         system, _ = fs.FileSystem.from_uri(self.root)
+        if isinstance(partition, Archive):
+            yield from self._packed(system, partition.path)
+            return
         for experiment in partition.experiments:
             for item in self._own(system, experiment, partition.bucket):
                 inner = [item] if item.type == fs.FileType.File else system.get_file_info(fs.FileSelector(item.path, recursive=True))
@@ -77,6 +95,19 @@ class RunTreeReader(DataSourceReader):
             elif (zlib.crc32(child.base_name.encode()) % self.buckets if child.type == fs.FileType.Directory else 0) == bucket:
                 yield child
 
+    def _packed(self, system: fs.FileSystem, archive: str) -> Iterator[tuple[str, str | None]]:
+        folder = posixpath.dirname(archive)
+        with system.open_input_stream(archive, compression=None) as f, tarfile.open(fileobj=f, mode="r|gz") as files:
+            for file in files:
+                parents = file.name.split("/")[1:-1]
+                if not file.isfile() or "/" not in file.name:
+                    continue
+                content = None
+                if self.names_only not in parents:
+                    opened = files.extractfile(file)
+                    content = (last_line_ahead(opened) if parents[-1:] == [SERIES] else opened.read()).decode("utf-8", "replace")
+                yield f"{folder}/{file.name}", content
+
     def _content(self, system: fs.FileSystem, file: fs.FileInfo, experiment: str) -> str | None:
         parents = file.path[len(experiment):].split("/")[:-1]
         if self.names_only in parents:
@@ -100,6 +131,16 @@ def last_line(file: BinaryIO, size: int, block: int = _BLOCK) -> bytes:
     return tail.strip()
 
 
+def last_line_ahead(file: IO[bytes], block: int = _BLOCK) -> bytes:
+    """The same of a file that can only be read ahead; no more than that line and a block is held."""
+    tail = b""
+    while piece := file.read(block):
+        tail += piece
+        tail = tail[max(tail.rstrip().rfind(b"\n"), 0):]
+    line = tail.rstrip().rsplit(b"\n", 1)
+    return line[1] if len(line) == 2 else tail.strip()
+
+
 def read_tree(spark: SparkSession, path: str, **options: str | int) -> DataFrame:
     spark.dataSource.register(RunTree)
     return spark.read.format(RunTree.name()).options(**options).load(path)

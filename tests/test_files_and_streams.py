@@ -15,7 +15,7 @@ from aligner.plans import maps
 from aligner.plans.resolve import resolve_with
 from aligner.session import shared_dir
 from aligner.sources import files, sinks
-from aligner.sources.tree import last_line, read_tree
+from aligner.sources.tree import last_line, last_line_ahead, read_tree
 from aligner.streaming import core, jobs
 
 
@@ -84,6 +84,30 @@ def test_a_tree_is_read_in_buckets_of_folders(spark, tmp_path):
     assert len(spread) == 4 and max(r["count"] for r in spread) < 500
 
 
+def test_archived_runs_are_read_as_if_unpacked(spark, tmp_path):
+    runs = spark.range(600).select((F.col("id") % 90).alias("e"), "id")
+    path = lambda name: F.concat(F.lit("/exp/"), "e", F.lit("/run"), "id", F.lit(name))
+    tree = runs.select(path("/metrics/loss").alias("path"), F.concat(F.lit("1 0.5 0\n2 "), "id", F.lit(" 1\n \n")).alias("content")).unionByName(
+        runs.select(path("/artifacts/deep/a.json").alias("path"), F.lit("{}").alias("content"))).unionByName(
+        runs.select(path("/tags/note").alias("path"), F.when(F.col("id") % 2 == 0, "free\ntext ").alias("content")))
+    twice = tree.unionByName(tree).unionByName(spark.createDataFrame([("/exp/stray.txt", "in no experiment")], "path string, content string"))
+    loose = sinks.write_filestore(tree, str(tmp_path / "loose"))
+    packed = sinks.write_filestore(twice, str(tmp_path / "packed"), archives=True, archive_files=70)
+    got, want = ({r["path"][len(root):]: r["content"] for r in read_tree(spark, f"{root}/exp", names_only="artifacts").collect()} for root in (packed, loose))
+    assert len(want) == 1800 and got == want
+    assert read_tree(spark, f"{packed}/exp").count() == 1800
+    held = [p for p in (tmp_path / "packed").rglob("*") if p.is_file() and p.name.endswith(".tar.gz")]
+    assert len(held) >= 1800 / 70 and sum(p.stat().st_size for p in held) < 1800 * 100
+    _put(tmp_path / "packed" / "exp" / "7" / "loose" / "meta.yaml", "name: beside")
+    assert read_tree(spark, f"{packed}/exp").count() == 1801
+
+
+@pytest.mark.parametrize("content", [b"", b" \n", b"1 2 3", b" 1 2 3 \n", b"\n 4 5\n\n", b"1 2\n3 4", b"1 2\n3 4\n  \n\n", b"1 2\r\n3 4\r\n", b"a\n" * 50])
+@pytest.mark.parametrize("block", [1, 3, 1 << 16])
+def test_the_last_line_reading_ahead(content, block):
+    assert last_line_ahead(io.BytesIO(content), block) == last_line(io.BytesIO(content), len(content))
+
+
 def test_a_long_series_costs_one_block():
     class Counted(io.BytesIO):
         taken = 0

@@ -166,21 +166,33 @@ def best_in_block(texts: list[list[str]], block: KeyBlock, threshold: float) ->
     return out, aligned
 
 
-def best_keys(probes: DataFrame, keys: DataFrame, threshold: float, block_rows: int = 8192, probe_rows: int = 512) -> DataFrame:
+def dealt_blocks(asked: int, known: int, tasks: int, probe_rows: int, dealt_rows: int) -> tuple[int, int]:
+    """Numbers of blocks of the probes and of the keys, which all meet: as many pairs as occupy the tasks, beyond that as few copies of the
+    rows as blocks of ``dealt_rows`` need."""
+    down = max(1, -(-known // dealt_rows))
+    return max(1, -(-asked // dealt_rows), min(-(-asked // probe_rows), -(-tasks // down))), down
+
+
+def best_keys(probes: DataFrame, keys: DataFrame, threshold: float, block_rows: int = 8192, probe_rows: int = 512, dealt_rows: int = 1 << 16) -> DataFrame:
     """``q_id, score, k_no``: the most similar key of every probe at the threshold or above, ties to the smallest ``k_no``.
 
-    ``probes`` are distinct ``(q_id, words)``, ``keys`` ``(k_no, words)``. Both are dealt out in blocks that all meet; empty word lists have no
-    match. Work grows with probes times keys, in bounds; few of the pairs are aligned.
+    ``probes`` are distinct ``(q_id, words)``, ``keys`` ``(k_no, words)``. Both are dealt out in blocks of about ``dealt_rows`` that all meet; a
+    task searches ``block_rows`` keys for ``probe_rows`` probes at a time. Empty word lists have no match. Work grows with probes times keys,
+    in bounds; few of the pairs are aligned.
     """
-    across, down = max(1, -(-probes.count() // probe_rows)), max(1, -(-keys.count() // block_rows))
+    across, down = dealt_blocks(probes.count(), keys.count(), 4 * probes.sparkSession.sparkContext.defaultParallelism, probe_rows, dealt_rows)
 
     def near(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, names = left.column("words").to_pylist(), left.column("q_id").to_pylist()
-        found: list[tuple[int, float, int]] = []
-        if texts and right.num_rows:
-            found, _ = best_in_block(texts, KeyBlock(right.column("k_no").to_numpy(), right.column("words").to_pylist()), threshold)
-        return pa.table({"q_id": pa.array([names[t] for t, _, _ in found], pa.string()), "score": pa.array([s for _, s, _ in found], pa.float64()),
-                         "k_no": pa.array([k for _, _, k in found], pa.int64())})
+        names, best = left.column("q_id").to_pylist(), {}
+        for b in range(0, right.num_rows, block_rows):
+            part = right.slice(b, block_rows)
+            block = KeyBlock(part.column("k_no").to_numpy(), part.column("words").to_pylist())
+            for a in range(0, left.num_rows, probe_rows):
+                found, _ = best_in_block(left.column("words").slice(a, probe_rows).to_pylist(), block, threshold)
+                for t, s, k in found:
+                    best[a + t] = min(best.get(a + t, (0.0, 0)), (-s, k))
+        return pa.table({"q_id": pa.array([names[t] for t in best], pa.string()), "score": pa.array([-s for s, _ in best.values()], pa.float64()),
+                         "k_no": pa.array([k for _, k in best.values()], pa.int64())})
 
     def dealt(df: DataFrame, column: str, mine: str, blocks: int, other: str, others: int) -> DataFrame:
         placed = df.withColumn(mine, F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int"))

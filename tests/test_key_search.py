@@ -63,3 +63,24 @@ def test_words_of_one_shape_compare_few_pairs():
     block = keysearch.KeyBlock(np.arange(len(words)), words)
     for texts in (words[:300], asked):
         assert keysearch.best_in_block(texts, block, 0.7)[1] < 0.1 * len(texts) * len(words)
+
+
+def test_blocks_that_meet_copy_few_rows():
+    for asked, known in ((1, 1), (20_000, 20_000), (1_000_000, 1_200_000), (6_000_000, 20_000), (500, 7_000_000)):
+        across, down = keysearch.dealt_blocks(asked, known, 48, 512, 1 << 16)
+        assert across * known + down * asked <= 50 * (asked + known) + 2 * asked * known / (1 << 16)
+    assert keysearch.dealt_blocks(20_000, 20_000, 48, 512, 1 << 16) == (40, 1)  # all cores are busy
+    assert keysearch.dealt_blocks(0, 0, 48, 512, 1 << 16) == (1, 1)
+
+
+@pytest.mark.parametrize("sizes", [(7, 3, 11), (8192, 512, 1 << 16)])
+def test_best_of_all_blocks_equals_plain_loops(spark, sizes):
+    rng = random.Random(8)
+    vocabulary = ["steel", "stel", "steal", "cold", "rolled", "roled", "sheet", "a", "ab", "x1", "x12"]
+    keys = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 3))] for _ in range(50)]
+    texts = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 3))] for _ in range(25)]
+    probes = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "q_id string, words array<string>")
+    known = spark.createDataFrame([(7 * i, k) for i, k in enumerate(keys)], "k_no long, words array<string>")
+    got = sorted(tuple(r) for r in keysearch.best_keys(probes, known, 0.7, *sizes).select("q_id", "score", "k_no").collect())
+    best = ((str(i), min((-greedy(t, k), 7 * n) for n, k in enumerate(keys))) for i, t in enumerate(texts))
+    assert got == sorted((i, -s, n) for i, (s, n) in best if -s >= 0.7) and len(got) > 10

@@ -143,3 +143,15 @@ def test_candidates_snap_to_the_offered_string(spark):
     returned = spark.createDataFrame([(1, 0, "Steel pipe"), (1, 1, "steel sheet")], "query_id int, rank int, candidate string")
     got = [tuple(r) for r in scoring.correct_candidates(returned, offered).orderBy("rank").collect()]
     assert got == [(1, 0, "steel pipe", "Steel pipe", 0.9), (1, 1, "steel sheet", None, 1.0)]
+
+
+def test_token_candidates_join_no_pairs_by_token(spark, monkeypatch):
+    def refused(*_args, **_options):
+        raise AssertionError("pairs that share some tokens only are joined")
+
+    monkeypatch.setattr(tok, "block_join", refused)
+    queries = spark.createDataFrame([(1, "Red steel"), (2, "steel red!"), (3, "red blue"), (4, " "), (5, None)], "query_id long, query string")
+    terms = spark.createDataFrame([("red steel plate",), ("blue plate",), ("red steel plate",), (None,)], "term string")
+    got = tok.token_candidates(queries, terms, 0.5).collect()
+    assert sorted((r.query_id, r.term, r.score) for r in got) == [
+        (1, "red steel plate", 1.0), (2, "red steel plate", 1.0), (3, "blue plate", 0.5), (3, "red steel plate", 0.5)]

@@ -21,6 +21,8 @@ from aligner.llm.common import byte_slices, split_words
 _SLICE_BYTES = 8 << 20
 #: Words whose ids a worker remembers; beyond that it starts anew. Only speed depends on it.
 _REMEMBERED_WORDS = 800_000
+#: Runs that are looked up at once; their places take several times the memory of the ids.
+_RUNS = 1 << 15
 #: Stands between words that are encoded together.
 _MARK = "\u241e"
 _SUM = itemgetter(0)
@@ -59,7 +61,13 @@ def parted(words: pa.Array) -> tuple[list[str], list[str]]:
 def _spans(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of ``values`` one after the other, and their lengths."""
     done = np.concatenate([[0], np.cumsum(length)])
-    return values[np.repeat(begin - done[:-1], length) + np.arange(done[-1])], length
+    out = np.empty(done[-1], values.dtype)
+    for a in range(0, len(begin), _RUNS):
+        b = min(a + _RUNS, len(begin))
+        at = np.repeat(begin[a:b] - done[a:b], length[a:b])
+        at += np.arange(done[a], done[b])
+        out[done[a]:done[b]] = values[at]
+    return out, length
 
 
 class WordEncoder:
@@ -117,7 +125,7 @@ class WordEncoder:
         flat, length = _spans(own, starts[codes], starts[codes + 1] - starts[codes])
         done = np.concatenate([[0], np.cumsum(length)])
         ends = done[offsets]
-        return np.insert(flat, ends[1:], end_id).astype("<u4"), ends + np.arange(len(ends))
+        return np.insert(flat, ends[1:], end_id).astype("<u4", copy=False), ends + np.arange(len(ends))
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -207,7 +215,7 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         for group in byte_slices(batches, "text", group_bytes):
             ids, begins = encoder.encode(group.column("text"), end_id)
             lengths = np.diff(begins)
-            raw = memoryview(ids.tobytes())
+            raw = memoryview(ids).cast("B")
             rows = list(_pieces(lengths, capacity, number))
             text, start, length, window, offset = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
             first = (begins[text] + start) * 4
@@ -218,6 +226,7 @@ def pack_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                  pa.array(lengths[text]), pa.array(window), pa.array(offset), pa.array(filled[window - number])],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"])
             number = int(window.max()) + 1
+            pa.default_memory_pool().release_unused()  # the worker lives on, others beside it
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(pack, schema)

@@ -125,3 +125,16 @@ def test_words_and_their_punctuation_encode_like_whole_words():
     ids, begins = encoder.encode(pa.array([*words, "", None, "  ", *words]), 2)
     for k, text in enumerate([*words, "", "", "  ", *words]):
         assert ids[begins[k]:begins[k + 1]].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_runs_are_looked_up_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    values, begin, length = np.arange(1000, dtype=np.uint32), rng.integers(0, 900, 200_000), rng.integers(0, 40, 200_000)
+    tracemalloc.start()
+    flat, _ = packing._spans(values, begin, length)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(flat, np.concatenate([values[b:b + n] for b, n in zip(begin, length, strict=True)]))
+    assert peak < 3 * flat.nbytes

@@ -30,7 +30,7 @@ _GROUP = 1 << 14
 _ROW_COST, _PAIR_COST = 1.0, 0.01
 
 
-def _fingerprint(hashes: np.ndarray) -> int:
+def fingerprint_of(hashes: np.ndarray) -> int:
     """Bit b is set if more than half of the hashes have it."""
     ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
@@ -50,7 +50,7 @@ def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
         if b > a:
             last = max(a + 1, b - shingle + 1)
             spans = zip(begins[a:last].tolist(), ends[min(a + shingle, b) - 1:b].tolist(), strict=True)
-            out[i] = _fingerprint(np.array([digest(raw[s:e], 42) for s, e in spans], dtype=np.uint64))
+            out[i] = fingerprint_of(np.array([digest(raw[s:e], 42) for s, e in spans], dtype=np.uint64))
     return out.view(np.int64)
 
 

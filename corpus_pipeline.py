@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from aligner.llm import minhash, mixing, packing, quality, repeats
 from aligner.llm.catalog import PIECE_COLUMNS
 from aligner.llm.common import table
-from aligner.session import stage
+from aligner.session import release, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,9 +24,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more.
 
-    The smallest id stays (nulls last). Texts without words are one group, repeated rows leave one; whole texts count; no rows give none.
+    SimHash fingerprints within three bits are linked first, min-hash bands find the pairs that differ in more; every link is checked on the
+    shingles. The smallest id stays (nulls last). Texts without words are one group, repeated rows leave one; whole texts count; no rows give none.
     """
-    return minhash.one_of_each(docs.select(*COLUMNS), shingle=5, similarity=0.8)
+    return minhash.one_of_each(docs.select(*COLUMNS), shingle=5, similarity=0.8, distance=3)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     with the first stage."""
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
+        before, docs = docs, stage(function(spark, docs, sf_dir), name)
+        release(before)  # leaves the input alone
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,12 +3,15 @@
 import random
 import re
 from itertools import combinations
+from pathlib import Path
 
 import corpus_pipeline as pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from aligner.llm import minhash
+from aligner.session import release, shared_dir, stage
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -103,3 +106,43 @@ def test_null_ids_clashing_columns_and_long_texts(spark):
     got = minhash.one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.hash, r.node, r.id) for r in got.collect()) == [(0, "h", 1, 2), (3, "h", 1, 2), (4, "h", 1, 2)]
+
+
+def test_a_pair_is_proposed_in_the_first_bucket_it_shares():
+    signatures = np.zeros((6, 200), np.uint8)
+    nodes, sizes = np.arange(6), np.full(6, 100)
+    before = np.arange(12).reshape(6, 2)
+    before[[1, 2], 0] = 50
+    before[[3, 4], 1] = 60
+    u, v, more = minhash.proposals(nodes, sizes, signatures, nodes, 0.8, 0, 5, before=before)
+    pairs = {tuple(sorted(p)) for p in zip(u.tolist(), v.tolist(), strict=True)}
+    assert pairs == set(combinations(range(6), 2)) - {(1, 2), (3, 4)} and not more
+    assert len(minhash.proposals(nodes, sizes, signatures, nodes, 0.8, 0, 5, before=before * 0)[0]) == 0
+
+
+def test_near_fingerprints_are_links_without_bands(spark, monkeypatch):
+    words = [f"w{i}" for i in range(600)]
+    copies = [[*words[:k], "changed", *words[k + 1:]] for k in range(0, 600, 10)]
+    texts_of = [" ".join(w) for w in (words, *copies)]
+    own = [minhash.fingerprint_of(s) for s in minhash.shingle_sets(pa.array(texts_of), 5)]
+    near = [i for i, fp in enumerate(own) if i and (fp ^ own[0]).bit_count() <= 3]
+    assert len(near) > 3
+    rows = [(i, texts_of[i]) for i in [0, *near]] + [(100, " ".join(words[:300]))]  # half of a text is no near copy
+    members = minhash._members
+    monkeypatch.setattr(minhash, "_members", lambda nodes: members(nodes).limit(0))
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, SF).collect()) == [0, 100]
+
+
+def test_little_stays_staged(spark):
+    folder = Path(shared_dir(spark)) / "aligner"
+    staged = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
+    docs, before = spark.read.parquet(f"{SF}/documents.parquet"), staged()
+    out = stage(pipeline.near_dedup(spark, docs, SF), "out")
+    left = {name.rsplit("-", 1)[0] for name in staged() - before}
+    assert "out" in left and not left & {"signatures", "nodes", "shingles", "members", "unfinished", "proposed", "alike", "near"}
+    release(out)
+    before = staged()
+    assert pipeline.run(spark, SF).count() > 0
+    left = {name.rsplit("-", 1)[0] for name in staged() - before}
+    assert "mixing" in left and not left & {"quality", "near_dedup", "substring_dedup"}

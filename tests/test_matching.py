@@ -155,3 +155,21 @@ def test_token_candidates_join_no_pairs_by_token(spark, monkeypatch):
     got = tok.token_candidates(queries, terms, 0.5).collect()
     assert sorted((r.query_id, r.term, r.score) for r in got) == [
         (1, "red steel plate", 1.0), (2, "red steel plate", 1.0), (3, "blue plate", 0.5), (3, "red steel plate", 0.5)]
+
+
+def test_token_candidates_keep_every_pair_that_shares_a_token(spark, labels, rows_of, monkeypatch):
+    monkeypatch.setattr(tok, "_EQUAL_SETS", 2)
+    terms, queries = labels
+    queries = queries.unionByName(queries.filter("query_id < 20").select(F.lit(None).cast("long").alias("query_id"), F.concat(F.lit(" "), "query").alias("query")))
+    numbered = queries.withColumn("row", F.concat_ws("|", "query_id", "query"))
+    q = numbered.select("row", "query_id", F.explode(tokens("query")).alias("token")).withColumn("n", F.expr("count(*) over (partition by row)"))
+    pairs = q.join(tok.inverted_index(terms), "token").groupBy("row", "query_id", "term").agg((F.count("*") / F.max("n")).alias("score")).drop("row")
+    for block_tokens, chunk_tokens in ((1 << 20, 1 << 20), (300, 200)):
+        assert rows_of(tok.token_candidates(queries, terms, block_tokens=block_tokens, chunk_tokens=chunk_tokens)) == rows_of(pairs)
+
+
+def test_registered_token_candidates_have_no_least_coverage(spark):
+    from aligner.plans import registry
+
+    got = registry.all_queries()["token_candidates"](spark, "/root/testdata/sf0.001")
+    assert got.agg(F.min("score")).first()[0] < 0.5

@@ -84,3 +84,28 @@ def test_best_of_all_blocks_equals_plain_loops(spark, sizes):
     got = sorted(tuple(r) for r in keysearch.best_keys(probes, known, 0.7, *sizes).select("q_id", "score", "k_no").collect())
     best = ((str(i), min((-greedy(t, k), 7 * n) for n, k in enumerate(keys))) for i, t in enumerate(texts))
     assert got == sorted((i, -s, n) for i, (s, n) in best if -s >= 0.7) and len(got) > 10
+
+
+def test_texts_of_the_words_of_a_key_are_not_searched(spark, monkeypatch):
+    asked, dealt = [], keysearch.dealt_blocks
+    monkeypatch.setattr(keysearch, "dealt_blocks", lambda *a: asked.append(a[0]) or dealt(*a))
+    keys = [["cold", "steel", "s1"], ["steel", "cold", "s1"], ["a", "a", "b"], ["a", "b", "b"], ["x"]]
+    texts = [["s1", "cold", "steel"], ["b", "a", "b"], ["a", "b"], ["cold", "stel", "s1"], ["x"]]
+    probes = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "q_id string, words array<string>")
+    known = spark.createDataFrame([(9 - i, k) for i, k in enumerate(keys)], "k_no long, words array<string>")
+    got = sorted(tuple(r) for r in keysearch.best_keys(probes, known, 0.7).select("q_id", "score", "k_no").collect())
+    best = ((str(i), min((-greedy(t, k), 9 - n) for n, k in enumerate(keys))) for i, t in enumerate(texts))
+    assert asked == [2] and got == sorted((i, -s, n) for i, (s, n) in best if -s >= 0.7)
+
+
+def test_what_another_block_reached_is_not_looked_for_again():
+    rng = random.Random(4)
+    keys = [[rng.choice(["cold", "hot", "old"]), rng.choice(["ring", "bolt", "rod"]), f"s{rng.randint(1, 50)}", f"no{i}"] for i in range(500)]
+    texts = [k[:2] + [k[2] + "x", k[3]] for k in keys[::10]]
+    half = [keysearch.KeyBlock(np.arange(250) + a, keys[a:a + 250]) for a in (0, 250)]
+    alone, first = keysearch.best_in_block(texts, half[1], 0.7), keysearch.best_in_block(texts, half[0], 0.7)[0]
+    found, aligned = keysearch.best_in_block(texts, half[1], 0.7, {t: (s, k) for t, s, k in first})
+    assert aligned < alone[1]
+    both = {t: (s, k) for t, s, k in first} | {t: (s, k) for t, s, k in found}
+    whole = keysearch.best_in_block(texts, keysearch.KeyBlock(np.arange(500), keys), 0.7)[0]
+    assert sorted((t, s, k) for t, (s, k) in both.items()) == sorted(whole)

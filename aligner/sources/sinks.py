@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import io
+import gzip
 import itertools
 import os
 import posixpath
 import tarfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
@@ -22,6 +23,8 @@ from aligner.sources.tree import ARCHIVE
 
 #: Files of an archive; more of a task go to further ones.
 ARCHIVE_FILES = 1 << 15
+#: Bytes that are compressed at a time.
+_PIECE = 1 << 18
 
 
 def write_match_db(aliases: DataFrame, root: str | None = None, version: str | None = None) -> str:
@@ -71,10 +74,10 @@ def write_filestore(files: DataFrame, root: str, archives: bool = False, archive
             with system.open_output_stream(path) as f:
                 f.write((row["content"] or "").encode())
 
-    def pack(rows: Iterator[Row]) -> None:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(root)
         part = TaskContext.get().partitionId()
-        for tree, own in itertools.groupby(_last_of_each(rows), key=lambda r: r["path"].split("/", 2)[1]):
+        for tree, own in itertools.groupby(_last_of_each(batches), key=lambda r: r[0].split("/", 2)[1]):
             folder = posixpath.join(base, tree)
             system.create_dir(folder)
             for n in itertools.count():
@@ -82,25 +85,65 @@ def write_filestore(files: DataFrame, root: str, archives: bool = False, archive
                     break
                 name = f"part-{part:05}-{n:05}{ARCHIVE}"
                 unfinished = posixpath.join(folder, f".{name}.{uuid.uuid4().hex}")
-                with system.open_output_stream(unfinished, compression=None) as f, tarfile.open(fileobj=f, mode="w|gz", compresslevel=4) as out:
-                    for row in itertools.chain([first], itertools.islice(own, archive_files - 1)):
-                        content = (row["content"] or "").encode()
-                        file = tarfile.TarInfo(row["path"].split("/", 2)[2])
-                        file.size = len(content)
-                        out.addfile(file, io.BytesIO(content))
+                with system.open_output_stream(unfinished, compression=None) as f, gzip.GzipFile(fileobj=f, mode="wb", compresslevel=4, mtime=0) as out:
+                    for piece in _pieces(itertools.chain([first], itertools.islice(own, archive_files - 1))):
+                        out.write(piece)
                 system.move(unfinished, posixpath.join(folder, name))
+        yield from ()
 
     if archives:
         parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        files.repartition(parts, "path").sortWithinPartitions("path", "content").foreachPartition(pack)
+        files.repartition(parts, "path").sortWithinPartitions("path", "content").select("path", "content").mapInArrow(pack, "none int").collect()
     else:
         files.foreachPartition(put)
     return root
 
 
-def _last_of_each(rows: Iterator[Row]) -> Iterator[Row]:
+def _last_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str | None]]:
     """The last of every run of rows of one path."""
-    for _, same in itertools.groupby(rows, key=lambda r: r["path"]):
-        for row in same:
+    last = None
+    for batch in batches:
+        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if last and last[0] != row[0]:
+                yield last
             last = row
+    if last:
         yield last
+
+
+def _pieces(rows: Iterable[tuple[str, str | None]]) -> Iterator[bytes]:
+    """The bytes of a tar archive of the files, a number of files at a time."""
+    held, size, whole = [], 0, 0
+    for path, text in rows:
+        content = (text or "").encode()
+        header = _header(path.split("/", 2)[2], len(content))
+        gap = -len(content) % tarfile.BLOCKSIZE
+        held += [header, content, bytes(gap)]
+        size += len(header) + len(content) + gap
+        if size >= _PIECE:
+            yield b"".join(held)
+            held, size, whole = [], 0, whole + size
+    whole += size + 2 * tarfile.BLOCKSIZE
+    yield b"".join([*held, bytes(2 * tarfile.BLOCKSIZE + -whole % tarfile.RECORDSIZE)])
+
+
+def _header(name: str, size: int) -> bytes:
+    """As ``tarfile`` makes it; short names in ASCII take the place in a header that is made once."""
+    if len(name) > tarfile.LENGTH_NAME or not name.isascii() or size >= 8 ** 11:
+        file = tarfile.TarInfo(name)
+        file.size = size
+        return file.tobuf()
+    own, digits = name.encode(), b"%011o" % size
+    total = _BARE_SUM + sum(own) + sum(digits)
+    return own.ljust(tarfile.LENGTH_NAME, b"\0") + _BARE[100:124] + digits + _BARE[135:148] + b"%06o\0" % total + _BARE[155:]
+
+
+def _bare() -> bytes:
+    """The header of a file without name, size and checksum."""
+    header = bytearray(tarfile.TarInfo("").tobuf())
+    header[124:135], header[148:156] = bytes(11), b" " * 8
+    return bytes(header)
+
+
+_BARE = _bare()
+_BARE_SUM = sum(_BARE)

@@ -6,6 +6,7 @@ import io
 import json
 import pathlib
 import shutil
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from aligner.plans import maps
 from aligner.plans.resolve import resolve_with
 from aligner.session import shared_dir
 from aligner.sources import files, sinks
-from aligner.sources.tree import last_line, last_line_ahead, read_tree
+from aligner.sources.tree import Archive, RunTreeReader, last_line, last_line_ahead, read_tree
 from aligner.streaming import core, jobs
 
 
@@ -102,6 +103,50 @@ def test_archived_runs_are_read_as_if_unpacked(spark, tmp_path):
     assert read_tree(spark, f"{packed}/exp").count() == 1801
 
 
+def test_plain_archives_are_written_and_read_without_a_member_object_each(monkeypatch):
+    rows = [("/exp/1/run/meta.yaml", "name: a\n"), ("/exp/1/run/tags/empty", None), ("/exp/1/run/note", "é" * 700)]
+    plain = b"".join(sinks._pieces(rows))
+    buffer = io.BytesIO()
+    with tarfile.open(fileobj=buffer, mode="w") as out:
+        for path, content in rows:
+            file, raw = tarfile.TarInfo(path.split("/", 2)[2]), (content or "").encode()
+            file.size = len(raw)
+            out.addfile(file, io.BytesIO(raw))
+    assert plain == buffer.getvalue()
+    monkeypatch.setattr(tarfile, "TarInfo", None)
+    assert b"".join(sinks._pieces(rows)) == plain
+    assert len(b"".join(sinks._pieces([]))) == tarfile.RECORDSIZE
+
+
+@pytest.mark.parametrize("odd", ["none", "long", "letters", "link", "folder", "broken"])
+def test_archives_with_other_headers_are_read_by_tarfile(tmp_path, monkeypatch, odd):
+    (tmp_path / "exp").mkdir()
+    name = str(tmp_path / "exp" / "a.tar.gz")
+    files = [("1/run/meta.yaml", b"name: a"), ("top.txt", b"x" * 600), ("1/run/metrics/loss", b"1 2 3\n" * 30_000 + b"4 5 6\n\n"), ("1/run/artifacts/b", b"hidden"),
+             ({"long": "1/" + "r" * 120, "letters": "1/r\u00e9n"}.get(odd, "1/run") + "/params/p", b"v"), ("1/run/tags/t", b"")]
+    with tarfile.open(name, "w:gz") as out:
+        for i, (path, raw) in enumerate(files):
+            file = tarfile.TarInfo(path)
+            if i == 3 and odd in ("link", "folder"):
+                other = tarfile.TarInfo("1/other")
+                other.type, other.linkname = (tarfile.SYMTYPE, "run") if odd == "link" else (tarfile.DIRTYPE, "")
+                out.addfile(other)
+            file.size = len(raw)
+            out.addfile(file, io.BytesIO(raw))
+    if odd == "broken":
+        (tmp_path / "exp" / "a.tar.gz").write_bytes((tmp_path / "exp" / "a.tar.gz").read_bytes()[:60])
+    reader = RunTreeReader(str(tmp_path / "exp"), 64, 4, "artifacts")
+    if odd == "broken":
+        with pytest.raises((tarfile.ReadError, EOFError)):
+            list(reader.read(Archive(name)))
+        return
+    if odd in ("none", "folder"):
+        monkeypatch.setattr(tarfile, "open", None)
+    got = [row for batch in reader.read(Archive(name)) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    want = {"1/run/metrics/loss": "4 5 6", "1/run/artifacts/b": None}
+    assert got == [(f"{tmp_path}/exp/{p}", want.get(p, raw.decode())) for p, raw in files if "/" in p]
+
+
 @pytest.mark.parametrize("content", [b"", b" \n", b"1 2 3", b" 1 2 3 \n", b"\n 4 5\n\n", b"1 2\n3 4", b"1 2\n3 4\n  \n\n", b"1 2\r\n3 4\r\n", b"a\n" * 50])
 @pytest.mark.parametrize("block", [1, 3, 1 << 16])
 def test_the_last_line_reading_ahead(content, block):
